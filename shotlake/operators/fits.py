@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlake.operators.curves import CURVE, union_with_precedence
-from shotlake.plans import position
+from shotlake.plans import position, settle
 
 JOB = ("job_id",)
 FIT_WINDOW = 200
@@ -28,9 +28,8 @@ def recent_rows(pairs: DataFrame, n: int = FIT_WINDOW, order: str = "seq", key:
     return pairs.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def array_median(values: Column) -> Column:
-    """Median of an array, the mean of the middle two when even."""
-    v = F.sort_array(values)
+def _middle(v: Column) -> Column:
+    """Median of a sorted array, the mean of the middle two when even."""
     n = F.size(v)
     return (F.try_element_at(v, F.floor((n + 1) / 2).cast("int"))
             + F.try_element_at(v, F.floor(n / 2).cast("int") + 1)) / 2
@@ -43,14 +42,13 @@ def _slopes(pts: Column) -> Column:
         lambda r: (r["y"] - p["y"]) / (r["q"] - p["q"]))))
 
 
-def _line(pts: Column) -> Column:
-    """Median-of-slopes line through an array of (q, y): struct(a, b)."""
-    slopes = _slopes(pts)
-    a = F.when(F.size(slopes) > 0, array_median(slopes)).otherwise(F.lit(0.0))
-    fitted = F.transform(pts, lambda p: F.struct(p["q"].alias("q"), p["y"].alias("y"), a.alias("a")))
-    rest = array_median(F.transform(fitted, lambda p: p["y"] - p["a"] * p["q"]))
-    b = F.when(F.size(slopes) > 0, rest).otherwise(F.try_element_at(pts, F.lit(1))["y"])
-    return F.struct(a.alias("a"), b.alias("b"))
+def _with_line(rows: DataFrame) -> DataFrame:
+    """Add the median-of-slopes line (a, b) through the array `pts` of (q, y)."""
+    rows = rows.withColumn("_slopes", F.sort_array(_slopes(F.col("pts"))))
+    rows = rows.withColumn("a", F.when(F.size("_slopes") > 0, _middle(F.col("_slopes"))).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("_rest", F.sort_array(F.transform("pts", lambda p: p["y"] - F.col("a") * p["q"])))
+    return rows.withColumn("b", F.when(F.size("_slopes") > 0, _middle(F.col("_rest"))).otherwise(
+        F.try_element_at("pts", F.lit(1))["y"])).drop("_slopes", "_rest")
 
 
 def _points(pairs: DataFrame, limit: int, key: Sequence[str]) -> DataFrame:
@@ -62,8 +60,7 @@ def _points(pairs: DataFrame, limit: int, key: Sequence[str]) -> DataFrame:
 
 def theil_sen(pairs: DataFrame, limit: int = FIT_WINDOW, key: Sequence[str] = JOB) -> DataFrame:
     """Median-of-slopes fit x_star = a*q + b per key; a flat line when all q are equal."""
-    fit = _points(pairs, limit, key).withColumn("fit", _line(F.col("pts")))
-    return fit.select(*key, F.size("pts").cast("long").alias("n"), "fit.a", "fit.b")
+    return _with_line(_points(pairs, limit, key)).select(*key, F.size("pts").cast("long").alias("n"), "a", "b")
 
 
 def gated_map_fit(pairs: DataFrame, max_residual: float = 2.0, margin: float = 0.0, need: int = 4,
@@ -74,21 +71,20 @@ def gated_map_fit(pairs: DataFrame, max_residual: float = 2.0, margin: float = 0
     Pairs are a job's calibration anchors: a handful, spread by anchor_sample.
     """
     pts = F.col("pts")
-    left_out = F.transform(pts, lambda p, k: F.struct(
-        p.alias("p"), _line(F.filter(pts, lambda _, i: i != k)).alias("f")))
-    told = _points(pairs, limit, key).withColumn("_all", _line(pts)).withColumn("_loo", F.transform(
-        left_out, lambda e: e["p"]["y"] - (e["f"]["a"] * e["p"]["q"] + e["f"]["b"])))
-    mean = F.aggregate("_loo", F.lit(0.0), lambda s, x: s + x) / F.size("_loo")
-    told = told.withColumn("_mean", mean)
-    var = F.aggregate("_loo", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
-    told = told.withColumn("sd", F.when(F.size("_loo") > 1, F.sqrt(var / (F.size("_loo") - 1))).otherwise(0.0))
+    points = settle(_points(pairs, limit, key))
+    # one row per pair left out: as many as a job has anchors
+    each = points.select(*key, F.posexplode("pts").alias("_k", "_p"), "pts").withColumn(
+        "pts", F.filter("pts", lambda _, i: i != F.col("_k")))
+    loo = _with_line(each).groupBy(*key).agg(
+        F.stddev_samp(F.col("_p.y") - (F.col("a") * F.col("_p.q") + F.col("b"))).alias("sd"))
+    told = _with_line(points).join(loo, [*key], "left").withColumn("sd", F.coalesce("sd", F.lit(0.0)))
     n = F.size(pts)
     refused = F.when(n < need, "too few pairs").when(F.col("sd") > max_residual, "residual over the limit")
     trusted = refused.isNull()
     qs = F.transform(pts, lambda p: p["q"])
     return told.select(
         *key, n.cast("long").alias("n"), F.when(n >= need, F.col("sd")).alias("sd"), refused.alias("refused"),
-        F.when(trusted, F.col("_all.a")).alias("a"), F.when(trusted, F.col("_all.b")).alias("b"),
+        F.when(trusted, F.col("a")).alias("a"), F.when(trusted, F.col("b")).alias("b"),
         F.when(trusted, F.array_min(qs) - margin).alias("q_lo"), F.when(trusted, F.array_max(qs) + margin).alias("q_hi"))
 
 
@@ -198,28 +194,25 @@ def correction_factor(obs: DataFrame, order: Sequence[str] = ("seq",), width: fl
     quarter of the gap; kept in [0.3, 3]. Non-positive readings are ignored."""
     key = list(key)
     rows = _chunked(obs.filter("predicted > 0 AND observed > 0"), order, width, key, chunk)
-    rows = rows.select(*key, "_part", "_pos", (F.col("observed") / F.col("predicted")).alias("_s"))
-    kinds = ", ".join(f"`{c}` {obs.schema[c].dataType.simpleString()}" for c in key)
+    ratio = F.col("observed") / F.col("predicted")
+    # at most `chunk` readings
+    parts = rows.groupBy(*key, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("_pos", ratio.alias("s")))).alias("_run"))
 
-    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, a, b = correction_pieces(pdf.sort_values("_pos")["_s"].to_numpy())
-        out = pdf.iloc[:1][[*key, "_part"]].copy()
-        out["n"], out["lo"], out["a"], out["b"] = len(pdf), [lo.tolist()], [a.tolist()], [b.tolist()]
-        return out
+    @F.pandas_udf("array<struct<lo:double,a:double,b:double>>")
+    def pieces(samples: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": x, "a": y, "b": z} for x, y, z in zip(*correction_pieces(s))] for s in samples])
 
-    moved = rows.groupBy(*key, "_part").applyInPandas(
-        pieces, f"{kinds}, _part long, n long, lo array<double>, a array<double>, b array<double>")
+    moved = parts.select(*key, "_part", "_n", pieces(F.transform("_run", lambda r: r["s"])).alias("_move"))
+    # one entry per chunk of the key
+    chain = F.sort_array(F.collect_list(F.struct("_part", "_move")))
 
-    def through(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("_part"), 1.0
-        for lo, a, b in zip(pdf["lo"], pdf["a"], pdf["b"]):
-            i = int(np.searchsorted(np.asarray(lo), state, side="right")) - 1
-            state = a[max(i, 0)] * state + b[max(i, 0)]
-        out = pdf.iloc[:1][key].copy()
-        out["samples"], out["factor"] = int(pdf["n"].sum()), float(state)
-        return out
+    def through(state: Column, chunk_: Column) -> Column:
+        piece = F.element_at(F.filter(chunk_["_move"], lambda p: (p["lo"] <= state) | (p["lo"] <= FLOOR)), -1)
+        return piece["a"] * state + piece["b"]
 
-    return moved.groupBy(*key).applyInPandas(through, f"{kinds}, samples long, factor double")
+    return moved.groupBy(*key).agg(chain.alias("_chain"), F.sum("_n").alias("samples")).select(
+        *key, "samples", F.aggregate("_chain", F.lit(1.0), through).alias("factor"))
 
 
 def correction_pieces(samples: Iterable[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,40 +258,41 @@ def decayed_peak_ratio(obs: DataFrame, order: Sequence[str] = ("seq",), width: f
     key = list(key)
     rows = _chunked(obs.filter("measured > 0 AND booked > 0"), order, width, key, chunk)
     sample = F.least(F.lit(SAMPLE_CAP), F.col("measured") / F.col("booked"))
-    rows = rows.select(*key, "_part", "_pos", sample.alias("_s"))
-    kinds = ", ".join(f"`{c}` {obs.schema[c].dataType.simpleString()}" for c in key)
+    rows = settle(rows.select(*key, "_part", "_pos", sample.alias("_s")))
     # worst value leaving a chunk, from its own samples and from what enters
-    own = rows.withColumn("_end", F.least((F.col("_part") + 1) * chunk, F.lit(1 << 62))).groupBy(*key, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_pos").alias("_last"))
-    rows = rows.join(own, [*key, "_part"])
-    faded = rows.groupBy(*key, "_part").agg(
-        F.first("_n").alias("_n"), F.max(F.col("_s") * F.pow(F.lit(DECAY), F.col("_last") - F.col("_pos"))).alias("_own"))
-
-    def entering(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, worst, enter = pdf.sort_values("_part"), 0.0, []
-        for n, w in zip(pdf["_n"], pdf["_own"]):
-            enter.append(worst)
-            worst = max(w, worst * DECAY ** n)
-        return pdf.assign(_in=enter)[[*key, "_part", "_in"]]
-
-    enter = faded.groupBy(*key).applyInPandas(entering, f"{kinds}, _part long, _in double")
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        """ratio -> max(c, min(a*ratio + b, cap)) over the chunk, its worst samples known."""
-        pdf = pdf.sort_values("_pos")
-        worst, a, b, c = float(pdf["_in"].iloc[0]), 1.0, 0.0, -np.inf
-        keep = 1 - 1 / APPROACH
-        for s in pdf["_s"]:
-            worst = max(s, worst * DECAY)
-            a, b, c = a * keep, b * keep + worst / APPROACH, max(RATIO_FLOOR, c * keep + worst / APPROACH)
-        out = pdf.iloc[:1][[*key, "_part"]].copy()
-        out["n"], out["a"], out["b"], out["c"], out["w"] = len(pdf), a, b, c, worst
-        return out
-
-    moved = rows.join(enter, [*key, "_part"]).groupBy(*key, "_part").applyInPandas(
-        move, f"{kinds}, _part long, n long, a double, b double, c double, w double")
-    chain = F.sort_array(F.collect_list(F.struct("_part", "a", "b", "c")))
+    parts = rows.groupBy(*key, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("_pos", "_s"))).alias("_run"))
+    parts = settle(parts.withColumn("_run", F.transform("_run", lambda r: r["_s"])))
+    own = F.aggregate("_run", F.lit(0.0), lambda w, s: F.greatest(s, w * DECAY))
+    # one entry per chunk of the key
+    chain = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_part", "_n", own.alias("w")))).alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def entering(n: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for counts, values in zip(n, own):
+            worst, enter = 0.0, []
+            for c, w in zip(counts, values):
+                enter.append(worst)
+                worst = max(w, worst * DECAY ** c)
+            out.append(enter)
+        return pd.Series(out)
+
+    ins = chain.withColumn("_in", entering(F.transform("_c", lambda c: c["_n"]), F.transform("_c", lambda c: c["w"])))
+    enter = ins.select(*key, F.inline(F.zip_with("_c", "_in", lambda c, w: F.struct(
+        c["_part"].alias("_part"), w.alias("_in")))))
+    keep = 1 - 1 / APPROACH
+
+    def step(m: Column, s: Column) -> Column:
+        """ratio -> max(c, a*ratio + b) over the chunk so far, and its worst sample."""
+        w = F.greatest(s, m["w"] * DECAY)
+        return F.struct((m["a"] * keep).alias("a"), (m["b"] * keep + w / APPROACH).alias("b"),
+                        F.greatest(F.lit(RATIO_FLOOR), m["c"] * keep + w / APPROACH).alias("c"), w.alias("w"))
+
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.col("_in").alias("w"))
+    moved = parts.join(enter, [*key, "_part"]).select(*key, "_part", "_n", F.aggregate("_run", none, step).alias("_m"))
+    line = F.sort_array(F.collect_list(F.struct("_part", "_m")))
     return moved.groupBy(*key).agg(
-        chain.alias("_chain"), F.sum("n").alias("samples"), F.max_by("w", "_part").alias("worst")).select(
-        *key, "samples", "worst", F.aggregate("_chain", F.lit(1.0), lambda r, m: F.least(
-            F.lit(RATIO_CAP), F.greatest(m["c"], m["a"] * r + m["b"]))).alias("ratio"))
+        line.alias("_line"), F.sum("_n").alias("samples"), F.max_by("_m.w", "_part").alias("worst")).select(
+        *key, "samples", "worst", F.aggregate("_line", F.lit(1.0), lambda r, m: F.least(
+            F.lit(RATIO_CAP), F.greatest(m["_m"]["c"], m["_m"]["a"] * r + m["_m"]["b"]))).alias("ratio"))

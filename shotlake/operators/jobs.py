@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, ordered_scan, position
+from shotlake.plans import finite_fold, ordered_scan, position, settle
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -308,10 +308,10 @@ def failure_streaks(outcomes: DataFrame, n: int, key: Sequence[str] = ("job_id",
     on that made it n in a row."""
     judged = outcomes.filter(F.col("outcome").isin("ok", "fail")).withColumn("_one", F.lit(1).cast("long"))
     seen = ordered_scan(judged, key, order, width=width, running={"_n": ("sum", "_one")})
-    seen = seen.withColumn("_ok", F.when(F.col("outcome") == "ok", F.col("_n")))
+    seen = settle(seen.withColumn("_ok", F.when(F.col("outcome") == "ok", F.col("_n"))))
     runs = ordered_scan(seen, key, order, width=width, running={"_last": ("max", "_ok")})
     runs = runs.withColumn("streak", F.col("_n") - F.coalesce("_last", F.lit(0)))
-    runs = runs.withColumn("_hit", (F.col("streak") >= n).cast("int"))
+    runs = settle(runs.withColumn("_hit", (F.col("streak") >= n).cast("int")))
     return ordered_scan(runs, key, order, width=width, running={"_out": ("max", "_hit")}).withColumn(
         "retired", F.col("_out") == 1).drop("_one", "_n", "_ok", "_last", "_hit", "_out")
 
@@ -414,13 +414,13 @@ def progress_track(lines: DataFrame, key: Sequence[str] = ("job_id",), width: fl
     # a bar with frames while probing means that encoding has begun
     live = F.when(F.col("_bar.fps") > 0, F.lit("encoding"))
     step = F.coalesce("_mark", F.when(F.col("_was") == "probing", live))
-    rows = ordered_scan(rows.withColumn("_step", step), key, ["pos"], width=width, running={"stage": ("last", "_step")})
-    rows = rows.withColumn("_done", F.col("_bar.done"))
+    rows = ordered_scan(settle(rows.withColumn("_step", step)), key, ["pos"], width=width, running={"stage": ("last", "_step")})
+    rows = settle(rows.withColumn("_done", F.col("_bar.done")))
     rows = ordered_scan(rows, key, ["pos"], width=width, lag={"_stage": "stage"}, before={"_seen": ("last", "_done")})
     fresh = ~F.col("_stage").eqNullSafe(F.col("stage")) | F.coalesce(F.col("_done") < F.col("_seen"), F.lit(False))
-    rows = ordered_scan(rows.withColumn("_new", fresh.cast("long")), key, ["pos"], width=width,
+    rows = ordered_scan(settle(rows.withColumn("_new", fresh.cast("long"))), key, ["pos"], width=width,
                         running={"_seg": ("sum", "_new")})
-    rows = rows.withColumn("_pct", F.col("_bar.pct"))
+    rows = settle(rows.withColumn("_pct", F.col("_bar.pct")))
     rows = ordered_scan(rows, [*key, "_seg"], ["pos"], width=width, before={"_top": ("max", "_pct")})
     return rows.filter(F.col("_bar").isNotNull()).select(
         *key, "pos", "stage", F.col("_bar.pct").alias("pct"), F.col("_bar.done").alias("done"),

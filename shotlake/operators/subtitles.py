@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotlake.functions.text import clean_text, srt_timestamp
-from shotlake.plans import exact_quantile, ordered_scan, position
+from shotlake.plans import exact_quantile, ordered_scan, position, settle
 
 # fixed values: codecs and language tags the rules look at, and codec ids of the second tool
 ASS_CODECS = ["ass", "ssa"]
@@ -154,8 +154,8 @@ def cue_intervals(events: DataFrame, key: Sequence[str] = TRACK) -> DataFrame:
     """
     key = list(key)
     steps = ordered_scan(events, key, ["seq"], width=CUES, lead={"_end": "pts"})
-    opened = steps.filter(F.col("kind") == "compose").withColumn(
-        "_lasts", F.when(F.col("_end") > F.col("pts"), F.col("_end") - F.col("pts")))
+    opened = settle(steps.filter(F.col("kind") == "compose").withColumn(
+        "_lasts", F.when(F.col("_end") > F.col("pts"), F.col("_end") - F.col("pts"))))
     usual = exact_quantile(opened, key, "_lasts", {"_usual": 0.5}, "upper")
     cues = opened.join(usual, key, "left").withColumn(
         "_d", F.coalesce(F.col("_lasts").cast("double"), F.col("_usual"), F.lit(2.0 * TICKS)))
@@ -369,7 +369,8 @@ def clean_cues(cues: DataFrame, lexicon: DataFrame, key: Sequence[str] = TRACK)
     rows = rows.withColumn("smart_quotes", F.regexp_count("_t", F.lit("[‘’“”]")))
     rows = rows.withColumn("_t", F.translate("_t", "‘’“”", "''\"\""))
 
-    rows = rows.withColumn("_ini", F.transform(F.regexp_extract_all("_t", F.lit(INITIALISM), F.lit(0)), _initialism))
+    rows = settle(rows.drop("_as_l").withColumn(
+        "_ini", F.transform(F.regexp_extract_all("_t", F.lit(INITIALISM), F.lit(0)), _initialism)))
     hurt = rows.select(*at, F.explode(F.filter("_ini", lambda i: i["damaged"])).alias("_i")).select(*at, "_i.cand")
     snaps = _snaps(hurt, track_gazetteer(cues, key), key)
     per_cue = hurt.distinct().join(snaps, [*key, "cand"]).groupBy(*at).agg(

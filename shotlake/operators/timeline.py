@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import greedy_spacing, ordered_scan, position
+from shotlake.plans import greedy_spacing, ordered_scan, position, settle
 
 KEY = ("source_id",)
 FRAMES = 1 << 16          # frames of one title per chunk
@@ -44,11 +44,10 @@ def detect_cuts(frames: DataFrame, threshold: float, min_gap: int, settle: float
                 .filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk"))
     candidates = rows.filter((F.col("frame_no") > 0) & (F.col("scd_score") >= threshold))
     if settle > 0:
-        gaps = (frames.groupBy(*key).agg((F.count("mafd") == F.count("scd_score")).alias("_whole"))
-                .filter("_whole"))
-        judged = candidates.join(gaps, key, "left")
+        holed = (frames.filter(F.col("mafd").isNull() != F.col("scd_score").isNull()).select(*key).distinct()
+                 .withColumn("_holed", F.lit(True)))
         calm = F.col("_next").isNull() | (F.col("_next") <= F.col("mafd") * settle)
-        candidates = judged.filter(F.col("_whole").isNull() | calm)
+        candidates = candidates.join(holed, key, "left").filter(F.col("_holed").isNotNull() | calm)
     kept = greedy_spacing(candidates.select(*key, "frame_no"), key, "frame_no", min_gap)
     return kept.select(*key, F.col("frame_no").alias("cut"))
 
@@ -58,11 +57,10 @@ def cuts_to_shots(cuts: DataFrame, lengths: DataFrame, key: Sequence[str] = KEY)
     key = list(key)
     starts = cuts.select(*key, F.col("cut").alias("s0")).unionByName(
         lengths.select(*key, F.lit(0).cast("long").alias("s0"))).distinct()
-    ends = ordered_scan(starts, key, ["s0"], width=FRAMES, lead={"_next": "s0"})
-    shots = (ends.join(lengths.select(*key, "n_frames"), key)
-             .withColumn("s1", F.coalesce("_next", "n_frames"))
-             .filter(F.col("s1") > F.col("s0")).select(*key, "s0", "s1"))
-    return position(shots, key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
+    starts = settle(starts.join(lengths.select(*key, "n_frames"), key).filter(F.col("s0") < F.col("n_frames"))
+                    .withColumn("_one", F.lit(1).cast("long")))
+    ends = ordered_scan(starts, key, ["s0"], width=FRAMES, lead={"_next": "s0"}, running={"_rank": ("sum", "_one")})
+    return ends.select(*key, (F.col("_rank") - 1).alias("shot_idx"), "s0", F.coalesce("_next", "n_frames").alias("s1"))
 
 
 def frame_counts(frames: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -181,35 +179,34 @@ def merge_short(shots: DataFrame, min_frames: int, key: Sequence[str] = KEY) ->
 
     Two neighbouring shots that are both long enough never influence each
     other's surroundings, so a title falls apart there into independent
-    groups; only groups holding a short shot go to Python.
+    groups; only groups holding a short shot are folded.
     """
     key = list(key)
     if min_frames <= 0:
         return shots.select(*key, "shot_idx", "s0", "s1")
     sized = shots.select(*key, "s0", "s1").withColumn("_short", F.col("s1") - F.col("s0") < min_frames)
     near = ordered_scan(sized, key, ["s0"], width=FRAMES, lag={"_before": "_short"}, lead={"_after": "_short"})
-    near = near.withColumn("_busy", F.col("_short") | F.coalesce("_before", F.lit(False))
+    near = settle(near).withColumn("_busy", F.col("_short") | F.coalesce("_before", F.lit(False))
                            | F.coalesce("_after", F.lit(False)))
     calm = near.filter(~F.col("_busy")).select(*key, "s0", "s1")
     # the group starts at a long shot whose predecessor is long (or absent)
     opens = F.when(~F.coalesce("_before", F.lit(False)) & (~F.col("_short") | F.col("_before").isNull()), F.col("s0"))
     busy = ordered_scan(near.filter("_busy").withColumn("_opens", opens), key, ["s0"], width=FRAMES,
                         running={"_group": ("last", "_opens")})
-    schema = busy.select(*key, "s0", "s1").schema
+    # the shots of one group: a run of short ones and the long ones beside it
+    packed = busy.groupBy(*key, "_group").agg(F.sort_array(F.collect_list(F.struct("s0", "s1"))).alias("_run"))
+    starts, ends = F.transform("_run", lambda r: r["s0"]), F.transform("_run", lambda r: r["s1"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s0", ignore_index=True)
-        keep, ends = _merge_shortest(pdf["s0"].tolist(), pdf["s1"].tolist(), min_frames)
-        out = pdf.iloc[keep].copy()
-        out["s1"] = ends
-        return out[[*key, "s0", "s1"]]
+    @F.pandas_udf("array<struct<s0:long,s1:long>>")
+    def fold(s0: pd.Series, s1: pd.Series) -> pd.Series:
+        return pd.Series([_merge_shortest(a.tolist(), b.tolist(), min_frames) for a, b in zip(s0, s1)])
 
-    folded = busy.groupBy(*key, "_group").applyInPandas(fold, schema)
-    return position(calm.unionByName(folded), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
+    folded = packed.select(*key, F.inline(fold(starts, ends)))
+    return position(settle(calm.unionByName(folded)), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
 
 
-def _merge_shortest(s0: list[int], s1: list[int], bound: int) -> tuple[list[int], list[int]]:
-    """Rows that stay and where they end, merging the shortest (leftmost) first."""
+def _merge_shortest(s0: list[int], s1: list[int], bound: int) -> list[dict[str, int]]:
+    """Shots left after merging the shortest (leftmost) first."""
     n = len(s0)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     size = [b - a for a, b in zip(s0, s1)]
@@ -232,8 +229,7 @@ def _merge_shortest(s0: list[int], s1: list[int], bound: int) -> tuple[list[int]
             left[right[hi]] = lo
         if size[lo] < bound:
             heapq.heappush(heap, (size[lo], lo))
-    keep = [i for i in range(n) if alive[i]]
-    return keep, [end[i] for i in keep]
+    return [{"s0": s0[i], "s1": end[i]} for i in range(n) if alive[i]]
 
 
 def merge_to_max(shots: DataFrame, max_shots: int, key: Sequence[str] = KEY) -> DataFrame:
@@ -251,33 +247,31 @@ def merge_to_max(shots: DataFrame, max_shots: int, key: Sequence[str] = KEY) ->
     within = shots.join(over, key, "left_anti").select(*key, "s0", "s1")
     limit = (F.col("_len") * F.lit(2.0) / F.lit(max_shots - 1)) if max_shots > 1 else F.lit(float("inf"))
     busy = shots.select(*key, "s0", "s1").join(over.withColumn("_limit", limit), key)
-    busy = busy.withColumn("_size", F.col("s1") - F.col("s0"))
+    busy = settle(busy.withColumn("_size", F.col("s1") - F.col("s0")))
     near = ordered_scan(busy, key, ["s0"], width=FRAMES, lag={"_prev": "_size"})
     apart = F.col("_prev").isNull() | (F.col("_prev") + F.col("_size") > F.col("_limit"))
-    near = ordered_scan(near.withColumn("_opens", F.when(apart, F.col("s0"))), key, ["s0"], width=FRAMES,
+    near = ordered_scan(settle(near.withColumn("_opens", F.when(apart, F.col("s0")))), key, ["s0"], width=FRAMES,
                         running={"_group": ("last", "_opens")})
-    kinds = ", ".join(f"`{c}` {shots.schema[c].dataType.simpleString()}" for c in key)
-
-    def merges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s0", ignore_index=True)
-        steps = _merge_pairs(pdf["s0"].tolist(), pdf["_size"].tolist(), float(pdf["_limit"].iloc[0]))
-        out = pd.DataFrame(steps, columns=["total", "at", "gone"]).astype("int64")
-        for c in key:
-            out[c] = pdf[c].iloc[0]
-        return out[[*key, "total", "at", "gone"]]
-
-    steps = near.groupBy(*key, "_group").applyInPandas(merges, f"{kinds}, total long, at long, gone long")
-    ranked = position(steps, key, ["total", "at"], 1024, "_rank").join(over, key)
+    packed = near.groupBy(*key, "_group").agg(F.sort_array(F.collect_list(F.struct("s0", "_size"))).alias("_run"),
+                                              F.first("_limit").alias("_limit"))
+    starts, sizes = F.transform("_run", lambda r: r["s0"]), F.transform("_run", lambda r: r["_size"])
+
+    @F.pandas_udf("array<struct<total:long,at:long,gone:long>>")
+    def merges(s0: pd.Series, size: pd.Series, bound: pd.Series) -> pd.Series:
+        return pd.Series([_merge_pairs(a.tolist(), b.tolist(), c) for a, b, c in zip(s0, size, bound)])
+
+    steps = packed.select(*key, F.inline(merges(starts, sizes, F.col("_limit"))))
+    ranked = position(settle(steps), key, ["total", "at"], 1024, "_rank").join(over, key)
     gone = ranked.filter(F.col("_rank") < F.col("_n") - max_shots).select(*key, F.col("gone").alias("s0"))
-    left = ordered_scan(busy.select(*key, "s0", "s1").join(gone, [*key, "s0"], "left_anti"), key, ["s0"],
+    left = ordered_scan(settle(busy.select(*key, "s0", "s1").join(gone, [*key, "s0"], "left_anti")), key, ["s0"],
                         width=FRAMES, lead={"_next": "s0"})
     last = busy.groupBy(*key).agg(F.max("s1").alias("_last"))
     merged = left.join(last, key).select(*key, "s0", F.coalesce("_next", "_last").alias("s1"))
-    return position(within.unionByName(merged), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
+    return position(settle(within.unionByName(merged)), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
 
 
-def _merge_pairs(s0: list[int], size: list[int], limit: float) -> list[tuple[int, int, int]]:
-    """(total, left start, removed start) of every merge up to `limit`, in order."""
+def _merge_pairs(s0: list[int], size: list[int], limit: float) -> list[dict[str, int]]:
+    """Every merge up to `limit`, in order: its total, the left start, the removed start."""
     n, steps = len(s0), []
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     size, alive = list(size), [True] * n
@@ -289,7 +283,7 @@ def _merge_pairs(s0: list[int], size: list[int], limit: float) -> list[tuple[int
             break
         if not alive[i] or not alive[j] or right[i] != j or size[i] + size[j] != total:
             continue
-        steps.append((total, s0[i], s0[j]))
+        steps.append({"total": total, "at": s0[i], "gone": s0[j]})
         size[i], alive[j], right[i] = total, False, right[j]
         if right[j] < n:
             left[right[j]] = i
@@ -398,16 +392,16 @@ def align_sequences(a: DataFrame, b: DataFrame, key: Sequence[str] = KEY, chunk:
     """
     key = list(key)
 
-    def hashed(df: DataFrame, tag: str) -> DataFrame:
+    def hashed(df: DataFrame) -> DataFrame:
         # the digit of a checksum in each of two rolling hashes
         digit = [F.pmod(F.xxhash64(F.lit(i), "checksum"), F.lit(_PRIME)) for i in range(2)]
         rows = df.select(*key, "pos", "checksum", F.lit(1).cast("long").alias("_one"), *[
             (digit[i] * _power(_BASES[i], F.col("pos")) % _PRIME).alias(f"_t{i}") for i in range(2)])
-        return ordered_scan(rows, key, ["pos"], width=chunk, before={f"_p{i}": ("sum", f"_t{i}") for i in range(2)},
-                            totals={"_n": ("sum", "_one"), **{f"_s{i}": ("sum", f"_t{i}") for i in range(2)}}
-                            ).withColumn("_tag", F.lit(tag))
+        return settle(ordered_scan(
+            rows, key, ["pos"], width=chunk, before={f"_p{i}": ("sum", f"_t{i}") for i in range(2)},
+            totals={"_n": ("sum", "_one"), **{f"_s{i}": ("sum", f"_t{i}") for i in range(2)}}))
 
-    ha, hb = hashed(a, "a"), hashed(b, "b")
+    ha, hb = hashed(a), hashed(b)
     counts = (a.groupBy(*key).agg(F.count(F.lit(1)).alias("n_a"))
               .join(b.groupBy(*key).agg(F.count(F.lit(1)).alias("n_b")), key, "full"))
 

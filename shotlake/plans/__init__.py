@@ -2,7 +2,8 @@
 survive a hot key, exact quantiles, and chunked folds."""
 
 from shotlake.plans.fold import finite_fold, greedy_spacing
+from shotlake.plans.lineage import settle
 from shotlake.plans.ordered import chunk_of, ordered_scan, position
 from shotlake.plans.quantile import exact_quantile
 
-__all__ = ["chunk_of", "exact_quantile", "finite_fold", "greedy_spacing", "ordered_scan", "position"]
+__all__ = ["chunk_of", "exact_quantile", "finite_fold", "greedy_spacing", "ordered_scan", "position", "settle"]

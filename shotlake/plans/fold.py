@@ -14,65 +14,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans.ordered import ordered_scan, position
+from shotlake.plans.ordered import position
 
 
-def greedy_spacing(df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk: int = 4096) -> DataFrame:
+def greedy_spacing(df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk: int = 1 << 14) -> DataFrame:
     """Keep rows at least `gap` apart, first come first kept; a row that is
     dropped does not start a gap. `at` is an integer, unique within a key.
+    Returns the keys and `at` of the kept rows.
 
-    A run of rows closer than `gap` to each other is independent of every
-    other run, because the row opening it is kept whatever came before. Runs
-    within one chunk are folded as arrays; runs crossing chunks go through the
-    transfer functions.
+    What matters of the past of a chunk is the next free position, one of `gap`
+    values. Mostly the chunk forgets it (two of its rows lie `gap` apart, or its
+    start is empty), and the next chunk knows its entry at once; only chunks after
+    one that does not forget are passed through one by one.
     """
     keys = list(keys)
     gap = max(1, int(gap))
     chunk = max(int(chunk), 2 * gap)
-    seen = ordered_scan(df, keys, [at], width=chunk, lag={"_prev": at})
-    opened = seen.withColumn(
-        "_opens", F.when(F.col("_prev").isNull() | (F.col(at) - F.col("_prev") >= gap), F.col(at)))
-    runs = ordered_scan(opened, keys, [at], width=chunk, running={"_run": ("last", "_opens")})
-    runs = runs.withColumn("_part", F.floor(F.col(at) / F.lit(chunk)).cast("long"))
-    part = [*keys, "_run", "_part"]
-
+    part = [*keys, "_part"]
     # at most `chunk` integers: `at` is unique and lies inside one chunk
-    packed = runs.groupBy(*part).agg(F.sort_array(F.collect_list(at)).alias("_at"))
+    packed = df.groupBy(*keys, F.floor(F.col(at) / F.lit(chunk)).cast("long").alias("_part")).agg(
+        F.sort_array(F.collect_list(F.col(at).cast("long"))).alias("_at"))
     base = F.col("_part") * chunk
-    here = F.greatest(base, F.col("_run"))
 
     def walk(free: Column) -> Column:
         """Next free position after the chunk, when positions from `free` on are free."""
         return F.aggregate("_at", free, lambda acc, x: F.when(x >= acc, x + gap).otherwise(acc))
 
-    opens_here = F.floor(F.col("_run") / F.lit(chunk)).cast("long") == F.col("_part")
-    # the chunk where the run opens has one possible state; later chunks have `gap` of them
-    packed = packed.withColumn("_out", F.when(opens_here, F.array(walk(here))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda d: walk(base + d))))
-    spans = packed.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run")))
-    short = spans.filter(F.col("_parts") == 1).select(*part, here.alias("_free"))
+    apart = F.exists(F.zip_with(F.slice("_at", 2, F.size("_at")), F.slice("_at", 1, F.size("_at") - 1),
+                                lambda b, a: b - a >= gap), lambda wide: wide)
+    forgets = apart | (F.element_at("_at", 1) >= base + (gap - 1))
+    each = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda d: walk(base + d))
+    moved = packed.select(*part, F.when(forgets, F.array(walk(base))).otherwise(each).alias("_out"))
+    line = Window.partitionBy(*keys).orderBy("_part")
+    seen = moved.withColumn("_prev", F.lag(F.struct("_part", "_out")).over(line))
+    fresh = F.col("_prev").isNull() | (F.col("_prev._part") < F.col("_part") - 1)
+    told = F.size("_prev._out") == 1
+    seen = seen.withColumn("_free", F.when(fresh, base).when(told, F.greatest(base, F.col("_prev._out")[0])))
+    seen = seen.withColumn("_from", F.last(F.when(F.col("_free").isNotNull(), F.col("_part")), ignorenulls=True).over(line))
+    seen = seen.withColumn("_more", F.lead(F.col("_free").isNull(), 1, False).over(line))
+    known = seen.filter("_free IS NOT NULL").select(*part, "_free")
     kinds = {c: df.schema[c].dataType.simpleString() for c in keys}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "_run long", "_part long", "_free long"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "_part long", "_free long"])
 
     def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The position free on entry to each chunk of one run: one step per chunk."""
+        """Entry of each chunk behind one that does not forget: one step per chunk."""
         pdf = pdf.sort_values("_part")
-        free, entry = int(pdf["_run"].iloc[0]), []
+        free, entry = int(pdf["_free"].iloc[0]), []
         for p, out in zip(pdf["_part"], pdf["_out"]):
             free = max(free, int(p) * chunk)
             entry.append(free)
             free = int(out[0] if len(out) == 1 else out[free - int(p) * chunk])
-        return pdf.assign(_free=entry)[[*part, "_free"]]
+        return pdf.assign(_free=entry)[part].assign(_free=entry).iloc[1:]
 
-    long = (spans.filter(F.col("_parts") > 1).select(*part, "_out")
-            .groupBy(*keys, "_run").applyInPandas(enter, schema))
-    entered = short.unionByName(long).join(packed.select(*part, "_at"), part)
+    chained = (seen.filter("_free IS NULL OR _more").select(*part, "_from", "_free", "_out")
+               .groupBy(*keys, "_from").applyInPandas(enter, schema))
+    entered = packed.join(known.unionByName(chained), part)
     kept = F.aggregate(
         "_at", F.struct(F.col("_free").alias("free"), F.array().cast("array<long>").alias("kept")),
         lambda acc, x: F.when(x >= acc["free"], F.struct(
             (x + gap).alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))["kept"]
-    chosen = entered.select(*keys, F.explode(kept).alias(at))
-    return df.join(chosen, [*keys, at])
+    return entered.select(*keys, F.explode(kept).alias(at))
 
 
 def finite_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: Column,

@@ -96,8 +96,8 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: fl
              name: str = "pos") -> DataFrame:
     """0-based rank of each row within its key, by `order`."""
     seen = ordered_scan(df.withColumn("_one", F.lit(1).cast("long")), keys, order, width=width,
-                        running={"_rank": ("sum", "_one")})
-    return seen.withColumn(name, F.col("_rank") - 1).drop("_rank", "_one")
+                        running={"_place": ("sum", "_one")})
+    return seen.withColumn(name, F.col("_place") - 1).drop("_place", "_one")
 
 
 def _over(how: str, col: Column, frame) -> Column:
