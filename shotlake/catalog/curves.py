@@ -56,7 +56,7 @@ def _wanted(spark, sf):
     return v.probes(spark, sf).select("job_id", "shot_idx").distinct().withColumn("x", 2.0 + F.col("shot_idx") * 1.1)
 
 
-@query("interpolate_curve", f"WITH {WANTED} SELECT job_id, shot_idx, round(x, 6) AS x, round(predicted, 6) AS predicted FROM predicted")
+@query("interpolate_curve", f"WITH {WANTED} SELECT job_id, shot_idx, CAST(round(x, 6) AS DOUBLE) AS x, round(predicted, 6) AS predicted FROM predicted")
 def interpolate_curve(spark, sf):
     return op.interpolate_curve(v.probes(spark, sf), _wanted(spark, sf)).withColumn("x", r6("x")).withColumn("predicted", r6("predicted"))
 

@@ -1 +1,227 @@
+"""Job, listing and set operators on the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shotlake.catalog import query, r6, table
+from shotlake.catalog import views as v
+from shotlake.operators import jobs as op
+from shotlake.sources.media import eligible
+
+NOW = 1.0e9
+
+
+@query("new_files", "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def new_files(spark, sf):
+    listing = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    known = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source"))
+    return op.new_files(listing, known)
+
+
+@query("active_jobs", f"""WITH {v.JOBS},
+listing AS (SELECT DISTINCT 'src/' || c_custkey AS path FROM customer WHERE c_mktsegment <> 'BUILDING'),
+ranked AS (SELECT source, id, created_at, row_number() OVER (PARTITION BY source ORDER BY created_at, id) AS r FROM jobs WHERE status IN ('pending', 'analyzing', 'running'))
+SELECT source AS path, id AS job_id, created_at FROM ranked WHERE r = 1 AND source IN (SELECT path FROM listing)""")
+def active_jobs(spark, sf):
+    listing = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(
+        F.concat(F.lit("src/"), F.col("c_custkey").cast("string")).alias("path"))
+    return op.active_jobs(listing, v.jobs(spark, sf))
+
+
+@query("settled_files", """WITH seen AS (SELECT user_id AS path, CAST(floor(value / 40) AS BIGINT) AS size, epoch_us(ts) / 1e6 AS scan, epoch_us(ts) / 1e6 - value * 60 AS mtime0, ts, event_id FROM events),
+obs AS (SELECT path, size, scan, floor(mtime0 / 86400) * 86400 AS mtime FROM seen WHERE size >= 1),
+steps AS (SELECT *, lag(size) OVER w AS s0, lag(mtime) OVER w AS m0 FROM obs WINDOW w AS (PARTITION BY path ORDER BY scan)),
+ok AS (SELECT * FROM steps WHERE s0 = size AND m0 = mtime AND scan - mtime >= 3600)
+SELECT path, CAST(round(min(scan) * 1000) AS BIGINT) AS accepted_ms, arg_min(size, scan) AS size FROM ok GROUP BY path""")
+def settled_files(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("path"), F.floor(F.col("value") / 40).cast("long").alias("size"), ts.alias("scan_ts"),
+        F.timestamp_seconds(F.floor((ts.cast("double") - F.col("value") * 60) / 86400) * 86400).alias("mtime"))
+    out = op.settled_files(rows, 3600.0, 1)
+    return out.select("path", F.round(F.col("accepted_at").cast("double") * 1000).cast("long").alias("accepted_ms"), "size")
+
+
+# file names from page addresses: every page is a video, its sidecars named after its dotted path
+NAMES = r"""pg AS (SELECT page_id, 'lib/' || split_part(split_part(url, '//', 2), '/', 1) AS dir, 'v' || (page_id % 40) || CASE WHEN page_id % 4 = 0 THEN '.part' || (page_id % 3) ELSE '' END AS stem FROM pages),
+videos AS (SELECT DISTINCT dir, stem || '.mkv' AS name, stem FROM pg),
+sidecars AS (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN dir || '/Subs' ELSE dir END AS dir, upper(stem) || CASE WHEN page_id % 2 = 0 THEN '.en' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '.nfo' ELSE '.srt' END AS name FROM pg)"""
+
+
+def _names(spark, sf):
+    k = F.col("page_id")
+    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    pg = table(spark, sf, "pages").select(
+        k, F.concat(F.lit("lib/"), host).alias("dir"), F.concat(F.lit("v"), (k % 40).cast("string"), F.when(
+            k % 4 == 0, F.concat(F.lit(".part"), (k % 3).cast("string"))).otherwise("")).alias("stem"))
+    videos = pg.select("dir", F.concat("stem", F.lit(".mkv")).alias("name")).distinct()
+    sidecars = pg.select(
+        F.when(k % 5 == 0, F.concat("dir", F.lit("/Subs"))).otherwise(F.col("dir")).alias("dir"),
+        F.concat(F.upper("stem"), F.when(k % 2 == 0, ".en").otherwise(""), F.when(k % 7 == 0, ".nfo").otherwise(".srt")).alias("name")).distinct()
+    return videos, sidecars
+
+
+@query("pair_sidecars", f"""WITH {NAMES},
+homes AS (SELECT dir, name, dir AS home, '' AS rel FROM sidecars UNION ALL SELECT dir, name, left(dir, length(dir) - 5), 'Subs' FROM sidecars WHERE dir LIKE '%/Subs'),
+met AS (SELECT h.*, o.name AS video, length(o.stem) AS n FROM homes h JOIN videos o ON o.dir = h.home AND starts_with(lower(h.name), lower(o.stem) || '.') AND length(h.name) > length(o.stem) + 1 WHERE h.name LIKE '%.srt')
+SELECT dir, name, home, rel, video FROM met m WHERE n = (SELECT max(n) FROM met x WHERE x.dir = m.dir AND x.name = m.name AND x.home = m.home)""")
+def pair_sidecars(spark, sf):
+    return op.pair_sidecars(*_names(spark, sf))
+
+
+@query("reconcile_copies", """WITH planned AS (SELECT 'a/' || doc_id AS source, 'b/' || doc_id AS dest, md5(text) AS sha FROM documents),
+existing AS (SELECT 'b/' || doc_id AS path, md5(CASE WHEN toxic = 1 THEN 'x' || text ELSE text END) AS sha FROM labels JOIN documents USING (doc_id))
+SELECT source, dest, p.sha, CASE WHEN e.sha IS NULL THEN 'copied' WHEN e.sha = p.sha THEN 'same' ELSE 'kept' END AS status, NOT coalesce(e.sha <> p.sha, false) AS removable
+FROM planned p LEFT JOIN existing e ON path = dest""")
+def reconcile_copies(spark, sf):
+    docs = table(spark, sf, "documents")
+    key = F.col("doc_id").cast("string")
+    planned = docs.select(F.concat(F.lit("a/"), key).alias("source"), F.concat(F.lit("b/"), key).alias("dest"), F.md5("text").alias("sha"))
+    existing = table(spark, sf, "labels").join(docs, "doc_id").select(
+        F.concat(F.lit("b/"), key).alias("path"), F.md5(F.when(F.col("toxic") == 1, F.concat(F.lit("x"), F.col("text"))).otherwise(F.col("text"))).alias("sha"))
+    return op.reconcile_copies(planned, existing)
+
+
+@query("browse_order", """SELECT name, is_dir FROM (SELECT DISTINCT CASE WHEN page_id % 9 = 0 THEN '.' ELSE '' END || split_part(url, '/', 4) || page_id AS name, page_id % 3 = 0 AS is_dir FROM pages)
+WHERE NOT starts_with(name, '.')""")
+def browse_order(spark, sf):
+    k = F.col("page_id")
+    name = F.concat(F.when(k % 9 == 0, ".").otherwise(""), F.split_part("url", F.lit("/"), F.lit(4)), k.cast("string"))
+    return op.browse_order(table(spark, sf, "pages").select(name.alias("name"), (k % 3 == 0).alias("is_dir")))
+
+
+@query("eligible_files", r"""WITH l AS (SELECT page_id, '/lib/' || CASE page_id % 4 WHEN 0 THEN 'show/av1/' WHEN 1 THEN 'work/' ELSE 'a/' END || 'av1.' || page_id || CASE WHEN page_id % 3 = 0 THEN '.MKV' WHEN page_id % 3 = 1 THEN '.mp4' ELSE '.txt' END AS path FROM pages)
+SELECT path FROM l WHERE page_id % 4 > 1 AND page_id % 3 < 2""")
+def eligible_files(spark, sf):
+    k = F.col("page_id")
+    path = F.concat(F.lit("/lib/"), F.when(k % 4 == 0, "show/av1/").when(k % 4 == 1, "work/").otherwise("a/"), F.lit("av1."), k.cast("string"),
+                    F.when(k % 3 == 0, ".MKV").when(k % 3 == 1, ".mp4").otherwise(".txt"))
+    return eligible(table(spark, sf, "pages").select(path.alias("path")), "/lib", ["mkv", "mp4"])
+
+
+@query("count_by_status", f"""WITH {v.JOBS} SELECT s AS status, count(id) AS n FROM (SELECT unnest(['pending', 'analyzing', 'running', 'done', 'failed', 'skipped', 'cancelled']) AS s)
+LEFT JOIN jobs ON status = s GROUP BY s""")
+def count_by_status(spark, sf):
+    return op.count_by_status(v.jobs(spark, sf))
+
+
+@query("list_jobs", f"WITH {v.JOBS} SELECT id, created_at FROM jobs WHERE status = 'done' ORDER BY created_at DESC, id DESC LIMIT 500")
+def list_jobs(spark, sf):
+    return op.list_jobs(v.jobs(spark, sf), "done", 500).select("id", "created_at")
+
+
+@query("jobs_by_prefix", f"WITH {v.JOBS} SELECT id FROM jobs WHERE starts_with(id, '77') ORDER BY id LIMIT 2")
+def jobs_by_prefix(spark, sf):
+    return op.jobs_by_prefix(v.jobs(spark, sf), "77").select("id")
+
+
+@query("next_pending", f"WITH {v.JOBS} SELECT id, created_at FROM jobs WHERE status = 'pending' ORDER BY created_at, id LIMIT 5")
+def next_pending(spark, sf):
+    return op.next_pending(v.jobs(spark, sf), 5).select("id", "created_at")
+
+
+@query("queue_positions", f"WITH {v.JOBS} SELECT id, row_number() OVER (ORDER BY created_at, id) AS position FROM jobs WHERE status = 'pending'")
+def queue_positions(spark, sf):
+    return op.queue_positions(v.jobs(spark, sf))
+
+
+@query("execution_order", f"WITH {v.JOBS} SELECT id, status, started_at FROM jobs")
+def execution_order(spark, sf):
+    return op.execution_order(v.jobs(spark, sf)).select("id", "status", "started_at")
+
+
+@query("prune", f"WITH {v.JOBS} SELECT id, status FROM jobs WHERE status <> 'done'")
+def prune(spark, sf):
+    return op.prune(v.jobs(spark, sf), ["done", "failed", "running"]).select("id", "status")
+
+
+@query("prune_orphans", "SELECT doc_id AS job_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def prune_orphans(spark, sf):
+    logs = table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), "n_chars")
+    return op.prune_orphans(logs, table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("retention", "SELECT event_id FROM events WHERE epoch_us(ts) / 1e6 < epoch(TIMESTAMP '2024-01-20') - 5 * 86400")
+def retention(spark, sf):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return op.retention(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), now, 5, "ts").select("event_id")
+
+
+@query("job_savings", f"""WITH {v.JOBS} SELECT id, round(1 - size_after / size_before, 6) AS saved,
+  CAST(greatest(0, CASE WHEN finished_at IS NOT NULL THEN finished_at WHEN status = 'running' THEN {NOW} END - started_at) AS DOUBLE) AS run_seconds,
+  CASE WHEN progress_fps > 0 AND stage <> 'probing' THEN round((1000 - progress_done) / progress_fps, 6) END AS eta_seconds FROM jobs""")
+def job_savings(spark, sf):
+    rows = op.job_savings(v.jobs(spark, sf), F.lit(NOW))
+    # a pending job has no end: NULL, as in the SQL after greatest() skips NULLs
+    return rows.select("id", r6("saved").alias("saved"), "run_seconds", r6("eta_seconds").alias("eta_seconds"))
+
+
+@query("library_savings", f"""WITH {v.JOBS} SELECT preset, codec, count(*) AS jobs, CAST(sum(size_before) AS BIGINT) AS size_before, CAST(sum(size_after) AS BIGINT) AS size_after,
+round(1 - sum(size_after) / sum(size_before), 6) AS saved FROM jobs WHERE status = 'done' GROUP BY ROLLUP (preset, codec)""")
+def library_savings(spark, sf):
+    return op.library_savings(v.jobs(spark, sf)).withColumn("saved", r6("saved"))
+
+
+@query("library_savings_cube", f"""WITH {v.JOBS} SELECT preset, codec, count(*) AS jobs, CAST(sum(size_before) AS BIGINT) AS size_before, CAST(sum(size_after) AS BIGINT) AS size_after,
+round(1 - sum(size_after) / sum(size_before), 6) AS saved FROM jobs WHERE status = 'done' GROUP BY CUBE (preset, codec)""")
+def library_savings_cube(spark, sf):
+    return op.library_savings(v.jobs(spark, sf), how="cube").withColumn("saved", r6("saved"))
+
+
+@query("verify_outputs", """WITH lines AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+both_ AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS sd, CAST(o_orderkey % 3 AS BIGINT) AS sa, total / 1000 AS od, n % 3 AS oa, n AS os, n - CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS ss
+  FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey)
+SELECT id, CASE WHEN od IS NULL THEN 'no output' ELSE concat_ws(', ', CASE WHEN abs(od - sd) > greatest(1.0, sd * 0.005) THEN 'duration' END, CASE WHEN oa <> sa THEN 'audio count' END,
+  CASE WHEN os <> ss THEN 'subtitle count' END) END AS problems,
+  od IS NOT NULL AND NOT (abs(od - sd) > greatest(1.0, sd * 0.005)) AND oa = sa AND os = ss AS ok FROM both_""")
+def verify_outputs(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("t"), F.count(F.lit(1)).alias("n"))
+    output = lines.select("id", F.lit("av1").alias("video_codec"), (F.col("t") / 1000).alias("duration"), (F.col("n") % 3).alias("audio_count"),
+                          F.col("n").alias("subtitle_count"))
+    source = table(spark, sf, "orders").join(lines.select("id", "n"), F.col("o_orderkey") == F.col("id"), "left").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("duration"), (F.col("o_orderkey") % 3).alias("audio_count"),
+        (F.col("n") - F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)).alias("subtitle_count"))
+    return op.verify_outputs(source, output).select("id", F.array_join("problems", ", ").alias("problems"), "ok")
+
+
+def _presets(spark, sf):
+    named = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name")).distinct().filter("name <> '5-LOW'")
+    return named.withColumn("params", F.create_map(F.lit("crf"), F.substring("name", 1, 1), F.lit("engine"), F.lit("svt")))
+
+
+@query("resolve_presets", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'custom' WHEN o_orderkey % 7 = 0 OR o_orderpriority = '5-LOW' THEN '1-URGENT' ELSE o_orderpriority END AS preset_name,
+CASE WHEN o_orderkey % 9 = 0 THEN '30' WHEN o_orderkey % 7 = 0 OR o_orderpriority = '5-LOW' THEN '1' ELSE o_orderpriority[1] END AS crf FROM orders""")
+def resolve_presets(spark, sf):
+    k = F.col("o_orderkey")
+    asked = F.when(k % 9 == 0, "custom").when(k % 7 == 0, "").otherwise(F.col("o_orderpriority"))
+    rows = op.resolve_presets(table(spark, sf, "orders").select(k.alias("id"), asked.alias("preset")), _presets(spark, sf), "1-URGENT", {"crf": "30"})
+    return rows.select("id", "preset_name", F.col("params")["crf"].alias("crf"))
+
+
+@query("layer_params", """SELECT o_orderkey AS id, 'crf=' || CASE WHEN o_orderkey % 3 = 0 THEN '24' WHEN o_orderkey % 5 = 0 THEN '28' ELSE '30' END || ';preset=' || CASE WHEN o_orderkey % 4 = 0 THEN '3' ELSE '6' END AS merged FROM orders""")
+def layer_params(spark, sf):
+    k = F.col("o_orderkey")
+    builtin = F.create_map(F.lit("crf"), F.lit("30"), F.lit("preset"), F.lit("6"))
+    user = F.create_map(F.lit("crf"), F.when(k % 5 == 0, "28").otherwise(""))
+    override = F.create_map(F.lit("crf"), F.when(k % 3 == 0, F.lit("24")), F.lit("preset"), F.when(k % 4 == 0, "3").otherwise(""), F.lit("other"), F.lit("1"))
+    merged = op.layer_params(builtin, user, override, known=["crf", "preset"])
+    return table(spark, sf, "orders").select(k.alias("id"), F.concat(F.lit("crf="), merged["crf"], F.lit(";preset="), merged["preset"]).alias("merged"))
+
+
+@query("override_diff", """SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'a' END, CASE WHEN o_orderstatus <> 'F' THEN 'b' END) AS changed FROM orders""")
+def override_diff(spark, sf):
+    current = F.create_map(F.lit("a"), (F.col("o_orderkey") % 2).cast("string"), F.lit("b"), F.col("o_orderstatus"))
+    base = F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("F"))
+    keys = F.array_join(F.sort_array(F.map_keys(op.override_diff(current, base))), ",")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), keys.alias("changed"))
+
+
+@query("heaviest_step", """SELECT l_suppkey AS job_id, l_shipdate_y AS phase, max(l_extendedprice) AS peak_gb, max_by(l_partkey, l_extendedprice * 100000 + l_partkey) AS command FROM (
+SELECT *, CASE WHEN l_quantity > 25 THEN 'encode' ELSE 'probe' END AS l_shipdate_y FROM lineitem) GROUP BY 1, 2""")
+def heaviest_step(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("job_id"), F.when(F.col("l_quantity") > 25, "encode").otherwise("probe").alias("phase"),
+        F.col("l_extendedprice").alias("gb"), F.col("l_partkey").alias("command"))
+    return op.heaviest_step(rows)

@@ -191,7 +191,7 @@ def pixel_values(spark: SparkSession, sf: str) -> DataFrame:
     ry = F.floor(F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice")).cast("long") % 1000
     return items.select(
         F.col("l_returnflag").alias("source_id"), F.col("l_suppkey").alias("shot_idx"), (F.col("l_quantity") * 5).cast("int").alias("level"),
-        ry.alias("ry"), F.floor(F.col("l_discount") * 100 + 0.5).alias("rb"), F.floor(F.col("l_tax") * 100 + 0.5).alias("rr"))
+        F.floor(F.col("l_orderkey") / 4096).alias("tile"), ry.alias("ry"), F.floor(F.col("l_discount") * 100 + 0.5).alias("rb"), F.floor(F.col("l_tax") * 100 + 0.5).alias("rr"))
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
