@@ -15,6 +15,11 @@ from shotlake.operators import fits
 from shotlake.operators.jobs import COOLOFF_S, EVENTS, STALE_S, TEST_HUNG_S, job_automaton, stage_of
 
 
+def _clock(live: bool) -> str:
+    """Timers only where the processing clock means something: a replay has none."""
+    return "ProcessingTime" if live else "None"
+
+
 def _rows(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     frames = [b for b in batches if len(b)]
     return pd.concat(frames, ignore_index=True).sort_values(by, kind="stable") if frames else pd.DataFrame(columns=by)
@@ -132,7 +137,7 @@ class DeviceHealth(_Keyed):
         # what changes by the clock: a stale heartbeat, a hung test, the end of the cool-off
         waits = [t + d for t, d in ((s[5], STALE_S), (s[4], TEST_HUNG_S), (s[0], COOLOFF_S)) if t is not None]
         due = [t for t in waits if t >= now]
-        if due:
+        if due and self.live:
             self.handle.registerTimer(int(min(due) * 1000) + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
@@ -168,7 +173,7 @@ def stream_device_health(events: DataFrame, live: bool = True) -> DataFrame:
     otherwise (a replay) the latest event is."""
     rows = events.select("device", "kind", F.col("ts").alias("at"), "started")
     return rows.groupBy("device").transformWithStateInPandas(
-        DeviceHealth(live), "device string, at double, state string", "Update", "ProcessingTime")
+        DeviceHealth(live), "device string, at double, state string", "Update", _clock(live))
 
 
 # --- progress --------------------------------------------------------------------
@@ -178,6 +183,9 @@ class Progress(_Keyed):
 
     schema = "stage string, pct double, done long, at double"
 
+    def __init__(self, live: bool):
+        self.live = live
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
         stage, top, seen, _ = self.state.get() if self.state.exists() else (None, -1.0, None, None)
         out, at = [], None
@@ -197,7 +205,7 @@ class Progress(_Keyed):
                     out.append((key[0], r.at, stage, r.pct, int(r.done), int(r.total)))
                 seen = int(r.done)
         self.state.update((stage, top, seen, at))
-        if at is not None:
+        if at is not None and self.live:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + 90_000)
@@ -206,10 +214,11 @@ class Progress(_Keyed):
 
     def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
         stage, _, _, at = self.state.get()
-        yield pd.DataFrame({"job_id": [key[0]], "at": [at], "stage": ["silent"], "pct": [None], "done": [None], "total": [None]})
+        none = pd.array([None], dtype="Int64")
+        yield pd.DataFrame({"job_id": [key[0]], "at": [at], "stage": ["silent"], "pct": [float("nan")], "done": none, "total": none})
 
 
-def stream_progress(lines: DataFrame) -> DataFrame:
+def stream_progress(lines: DataFrame, live: bool = True) -> DataFrame:
     """Reported progress of each job (job_id, ts, text); a job silent for 90 s gets a row with stage "silent"."""
     from shotlake.functions.text import progress_stats
 
@@ -219,7 +228,7 @@ def stream_progress(lines: DataFrame) -> DataFrame:
     rows = lines.select("job_id", F.col("ts").cast("double").alias("at"), mark.alias("mark"),
                         progress_stats(text).alias("_b")).select("job_id", "at", "mark", "_b.*")
     return rows.filter("mark IS NOT NULL OR pct IS NOT NULL").groupBy("job_id").transformWithStateInPandas(
-        Progress(), "job_id string, at double, stage string, pct double, done long, total long", "Update", "ProcessingTime")
+        Progress(live), "job_id string, at double, stage string, pct double, done long, total long", "Update", _clock(live))
 
 
 # --- trackers --------------------------------------------------------------------
@@ -277,8 +286,8 @@ class Breaker(_Keyed):
 
     schema = "status string, streak int, retired_at double"
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, live: bool):
+        self.n, self.live = n, live
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
         status, streak, since = self.state.get() if self.state.exists() else ("in use", 0, None)
@@ -294,7 +303,7 @@ class Breaker(_Keyed):
             if status != was:
                 out.append((key[0], key[1], r.at, status))
         self.state.update((status, streak, since))
-        if status == "retired":
+        if status == "retired" and self.live:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(REARM_S * 1000))
         if out:
             yield pd.DataFrame(out, columns=["job_id", "device", "at", "status"])
@@ -306,8 +315,8 @@ class Breaker(_Keyed):
             yield pd.DataFrame({"job_id": [key[0]], "device": [key[1]], "at": [since + REARM_S], "status": ["retry due"]})
 
 
-def stream_circuit_breaker(outcomes: DataFrame, n: int = 3) -> DataFrame:
+def stream_circuit_breaker(outcomes: DataFrame, n: int = 3, live: bool = True) -> DataFrame:
     """Changes of each (job, device): retired, retry due, in use again, or out."""
     rows = outcomes.select("job_id", "device", F.col("ts").cast("double").alias("at"), "outcome")
     return rows.groupBy("job_id", "device").transformWithStateInPandas(
-        Breaker(n), "job_id string, device string, at double, status string", "Update", "ProcessingTime")
+        Breaker(n, live), "job_id string, device string, at double, status string", "Update", _clock(live))
