@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,7 +200,7 @@ def correction_factor(obs: DataFrame, order: Sequence[str] = ("seq",), width: fl
 
     @F.pandas_udf("array<struct<lo:double,a:double,b:double>>")
     def pieces(samples: pd.Series) -> pd.Series:
-        return pd.Series([[{"lo": x, "a": y, "b": z} for x, y, z in zip(*correction_pieces(s))] for s in samples])
+        return pd.Series([[{"lo": x, "a": y, "b": z} for x, y, z in correction_pieces(s)] for s in samples])
 
     moved = parts.select(*key, "_part", "_n", pieces(F.transform("_run", lambda r: r["s"])).alias("_move"))
     # one entry per chunk of the key
@@ -215,39 +214,35 @@ def correction_factor(obs: DataFrame, order: Sequence[str] = ("seq",), width: fl
         *key, "samples", F.aggregate("_chain", F.lit(1.0), through).alias("factor"))
 
 
-def correction_pieces(samples: Iterable[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's move of the factor as pieces factor -> a*factor + b on [lo, next lo)."""
-    lo, a, b = np.array([FLOOR]), np.array([1.0]), np.array([0.0])
-    for s in samples:
-        # where a piece's value passes s it splits: under s jumps, from s on eases
-        hi = np.append(lo[1:], np.inf)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cut = np.where(a > 0, (s - b) / a, np.nan)
-        new = cut[(cut > lo) & (cut < hi)]
-        if len(new):
-            at = np.searchsorted(lo, new, side="right") - 1
-            lo, a, b = np.append(lo, new), np.append(a, a[at]), np.append(b, b[at])
-            rank = np.argsort(lo, kind="stable")
-            lo, a, b = lo[rank], a[rank], b[rank]
-        probe = np.where(np.isfinite(np.append(lo[1:], np.inf)), (lo + np.append(lo[1:], lo[-1] + 2)) / 2, lo + 1)
-        up = a * probe + b < s
-        jump = min(CAP, max(FLOOR, s * CLEARANCE))
-        a, b = np.where(up, 0.0, a * (1 - EASE)), np.where(up, jump, b * (1 - EASE) + EASE * s)
-        # an easing factor never leaves [floor, cap] unless s itself does
-        low, high = a * lo + b, a * np.append(lo[1:], CAP) + b
-        flat = (high < FLOOR) | ((a == 0) & (low < FLOOR))
-        a, b = np.where(flat, 0.0, a), np.where(flat, FLOOR, b)
-        cross = (a > 0) & (low < FLOOR) & (high >= FLOOR)
-        if cross.any():
-            at = (FLOOR - b[cross]) / a[cross]
-            lo, a, b = np.append(lo, at), np.append(a, a[cross]), np.append(b, b[cross])
-            rank = np.argsort(lo, kind="stable")
-            lo, a, b = lo[rank], a[rank], b[rank]
-            under = (a > 0) & (a * lo + b < FLOOR - 1e-12)
-            a, b = np.where(under, 0.0, a), np.where(under, FLOOR, b)
-        same = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-        lo, a, b = lo[~same], a[~same], b[~same]
-    return lo, a, b
+def correction_pieces(samples: Iterable[float]) -> list[tuple[float, float, float]]:
+    """A chunk's move of the factor as pieces (lo, a, b): factor -> a*factor + b from lo to the next lo.
+
+    A sample splits a piece where its value passes it: under the sample the
+    factor jumps (a constant), from there on it eases. Jumps make constants and
+    easing draws the rest together, so there are never more than a few pieces.
+    """
+    pieces = [(FLOOR, 1.0, 0.0)]
+    for s in map(float, samples):
+        jump, out = min(CAP, max(FLOOR, s * CLEARANCE)), []
+        for i, (lo, a, b) in enumerate(pieces):
+            hi = pieces[i + 1][0] if i + 1 < len(pieces) else float("inf")
+            parts = []
+            cut = (s - b) / a if a > 0 else (lo if b >= s else hi)
+            if cut > lo:
+                parts.append((lo, 0.0, jump))
+            if cut < hi:
+                start, ea, eb = max(lo, cut), a * (1 - EASE), b * (1 - EASE) + EASE * s
+                # the floor holds the lower end of an easing piece
+                edge = (FLOOR - eb) / ea if ea > 0 else (start if eb >= FLOOR else hi)
+                if edge > start:
+                    parts.append((start, 0.0, FLOOR))
+                if edge < hi:
+                    parts.append((max(start, edge), ea, eb))
+            for part in parts:
+                if not out or out[-1][1:] != part[1:]:
+                    out.append(part)
+        pieces = out
+    return pieces
 
 
 def decayed_peak_ratio(obs: DataFrame, order: Sequence[str] = ("seq",), width: float = CHUNK,
