@@ -149,11 +149,10 @@ def retention(spark, sf):
 
 
 @query("job_savings", f"""WITH {v.JOBS} SELECT id, round(1 - size_after / size_before, 6) AS saved,
-  CAST(greatest(0, CASE WHEN finished_at IS NOT NULL THEN finished_at WHEN status = 'running' THEN {NOW} END - started_at) AS DOUBLE) AS run_seconds,
+  CAST(CASE WHEN finished_at IS NOT NULL THEN greatest(0, finished_at - started_at) WHEN status = 'running' THEN greatest(0, {NOW} - started_at) END AS DOUBLE) AS run_seconds,
   CASE WHEN progress_fps > 0 AND stage <> 'probing' THEN round((1000 - progress_done) / progress_fps, 6) END AS eta_seconds FROM jobs""")
 def job_savings(spark, sf):
     rows = op.job_savings(v.jobs(spark, sf), F.lit(NOW))
-    # a pending job has no end: NULL, as in the SQL after greatest() skips NULLs
     return rows.select("id", r6("saved").alias("saved"), "run_seconds", r6("eta_seconds").alias("eta_seconds"))
 
 

@@ -36,7 +36,8 @@ def _docs(spark, sf):
                     F.lit('","bit_rate":"5000","start_time":"N/A"},"streams":['), streams, F.lit("]}"))
     body = F.when(k % 97 == 0, "not json").otherwise(body)
     name = F.concat(F.lit("/lib/show/Show.S01E"), k.cast("string"), F.when(k % 2 == 0, ".2160p.h265").otherwise(".1080p"), F.when(k % 8 == 0, ".DV.HDR10").otherwise(""), F.lit(".mkv"))
-    return table(spark, sf, "orders").select(name.alias("path"), body.alias("body"), k.alias("k"))
+    # a file scan is as wide as the file has row groups; the documents are spread by key before they are parsed
+    return table(spark, sf, "orders").select(name.alias("path"), body.alias("body"), k.alias("k")).repartition("k")
 
 
 MEDIA = """md AS (SELECT o_orderkey AS k, '/lib/show/Show.S01E' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.2160p.h265' ELSE '.1080p' END || CASE WHEN o_orderkey % 8 = 0 THEN '.DV.HDR10' ELSE '' END AS base,

@@ -32,7 +32,8 @@ def fmt_duration(seconds: Column) -> Column:
     """M:SS, or H:MM:SS from an hour on."""
     s = F.greatest(F.lit(0), F.floor(seconds.cast("double") + 0.5).cast("long"))
     h, m, r = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
+    text = F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
+    return F.when(seconds.isNotNull(), text)
 
 
 def fmt_ratio(before: Column, after: Column) -> Column:

@@ -161,8 +161,8 @@ def job_savings(jobs: DataFrame, now: Column) -> DataFrame:
     hidden = F.coalesce("stage", F.lit("")).isin("scenedetect", "probing", "verifying")
     eta = F.when((F.col("progress_total") > 0) & (F.col("progress_fps") > 0) & ~hidden, F.greatest(
         F.lit(0), F.col("progress_total") - F.col("progress_done")) / F.col("progress_fps"))
-    return jobs.withColumns({"saved": ratio, "run_seconds": F.greatest(F.lit(0.0), ends - F.col("started_at")),
-                             "eta_seconds": eta})
+    ran = ends - F.col("started_at")
+    return jobs.withColumns({"saved": ratio, "run_seconds": F.when(ran.isNotNull(), F.greatest(F.lit(0.0), ran)), "eta_seconds": eta})
 
 
 def library_savings(jobs: DataFrame, by: Sequence[str] = ("preset", "codec"), how: str = "rollup") -> DataFrame:

@@ -76,12 +76,13 @@ def ordered_scan(
         data = _with_carry(data, keys, order, lag, lead, running, before, following, totals)
 
     out: dict[str, Column] = {}
+    first, last = F.row_number().over(local) == 1, F.lead(F.lit(1)).over(local).isNull()
     for name, col in lag.items():
-        here = F.lag(F.struct(F.col(col).alias("v"))).over(local)
-        out[name] = F.coalesce(here, F.col("_carry.lag_" + name))["v"] if chunked else here["v"]
+        here = F.lag(col).over(local)
+        out[name] = F.when(first, F.col("_carry.lag_" + name)).otherwise(here) if chunked else here
     for name, col in lead.items():
-        here = F.lead(F.struct(F.col(col).alias("v"))).over(local)
-        out[name] = F.coalesce(here, F.col("_carry.lead_" + name))["v"] if chunked else here["v"]
+        here = F.lead(col).over(local)
+        out[name] = F.when(last, F.col("_carry.lead_" + name)).otherwise(here) if chunked else here
     for prefix, specs, frame in (("run_", running, upto), ("bef_", before, strictly), ("fol_", following, ahead)):
         for name, (how, col) in specs.items():
             carry = F.col("_carry." + prefix + name) if chunked else None
@@ -123,12 +124,13 @@ def _combine(how: str, here: Column, carry: Column | None) -> Column:
 
 def _with_carry(data, keys, order, lag, lead, running, before, following, totals) -> DataFrame:
     """Join each row with what the other chunks of its key contribute."""
-    at = F.struct(*[F.col(c) for c in order])
+    # plain values keep the partial aggregate a hash aggregate; a struct would sort the rows for it
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     aggs: list[Column] = []
     for name, col in lag.items():
-        aggs.append(F.max_by(F.struct(F.col(col).alias("v")), at).alias("lag_" + name))
+        aggs.append(F.max_by(col, at).alias("lag_" + name))
     for name, col in lead.items():
-        aggs.append(F.min_by(F.struct(F.col(col).alias("v")), at).alias("lead_" + name))
+        aggs.append(F.min_by(col, at).alias("lead_" + name))
     for prefix, specs in (("run_", running), ("bef_", before), ("fol_", following), ("tot_", totals)):
         for name, (how, col) in specs.items():
             value = F.col(col)

@@ -47,10 +47,15 @@ def side_data(stream: Column) -> Column:
     return F.struct(dovi.alias("dovi"), display.alias("mastering_display"), cll.alias("max_cll"))
 
 
+def _parsed(docs: DataFrame, body: str) -> DataFrame:
+    """Documents with their JSON in `_j`, read once: the explode keeps later filters and
+    projections from repeating the parse."""
+    return docs.withColumn("_j", F.explode(F.array(F.from_json(F.col(body), schemas.PROBE_JSON, {"mode": "PERMISSIVE"}))))
+
+
 def parse_media(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """Media rows from probe JSON: the first video stream wins, the others are counted. Unreadable documents give no row."""
-    rows = docs.withColumn("_j", F.from_json(F.col(body), schemas.PROBE_JSON, {"mode": "PERMISSIVE"})).filter(
-        F.col("_j").isNotNull() & (F.col("_j.format").isNotNull() | F.col("_j.streams").isNotNull()))
+    rows = _parsed(docs, body).filter(F.col("_j.format").isNotNull() | F.col("_j.streams").isNotNull())
     streams = F.coalesce("_j.streams", F.array())
 
     def of(kind: str) -> Column:
@@ -95,7 +100,7 @@ def read_media_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_streams(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """One row per stream of each probe document, with its position among streams of its kind."""
-    rows = docs.withColumn("_j", F.from_json(F.col(body), schemas.PROBE_JSON, {"mode": "PERMISSIVE"}))
+    rows = _parsed(docs, body)
     every = rows.select(F.col(path).alias("file"), F.col("_j.format.format_name").contains("matroska").alias("matroska"),
                         F.col("_j.streams").alias("_all"), F.posexplode("_j.streams").alias("_i", "s"))
     before = F.size(F.filter(F.slice("_all", 1, F.col("_i")), lambda o: o["codec_type"] == F.col("s.codec_type")))
