@@ -49,9 +49,7 @@ def device_health(spark, sf):
     t = F.col("ts").cast("timestamp").cast("double")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("device"), t.alias("ts"), F.try_element_at(kinds, F.col("event_type")).alias("kind"),
                                              (t - F.col("value")).alias("started"))
-    now = rows.agg((F.max("ts") + 30).alias("_now")).withColumn("_k", F.lit(1))
-    at = rows.withColumn("_k", F.lit(1)).join(now, "_k")
-    return op.device_health(at.drop("_k"), F.col("_now"), key=["device", "_now"]).drop("_now")
+    return op.device_health(rows, rows.agg(F.max("ts") + 30).scalar(), key=["device"])
 
 
 STREAK = 3

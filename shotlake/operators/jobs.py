@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, ordered_scan, position, settle
+from shotlake.plans import finite_fold, ordered_scan, position, settle, small
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -203,19 +203,19 @@ def verify_outputs(source: DataFrame, output: DataFrame, mux: DataFrame | None =
 
 def resolve_presets(jobs: DataFrame, presets: DataFrame, default: str, base: Mapping[str, str]) -> DataFrame:
     """Each job's preset parameters: an empty or unknown name takes the default
-    preset, "custom" the base parameters. The preset table is the user's settings
-    page; Spark broadcasts it by its measured size."""
+    preset, "custom" the base parameters. Many jobs share one preset, so the preset
+    table (the settings page) is broadcast once its size has been checked, and the
+    default preset is a scalar subquery, not a join."""
     asked = F.when(F.coalesce("preset", F.lit("")) == "", F.lit(default)).otherwise(F.col("preset"))
     named = presets.select(F.col("name").alias("_asked"), F.col("params").alias("_params"))
-    fallback = presets.filter(F.col("name") == default).select(F.lit(1).alias("_k"), F.col("params").alias("_default"))
-    joined = jobs.withColumn("_asked", asked).withColumn("_k", F.lit(1)).join(named, "_asked", "left").join(
-        fallback, "_k", "left")
+    fallback = presets.filter(F.col("name") == default).agg(F.first("params")).scalar()
+    joined = jobs.withColumn("_asked", asked).join(small(named), "_asked", "left")
     base_map = F.create_map(*[F.lit(v) for kv in base.items() for v in kv]) if base else F.create_map().cast("map<string,string>")
     custom = F.col("_asked") == "custom"
     return (joined.withColumn("preset_name", F.when(custom, "custom").when(
                 F.col("_params").isNotNull(), F.col("_asked")).otherwise(default))
-            .withColumn("params", F.when(custom, base_map).otherwise(F.coalesce("_params", "_default")))
-            .drop("_asked", "_k", "_params", "_default"))
+            .withColumn("params", F.when(custom, base_map).otherwise(F.coalesce(F.col("_params"), fallback)))
+            .drop("_asked", "_params"))
 
 
 def layer_params(*layers: Column, known: Sequence[str] | None = None) -> Column:

@@ -213,9 +213,8 @@ def track_signals(cues: DataFrame, lexicon: DataFrame, key: Sequence[str] = TRAC
     judged = words.join(known, "word", "left").groupBy(*key).agg(
         F.sum("n").alias("tokens"),
         F.sum(F.when(F.col("_known").isNull() & (F.col("word") != ""), F.col("n")).otherwise(0)).alias("_oov"))
-    size = lexicon.select("word").distinct().agg(F.count(F.lit(1)).alias("lexicon_entries"))
-    t = all_cues.join(out, key, "left").join(median, key, "left").join(judged, key, "left").withColumn("_one", F.lit(1)).join(
-        size.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    entries = lexicon.agg(F.count_distinct("word")).scalar()
+    t = all_cues.join(out, key, "left").join(median, key, "left").join(judged, key, "left").withColumn("lexicon_entries", entries)
     zero = [c for c in t.columns if c not in key]
     t = t.fillna(0, subset=zero)
     n, n_out, total = F.greatest("pgs_cues", F.lit(1)), F.greatest("srt_cues", F.lit(1)), F.greatest("chars_total", F.lit(1))

@@ -5,5 +5,6 @@ from shotlake.plans.fold import finite_fold, greedy_spacing
 from shotlake.plans.lineage import settle
 from shotlake.plans.ordered import chunk_of, ordered_scan, position
 from shotlake.plans.quantile import exact_quantile
+from shotlake.plans.small import small
 
-__all__ = ["chunk_of", "exact_quantile", "finite_fold", "greedy_spacing", "ordered_scan", "position", "settle"]
+__all__ = ["chunk_of", "exact_quantile", "finite_fold", "greedy_spacing", "ordered_scan", "position", "settle", "small"]

@@ -1,0 +1,14 @@
+"""Broadcast hints for tables whose size has been looked at."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows; a larger one is left
+    to the planner. The count stops one row past the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
