@@ -5,3 +5,10 @@ takes DataFrames and returns a lazy DataFrame.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to Python workers travel whole, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

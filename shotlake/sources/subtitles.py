@@ -13,7 +13,8 @@ from shotlake.operators.subtitles import srt_blocks
 
 # fixed values: segment types and the header layout (magic, pts, dts, type, size)
 COMPOSITION, END = 0x16, 0x80
-_HEADER = struct.Struct(">2sIIBH")
+_HEADER = ">2sIIBH"
+_HEADER_SIZE = struct.calcsize(_HEADER)
 
 
 def walk_segments(buf: bytes) -> tuple[list[tuple[int, int, int, bytes]], str | None]:
@@ -21,15 +22,15 @@ def walk_segments(buf: bytes) -> tuple[list[tuple[int, int, int, bytes]], str |
     A lost sync or a cut payload makes the whole stream an error."""
     off, out = 0, []
     while off < len(buf):
-        if off + _HEADER.size > len(buf):
+        if off + _HEADER_SIZE > len(buf):
             return [], f"short header at {off}"
-        magic, pts, _, kind, size = _HEADER.unpack_from(buf, off)
+        magic, pts, _, kind, size = struct.unpack_from(_HEADER, buf, off)
         if magic != b"PG":
             return [], f"lost sync at {off}"
-        end = off + _HEADER.size + size
+        end = off + _HEADER_SIZE + size
         if end > len(buf):
             return [], f"truncated payload at {off}"
-        out.append((off, pts, kind, buf[off + _HEADER.size:end]))
+        out.append((off, pts, kind, buf[off + _HEADER_SIZE:end]))
         off = end
     return out, None
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shotlake.operators import fits
+from shotlake.operators.fits import APPROACH, CAP, CLEARANCE, DECAY, EASE, FLOOR, RATIO_CAP, RATIO_FLOOR, SAMPLE_CAP
 from shotlake.operators.jobs import COOLOFF_S, EVENTS, STALE_S, TEST_HUNG_S, job_automaton, stage_of
 
 
@@ -243,8 +243,8 @@ class Correction(_Keyed):
         for r in _rows(rows, ["seq"]).itertuples(index=False):
             if r.predicted > 0 and r.observed > 0:
                 ratio, n = r.observed / r.predicted, n + 1
-                factor = ratio * fits.CLEARANCE if ratio > factor else factor + fits.EASE * (ratio - factor)
-                factor = min(fits.CAP, max(fits.FLOOR, factor))
+                factor = ratio * CLEARANCE if ratio > factor else factor + EASE * (ratio - factor)
+                factor = min(CAP, max(FLOOR, factor))
         self.state.update((float(factor), n))
         yield pd.DataFrame({"job_id": [key[0]], "samples": [n], "factor": [float(factor)]})
 
@@ -258,8 +258,8 @@ class PeakRatio(_Keyed):
         worst, ratio, n = self.state.get() if self.state.exists() else (0.0, 1.0, 0)
         for r in _rows(rows, ["seq"]).itertuples(index=False):
             if r.measured > 0 and r.booked > 0:
-                worst = max(min(fits.SAMPLE_CAP, r.measured / r.booked), worst * fits.DECAY)
-                ratio = min(fits.RATIO_CAP, max(fits.RATIO_FLOOR, ratio + (worst - ratio) / fits.APPROACH))
+                worst = max(min(SAMPLE_CAP, r.measured / r.booked), worst * DECAY)
+                ratio = min(RATIO_CAP, max(RATIO_FLOOR, ratio + (worst - ratio) / APPROACH))
                 n += 1
         self.state.update((float(worst), float(ratio), n))
         yield pd.DataFrame({"job_id": [key[0]], "samples": [n], "worst": [float(worst)], "ratio": [float(ratio)]})
