@@ -90,8 +90,8 @@ def plan_actions(spark, sf):
         "overrides", F.create_map(F.lit("crf"), F.lit("24"), F.lit("bogus"), F.lit("1")))
     presets = table(spark, sf, "region").select(F.when(F.col("r_regionkey") == 0, "balanced").when(F.col("r_regionkey") == 1, "shots").otherwise(
         F.col("r_name")).alias("name")).withColumn("params", F.create_map(F.lit("crf"), F.lit("30"), F.lit("engine"), F.when(
-            F.col("name") == "shots", "optimizer").otherwise("av1an"), F.lit("target_quality"), F.lit("")))
-    base = {"crf": "30", "engine": "av1an", "target_quality": "", "target_metric": "vmaf"}
+            F.col("name") == "shots", "optimizer").otherwise("svt"), F.lit("target_quality"), F.lit("")))
+    base = {"crf": "30", "engine": "svt", "target_quality": "", "target_metric": "vmaf"}
     return op.plan_actions(media, presets, base, {"min_height": 2000}).select("path", "skip", "skip_reason", "output_path", "color_primaries")
 
 

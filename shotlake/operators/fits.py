@@ -63,11 +63,13 @@ def theil_sen(pairs: DataFrame, limit: int = FIT_WINDOW, key: Sequence[str] = JO
 
 
 def gated_map_fit(pairs: DataFrame, max_residual: float = 2.0, margin: float = 0.0, need: int = 4,
-                  limit: int = 64, key: Sequence[str] = JOB) -> DataFrame:
+                  limit: int = FIT_WINDOW, key: Sequence[str] = JOB) -> DataFrame:
     """A mapping line per key, or NULL with a reason when it cannot be trusted.
 
     The test is the deviation of leave-one-out residuals, not the fit's own.
-    Pairs are a job's calibration anchors: a handful, spread by anchor_sample.
+    Pairs are a job's calibration anchors: a handful, spread by anchor_sample. A
+    key with more than `limit` of them is refused (and so probed in full), never
+    fitted on a part.
     """
     pts = F.col("pts")
     points = settle(_points(pairs, limit, key))
@@ -77,8 +79,10 @@ def gated_map_fit(pairs: DataFrame, max_residual: float = 2.0, margin: float = 0
     loo = _with_line(each).groupBy(*key).agg(
         F.stddev_samp(F.col("_p.y") - (F.col("a") * F.col("_p.q") + F.col("b"))).alias("sd"))
     told = _with_line(points).join(loo, [*key], "left").withColumn("sd", F.coalesce("sd", F.lit(0.0)))
+    total = pairs.filter("q IS NOT NULL AND x_star IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))
+    told = told.join(total, [*key])
     n = F.size(pts)
-    refused = F.when(n < need, "too few pairs").when(F.col("sd") > max_residual, "residual over the limit")
+    refused = F.when(n < need, "too few pairs").when(F.col("_total") > limit, "too many pairs").when(F.col("sd") > max_residual, "residual over the limit")
     trusted = refused.isNull()
     qs = F.transform(pts, lambda p: p["q"])
     return told.select(
