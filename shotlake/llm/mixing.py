@@ -102,7 +102,7 @@ def place(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, most_repeats:
                          F.ceil(F.col("docs") / CHUNK).alias("mix_chunks"))
     # one key may hold a third of the rows: the few rows of the plan are given to every salt
     salt = F.pmod(F.xxhash64("mix_text", "doc_id"), F.lit(64))
-    rows = rows.withColumn("mix_salt", salt).join(table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long")),
+    rows = rows.withColumn("mix_salt", salt).join(table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))),
                                                   ["mix_key", "mix_salt"]).drop("mix_salt")
     last = F.floor((F.col("mix_budget") + F.col("mix_all") - 1) / F.col("mix_all")) - 1
     rows = rows.where("mix_budget > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -151,12 +151,12 @@ s(i, lo, hi) AS (
   UNION ALL
   SELECT i + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM (
     SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-           ln(list_sum(list_transform(l, x -> pow(x / total, (lo + hi) / 2))))
-           - (lo + hi) / 2 * list_sum(list_transform(l, x -> pow(x / total, (lo + hi) / 2) * ln(x / total)))
-             / list_sum(list_transform(l, x -> pow(x / total, (lo + hi) / 2))) > {TARGET_ENTROPY} * ln(k)
+           ln(list_sum(list_transform(l, lambda x: pow(x / total, (lo + hi) / 2))))
+           - (lo + hi) / 2 * list_sum(list_transform(l, lambda x: pow(x / total, (lo + hi) / 2) * ln(x / total)))
+             / list_sum(list_transform(l, lambda x: pow(x / total, (lo + hi) / 2))) > {TARGET_ENTROPY} * ln(k)
            OR pow(most / least, 1 - (lo + hi) / 2) > {MOST_REPEATS} AS flat
     FROM s, g WHERE i < {LEVELS})),
-e AS (SELECT hi AS a, list_sum(list_transform(l, x -> pow(x / total, hi))) AS z, total, most FROM s, g WHERE i = {LEVELS}),
+e AS (SELECT hi AS a, list_sum(list_transform(l, lambda x: pow(x / total, hi))) AS z, total, most FROM s, g WHERE i = {LEVELS}),
 p AS (SELECT key, tokens, greatest(tokens, floor(pow(tokens / total, a) / z * (most / (pow(most / total, a) / z)) + 0.5)::BIGINT) AS budget FROM t, e),
 b AS (SELECT ceil(sum(budget) / {BLOCK_TOKENS}.0) AS blocks FROM p),
 c AS (SELECT d.*, p.tokens, p.budget, unnest(range((p.budget + p.tokens - 1) // p.tokens)) AS epoch FROM d JOIN p USING (key)),
