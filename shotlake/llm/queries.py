@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotlake.llm import mixing
+from shotlake.llm import mixing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op1_mixing"] = mixing.ORACLE
+
+
+@query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
