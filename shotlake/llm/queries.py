@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotlake.llm import mixing, secret_scan
+from shotlake.llm import mixing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,10 @@ ORACLES["op1_mixing"] = mixing.ORACLE
 @query
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf, "labels")).selectExpr(
+        "doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted", "size(toxicity.passages) AS n_passages")
