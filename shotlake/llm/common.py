@@ -30,7 +30,7 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows of `df` as a written table; its lineage ends there. `drop` removes it."""
     path = f"{folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotlake.llm import mixing, secret_scan, toxicity
+from shotlake.llm import mixing, secret_scan, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf, "labels")).selectExpr(
         "doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted", "size(toxicity.passages) AS n_passages")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.token_file_rows(table(spark, sf, "documents").select("doc_id", "text"))
