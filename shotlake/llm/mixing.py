@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotlake.llm.common import written
+
 # fixed value: a word, spelled so that Java and RE2 read it alike
 WORD = r"[^ \t\n\r]+"
 LEVELS, AT_ONCE = 40, 5
@@ -96,7 +98,8 @@ def place(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, most_repeats:
     keep = [c for c in docs.columns if not c.startswith("mix_")]
     rows = docs.select(*keep, _key(F.col("source")).alias("mix_key"), n_tokens(F.col("text")).alias("mix_tokens"),
                        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mix_text"))
-    table = plan(source_totals(docs), target_entropy, most_repeats, budget_tokens)
+    # a row for each source, read by every step of the bisection
+    table = written(plan(written(source_totals(docs), "sources"), target_entropy, most_repeats, budget_tokens), "plan")
     blocks = math.ceil((table.agg(F.sum("budget")).first()[0] or 0) / block_tokens)
     table = table.select(F.col("key").alias("mix_key"), F.col("tokens").alias("mix_all"), F.col("budget").alias("mix_budget"),
                          F.ceil(F.col("docs") / CHUNK).alias("mix_chunks"))
