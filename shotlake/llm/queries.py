@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shotlake.llm import mixing, secret_scan, token_files, toxicity
+from shotlake.llm import mixing, mtree, range_join, rollups, secret_scan, token_files, toxicity
+from shotlake.llm.common import drop, folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +49,42 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_file_rows(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_near_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return range_join.near_duplicates(table(spark, sf, "embeddings"))
+
+
+ORACLES["op6_near_embeddings"] = range_join.ORACLE
+
+
+# two tokenizer versions: new counts replace old ones document by document
+OLD, NEW = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents are inserted, those of low quality deleted and those of high quality counted with the new
+    tokenizer; the second batch is committed twice, as after a lost answer."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    counts = written(rollups.count_tokens(docs, {"old": OLD, "new": NEW}), "counts")
+    rollup = rollups.Rollup(spark, f"{folder(spark)}/llm-rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, rollups.change(counts, "insert", OLD, F.col("old")))
+    quality = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = counts.join(quality, "doc_id")
+    for _ in range(2):
+        rollup.commit(2, rollups.change(known.where("quality = 0"), "delete", None).union(
+            rollups.change(known.where("quality = 1"), "revise", NEW, F.col("new"))))
+    totals = written(rollup.totals(), "totals")
+    rollup.remove()
+    drop(counts)
+    return totals
+
+
+@query
+def op9_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op9_top_k"] = mtree.ORACLE

@@ -66,3 +66,30 @@ def byte_level(file: str) -> ByteLevel:
     if file not in held:
         held[file] = ByteLevel(file)
     return held[file]
+
+
+class Ranked(ByteLevel):
+    """A file of ranks for tiktoken, with the same pre-tokeniser."""
+
+    def __init__(self, file: str):
+        import base64
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(tokenizer_file(file), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tokenizer = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.special, self.cache = [], {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode_ordinary(t), self.dtype).tobytes() for t in texts]
+
+
+def ranked(file: str) -> Ranked:
+    held = worker_cache("ranked")
+    if file not in held:
+        held[file] = Ranked(file)
+    return held[file]
