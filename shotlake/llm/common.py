@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,22 +64,32 @@ def real_key(key: Column) -> Column:
     return F.when(key > NO_ID, key)
 
 
-def by_group(batches: Iterator[pd.DataFrame], key: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None],
-             rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Apply `fn` to each run of equal keys of a partition sorted by `key`; results leave in batches of about `rows`."""
+Run = dict[str, np.ndarray]
+
+
+def by_run(batches: Iterator[pd.DataFrame], key: list[str], fn: Callable[[Run], dict | None], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Apply `fn` to the columns of each run of equal keys of a partition sorted by `key`; results leave in batches of
+    about `rows`. Only the last run of a batch is carried on, so memory holds a batch and a group."""
     rest, out, held = None, [], 0
 
-    def cut(df: pd.DataFrame, last: bool):
+    def cut(df: pd.DataFrame, last: bool) -> None:
         nonlocal rest, held
-        change = (df[key] != df[key].shift()).any(axis=1).to_numpy().nonzero()[0].tolist() + [len(df)]
+        columns = {c: df[c].to_numpy() for c in df.columns}
+        new = np.zeros(len(df), bool)
+        for c in key:
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), len(df)]
         if not last:
-            rest = df.iloc[change[-2]:]
-            change = change[:-1]
-        for a, b in zip(change, change[1:]):
-            got = fn(df.iloc[a:b].reset_index(drop=True))
-            if got is not None and len(got):
+            rest = df.iloc[edges[-2]:]
+            edges = edges[:-1]
+        for a, b in zip(edges, edges[1:]):
+            got = fn({c: x[a:b] for c, x in columns.items()})
+            if got is not None:
                 out.append(got)
-                held += len(got)
+                held += len(next(iter(got.values())))
+
+    def flush() -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
 
     for batch in batches:
         if not len(batch):
@@ -87,17 +98,45 @@ def by_group(batches: Iterator[pd.DataFrame], key: list[str], fn: Callable[[pd.D
             batch, rest = pd.concat([rest, batch], ignore_index=True), None
         cut(batch, False)
         if held >= rows:
-            yield pd.concat(out, ignore_index=True)
+            yield flush()
             out, held = [], 0
     if rest is not None:
         cut(rest, True)
-    if out:
-        yield pd.concat(out, ignore_index=True)
+    if held:
+        yield flush()
 
 
-def grouped(df: DataFrame, key: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+def grouped(df: DataFrame, key: list[str], fn: Callable[[Run], dict | None], schema: str) -> DataFrame:
     """`fn` on each group of `key`, many groups to a task, without a call into Spark for every group."""
-    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(lambda it: by_group(it, key, fn), schema)
+    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(lambda it: by_run(it, key, fn), schema)
+
+
+def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of 0..n-1's piece under links a-b, by repeated pointer jumps."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def link_rows(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict | None:
+    """Links i-j between rows of a group as a row (node, n, root) for each linked row: the documents it links
+    with here, and the smallest node of its piece."""
+    if not len(i):
+        return None
+    n = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
+    order = np.argsort(node, kind="stable")
+    rank = np.empty(len(node), int)
+    rank[order] = np.arange(len(node))
+    root = node[order][union_find(len(node), rank[i], rank[j])[rank]]
+    met = n > 0
+    return {"node": node[met], "n": n[met].astype(np.int64), "root": root[met]}
 
 
 def with_salt(df: DataFrame, *by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import lattice, mixing, mtree, range_join, rollups, secret_scan, token_files, toxicity
+from shotlake.llm import lattice, mixing, mtree, range_join, rollups, secret_scan, set_join, token_files, toxicity
 from shotlake.llm.common import drop, folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,11 @@ ORACLES["op9_top_k"] = mtree.ORACLE
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lattice.encode_samples(docs, ids=False).select("doc_id", "pieces.*")
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return set_join.near_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
+
+
+ORACLES["op2_ngram_join"] = set_join.ORACLE

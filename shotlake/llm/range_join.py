@@ -16,26 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm.common import NO_ID, components, every_salt, real_key, with_salt, written
+from shotlake.llm.common import NO_ID, components, every_salt, link_rows, real_key, with_salt, written
 from shotlake.llm.mtree import finite
 
 CELL, BLOCK, MOST_PIVOTS = 2_048, 1_024, 4_096
 
 
-def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of 0..n-1's piece under links a-b, by repeated pointer jumps."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def unit(rows: list) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -117,14 +103,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         if b == df["a"].iloc[0]:
             close &= li[:, None] < ri[None, :]
         i, j = np.nonzero(close)
-        i, j = li[i], ri[j]
-        n = np.bincount(i, weights=copies[j], minlength=len(df)) + np.bincount(j, weights=copies[i], minlength=len(df))
-        order = np.argsort(node, kind="stable")
-        rank = np.empty(len(node), int)
-        rank[order] = np.arange(len(node))
-        root = node[order][union_find(len(node), rank[i], rank[j])[rank]]
-        met = n > 0
-        return pd.DataFrame({"node": node[met], "n": n[met].astype(np.int64), "root": root[met]})
+        got = link_rows(node, copies, li[i], ri[j])
+        return pd.DataFrame(got or {"node": node[:0], "n": node[:0], "root": node[:0]})
 
     links = written(placed.groupBy(*key, "a", "b").applyInPandas(compare, "node long, n long, root long"), "links")
     found = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
