@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# keys made for rows without an id lie below this; ids of the data are taken to lie above
-NO_ID = -(1 << 62)
+# keys made for rows without an id lie from here on, after all ids of the data
+NO_ID = 1 << 62
 # a row group stays under this many rows where a join on a hot key is dealt out
 SALTS = 16
 
@@ -56,12 +56,12 @@ def worker_cache(name: str) -> dict:
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """doc_id, or a made key from the text for rows without one."""
-    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61)))
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61)))
 
 
 def real_key(key: Column) -> Column:
     """The key, or NULL where `row_key` made it."""
-    return F.when(key > NO_ID, key)
+    return F.when(key < NO_ID, key)
 
 
 Run = dict[str, np.ndarray]

@@ -42,7 +42,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     fit = F.col("label").isNotNull() & finite(F.col("embedding")) & (size2(v) > 0)
     rows = rows.select("vec_id", "label", F.when(fit, v).alias("v"))
-    made = F.lit(NO_ID) - F.pmod(F.xxhash64("label", "v"), F.lit(1 << 61))
+    made = F.lit(NO_ID) + F.pmod(F.xxhash64("label", "v"), F.lit(1 << 61))
     rows = rows.withColumn("key", F.coalesce("vec_id", made))
     able = rows.where("v IS NOT NULL")
     nodes = written(able.groupBy("label", "v").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "vectors")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm.common import (Run, components, drop, every_salt, grouped, link_rows, real_key, row_key, with_salt, worker_cache,
+from shotlake.llm.common import (NO_ID, Run, components, drop, every_salt, grouped, link_rows, real_key, row_key, with_salt, worker_cache,
                                  written)
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -312,7 +312,7 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     # two sets of one doc_id can't share a name: the second takes its own
     twin = nodes.groupBy("node").agg(F.count("*").alias("m"), F.min("h1").alias("h")).where("m > 1").select("node", "h")
     if not twin.isEmpty():
-        own = F.when(F.col("h").isNotNull() & (F.col("h1") != F.col("h")), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(*name), F.lit(1 << 61))).otherwise(F.col("node"))
+        own = F.when(F.col("h").isNotNull() & (F.col("h1") != F.col("h")), F.lit(NO_ID) + F.pmod(F.xxhash64(*name), F.lit(1 << 61))).otherwise(F.col("node"))
         nodes = written(nodes.join(twin, "node", "left").withColumn("own", own).withColumn("id", F.col("node")).drop("node", "h").withColumnRenamed("own", "node"), "nodes")
     else:
         nodes = nodes.withColumn("id", F.col("node"))

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -46,7 +47,7 @@ def test_files(spark):
     data += [(None, "no id"), (None, None), (7, "same id"), (7, "same id"), (99, "word " * 60_000), (-3, "")]
     random.shuffle(data)
     docs = spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, start int")
-    path = f"{H.folder(spark)}/llm-test-{random.random()}"
+    path = f"{H.folder(spark)}/llm-test-{uuid.uuid4().hex}"
     H.write_tokens(docs, path)
     rows = sorted(H.read_tokens(spark, path).collect(), key=lambda r: r.start)
     library, start = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), 0

@@ -56,10 +56,10 @@ def test_held_out(spark):
 
 
 def test_edges(spark):
-    docs, labels = corpus(spark, 120)
+    docs, labels = corpus(spark, 500)
     odd = spark.createDataFrame([(None, None, "x"), (5000, "", "x"), (5000, "", "x"), (5001, "oaf " * 50_000, "x")], docs.schema)
     rows = T.score_toxicity(docs.union(odd), labels.union(spark.createDataFrame([(None, 1), (5, None), (5000, 7)], labels.schema))).where("doc_id IS NULL OR doc_id >= 5000").collect()
-    got = {(r.doc_id, r.text and len(r.text)): r.toxicity for r in rows}
+    got = {(r.doc_id, None if r.text is None else len(r.text)): r.toxicity for r in rows}
     assert len(rows) == 4 and 0 <= got[(5000, 0)].score < 0.3 and got[(5001, 200_000)].score > 0.3 and got[(None, None)].held_out is False
     none = T.score_toxicity(docs, labels.limit(0))
     assert {r.toxicity.score for r in none.collect()} == {0.0}
