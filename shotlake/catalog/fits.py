@@ -12,7 +12,7 @@ from shotlake.operators.timeline import spread_sample
 KEY = ["job_id"]
 # sixteen anchors per key, spread over its pairs
 ANCHORS = v.PAIRS + """,
-anchors AS (
+anchors AS MATERIALIZED (
   SELECT job_id, seq, q, x_star FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM pairs)
   WHERE list_contains(list_transform(range(0, 16), lambda j: CAST(round_even(j * (n - 1) / 15.0, 0) AS BIGINT)), seq))"""
 
@@ -28,7 +28,7 @@ def recent_rows(spark, sf):
 
 
 @query("theil_sen", f"""WITH {ANCHORS},
-slopes AS (SELECT a.job_id, median((b.x_star - a.x_star) / (b.q - a.q)) AS a FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q GROUP BY a.job_id)
+slopes AS MATERIALIZED (SELECT a.job_id, median((b.x_star - a.x_star) / (b.q - a.q)) AS a FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q GROUP BY a.job_id)
 SELECT job_id, count(*) AS n, round(any_value(coalesce(a, 0)), 6) AS a,
        round(CASE WHEN any_value(a) IS NULL THEN arg_min(x_star, seq) ELSE median(x_star - a * q) END, 6) AS b
 FROM anchors LEFT JOIN slopes USING (job_id) GROUP BY job_id""")
@@ -40,11 +40,11 @@ LIMIT = 25.0
 
 
 @query("gated_map_fit", f"""WITH {ANCHORS},
-slopes AS (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
-loo_a AS (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
-loo_b AS (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
-sd AS (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
-line AS (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
+slopes AS MATERIALIZED (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
+loo_a AS MATERIALIZED (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
+loo_b AS MATERIALIZED (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
+sd AS MATERIALIZED (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
+line AS MATERIALIZED (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
 told AS (SELECT job_id, count(*) AS n, min(q) - 1 AS q_lo, max(q) + 1 AS q_hi, any_value(a) AS a, median(x_star - a * q) AS b FROM anchors JOIN line USING (job_id) GROUP BY job_id)
 SELECT job_id, n, round(sd, 6) AS sd, CASE WHEN sd > {LIMIT} THEN 'residual over the limit' END AS refused,
        round(CASE WHEN sd <= {LIMIT} THEN a END, 6) AS a, round(CASE WHEN sd <= {LIMIT} THEN b END, 6) AS b,
@@ -60,19 +60,19 @@ def _normal(src: str, out: str) -> str:
 {out}_m AS (SELECT *, avg(q) OVER w AS mq, avg(l) OVER w AS ml, avg(y) OVER w AS my, count(*) OVER w AS n FROM {src} WINDOW w AS (PARTITION BY job_id)),
 {out}_s AS (SELECT job_id, any_value(n) AS n, any_value(mq) AS mq, any_value(ml) AS ml, any_value(my) AS my, sum((q-mq)*(q-mq)) AS sqq, sum((l-ml)*(l-ml)) AS sll,
   sum((q-mq)*(l-ml)) AS sql, sum((q-mq)*(y-my)) AS sqy, sum((l-ml)*(y-my)) AS sly FROM {out}_m GROUP BY job_id),
-{out} AS (SELECT *, my - bq * mq - bl * ml AS b0 FROM (SELECT *, (sqy*sll - sly*sql) / (sqq*sll - sql*sql) AS bq, (sly*sqq - sqy*sql) / (sqq*sll - sql*sql) AS bl FROM {out}_s))"""
+{out} AS MATERIALIZED (SELECT *, my - bq * mq - bl * ml AS b0 FROM (SELECT *, (sqy*sll - sly*sql) / (sqq*sll - sql*sql) AS bq, (sly*sqq - sqy*sql) / (sqq*sll - sql*sql) AS bl FROM {out}_s))"""
 
 
 OLS = v.PAIRS + """,
-recent AS (SELECT job_id, seq, q, log_bpf AS l, x_star AS y FROM (SELECT *, max(seq) OVER (PARTITION BY job_id) AS top FROM pairs) WHERE seq >= top - 199),""" + _normal(
+recent AS MATERIALIZED (SELECT job_id, seq, q, log_bpf AS l, x_star AS y FROM (SELECT *, max(seq) OVER (PARTITION BY job_id) AS top FROM pairs) WHERE seq >= top - 199),""" + _normal(
     "recent", "f1") + """,
 res AS (SELECT r.*, r.y - (b0 + bq * r.q + bl * r.l) AS e FROM recent r JOIN f1 USING (job_id)),
 sds AS (SELECT job_id, stddev_samp(e) AS sd FROM res GROUP BY job_id),
 near AS (SELECT res.*, sd <= 0 OR abs(e) <= 3 * sd AS ok, count(*) FILTER (WHERE sd <= 0 OR abs(e) <= 3 * sd) OVER (PARTITION BY job_id) AS left_n FROM res JOIN sds USING (job_id)),
-kept AS (SELECT job_id, q, l, y FROM near WHERE left_n < 12 OR ok),""" + _normal("kept", "f2") + """,
+kept AS MATERIALIZED (SELECT job_id, q, l, y FROM near WHERE left_n < 12 OR ok),""" + _normal("kept", "f2") + """,
 loo AS (SELECT job_id, f2.n, b0, bq, bl, (k.y - (b0 + bq * k.q + bl * k.l)) / (1 - (1.0 / f2.n + (sll * (k.q-mq) * (k.q-mq) - 2 * sql * (k.q-mq) * (k.l-ml)
   + sqq * (k.l-ml) * (k.l-ml)) / (sqq*sll - sql*sql))) AS e FROM kept k JOIN f2 USING (job_id)),
-fit AS (SELECT job_id, any_value(n) AS n, any_value(b0) AS b0, any_value(bq) AS bq, any_value(bl) AS bl, stddev_samp(e) AS sd FROM loo GROUP BY job_id)"""
+fit AS MATERIALIZED (SELECT job_id, any_value(n) AS n, any_value(b0) AS b0, any_value(bq) AS bq, any_value(bl) AS bl, stddev_samp(e) AS sd FROM loo GROUP BY job_id)"""
 
 
 @query("ols_trimmed", f"WITH {OLS} SELECT job_id, n, round(b0, 5) AS b0, round(bq, 5) AS bq, round(bl, 5) AS bl, round(sd, 5) AS sd FROM fit")
@@ -89,12 +89,12 @@ def predict_setting(spark, sf):
 
 
 @query("apply_or_abstain", f"""WITH {ANCHORS},
-slopes AS (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
-loo_a AS (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
-loo_b AS (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
-sd AS (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
-line AS (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
-fit AS (SELECT job_id, min(q) AS q_lo, max(q) AS q_hi, any_value(a) AS a, median(x_star - a * q) AS b FROM anchors JOIN line USING (job_id) JOIN sd USING (job_id) WHERE sd <= {LIMIT} GROUP BY job_id),
+slopes AS MATERIALIZED (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
+loo_a AS MATERIALIZED (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
+loo_b AS MATERIALIZED (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
+sd AS MATERIALIZED (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
+line AS MATERIALIZED (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
+fit AS MATERIALIZED (SELECT job_id, min(q) AS q_lo, max(q) AS q_hi, any_value(a) AS a, median(x_star - a * q) AS b FROM anchors JOIN line USING (job_id) JOIN sd USING (job_id) WHERE sd <= {LIMIT} GROUP BY job_id),
 routed AS (SELECT p.job_id, p.seq, p.q >= q_lo AND p.q <= q_hi AS inside, a, b, p.q FROM pairs p LEFT JOIN fit USING (job_id))
 SELECT job_id, seq, round(CASE WHEN inside THEN greatest(0.0, least(63.0, a * q + b)) END, 6) AS x, CASE WHEN inside THEN 'mapped' ELSE 'probe' END AS route FROM routed""")
 def apply_or_abstain(spark, sf):

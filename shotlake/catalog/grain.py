@@ -59,23 +59,23 @@ def fresh_curve(spark, sf):
 
 # only every other cell measured, so that the others have a neighbour to take from
 FILL = v.BINS + f""",
-grid AS (SELECT s.source_id, s.shot_idx, b.bin_lo, row_number() OVER (PARTITION BY s.source_id, s.shot_idx ORDER BY b.bin_lo) AS i, x.value
-  FROM (SELECT DISTINCT source_id, shot_idx FROM bins) s, {v.BIN_LIST} b
-  LEFT JOIN bins x ON x.source_id = s.source_id AND x.shot_idx = s.shot_idx AND x.bin_lo = b.bin_lo AND x.channel = 'y'),
-near AS (SELECT g.source_id, g.shot_idx, g.bin_lo, arg_min(m.value, abs(m.i - g.i) * 100 + m.i) AS filled, max(m.i) AS top, any_value(g.i) AS i, any_value(g.value) AS own
-  FROM grid g LEFT JOIN grid m ON m.source_id = g.source_id AND m.shot_idx = g.shot_idx AND m.value IS NOT NULL GROUP BY ALL)"""
+grid AS (SELECT s.source_id, s.shot_idx, c.channel, b.bin_lo, row_number() OVER (PARTITION BY s.source_id, s.shot_idx, c.channel ORDER BY b.bin_lo) AS i, x.value
+  FROM (SELECT DISTINCT source_id, shot_idx FROM bins) s, {v.BIN_LIST} b, {CHANNEL_LIST} c
+  LEFT JOIN bins x ON x.source_id = s.source_id AND x.shot_idx = s.shot_idx AND x.bin_lo = b.bin_lo AND x.channel = c.channel),
+near AS (SELECT g.source_id, g.shot_idx, g.channel, g.bin_lo, arg_min(m.value, abs(m.i - g.i) * 100 + m.i) AS filled, max(m.i) AS top, any_value(g.i) AS i, any_value(g.value) AS own
+  FROM grid g LEFT JOIN grid m ON m.source_id = g.source_id AND m.shot_idx = g.shot_idx AND m.channel = g.channel AND m.value IS NOT NULL GROUP BY ALL)"""
 
 
-@query("fill_nearest", f"WITH {FILL} SELECT source_id, shot_idx, bin_lo, filled FROM near")
+@query("fill_nearest", f"WITH {FILL} SELECT source_id, shot_idx, channel, bin_lo, filled FROM near")
 def fill_nearest(spark, sf):
-    dense = op.cross_bin_grid(v.bins(spark, sf)).filter("channel = 'y'")
-    return op.fill_nearest(dense, ["source_id", "shot_idx"]).select("source_id", "shot_idx", "bin_lo", "filled")
+    dense = op.cross_bin_grid(v.bins(spark, sf))
+    return op.fill_nearest(dense, ["source_id", "shot_idx", "channel"]).select("source_id", "shot_idx", "channel", "bin_lo", "filled")
 
 
-@query("fill_below_brightest", f"WITH {FILL} SELECT source_id, shot_idx, bin_lo, CASE WHEN i <= top THEN filled ELSE 0.0 END AS filled FROM near")
+@query("fill_below_brightest", f"WITH {FILL} SELECT source_id, shot_idx, channel, bin_lo, CASE WHEN i <= top THEN filled ELSE 0.0 END AS filled FROM near")
 def fill_below_brightest(spark, sf):
-    dense = op.cross_bin_grid(v.bins(spark, sf)).filter("channel = 'y'")
-    return op.fill_nearest(dense, ["source_id", "shot_idx"], below_brightest=True).select("source_id", "shot_idx", "bin_lo", "filled")
+    dense = op.cross_bin_grid(v.bins(spark, sf))
+    return op.fill_nearest(dense, ["source_id", "shot_idx", "channel"], below_brightest=True).select("source_id", "shot_idx", "channel", "bin_lo", "filled")
 
 
 # the applied grain: the same bins, scaled by shot

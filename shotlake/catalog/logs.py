@@ -44,10 +44,10 @@ def parse_progress(spark, sf):
     return logs.parse_progress(table(spark, sf, "events").select("event_id", text.alias("text")))
 
 
-@query("score_every_nth", f"""WITH {v.FRAMES} SELECT source_id AS job_id, count(*) AS frames, round(avg(mafd), 6) AS score FROM frames WHERE frame_no % 4 = 0 AND frame_no < 40 GROUP BY source_id""")
+@query("score_every_nth", f"""WITH {v.FRAMES} SELECT source_id AS job_id, count(*) AS frames, round(avg(mafd), 6) AS score FROM frames WHERE frame_no % 4 = 0 GROUP BY source_id""")
 def score_every_nth(spark, sf):
     rows = v.frames(spark, sf).select(F.col("source_id").alias("job_id"), "frame_no", F.col("mafd").alias("score"))
-    return logs.score_every_nth(rows.filter("frame_no < 40"), rows, 4)
+    return logs.score_every_nth(rows, rows, 4)
 
 
 @v.written

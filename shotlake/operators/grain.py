@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import exact_quantile, ordered_scan, small
+from shotlake.plans import exact_quantile, ordered_scan
 
 # fixed values: brightness bin edges, channels, the bins k is read from, the bins a flicker shows in
 EDGES = [0, 16, 32, 48, 64, 80, 96, 128, 160, 192, 224, 256]
@@ -179,9 +179,9 @@ def scaling_curves(target: DataFrame, k: DataFrame, corr: DataFrame | None = Non
     dense = fill_nearest(cross_bin_grid(target.select(*key, "bin_lo", "channel", "value"), key),
                          [*key, "channel"], below_brightest=True)
     # without a key these are 3 and 33 rows; with one, as many per title
-    rows = dense.join(small(k), [*k_key, "channel"])
+    rows = dense.join(k, [*k_key, "channel"])
     if corr is not None:
-        rows = rows.join(small(corr).select(*k_key, "bin_lo", "channel", "corr"), [*k_key, "bin_lo", "channel"], "left")
+        rows = rows.join(corr.select(*k_key, "bin_lo", "channel", "corr"), [*k_key, "bin_lo", "channel"], "left")
     else:
         rows = rows.withColumn("corr", F.lit(1.0))
     luma = F.col("channel") == "y"

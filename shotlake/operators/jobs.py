@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, ordered_scan, position, settle, small
+from shotlake.plans import finite_fold, ordered_scan, position, settle
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -209,7 +209,7 @@ def resolve_presets(jobs: DataFrame, presets: DataFrame, default: str, base: Map
     asked = F.when(F.coalesce("preset", F.lit("")) == "", F.lit(default)).otherwise(F.col("preset"))
     named = presets.select(F.col("name").alias("_asked"), F.col("params").alias("_params"))
     fallback = presets.filter(F.col("name") == default).agg(F.first("params")).scalar()
-    joined = jobs.withColumn("_asked", asked).join(small(named), "_asked", "left")
+    joined = jobs.withColumn("_asked", asked).join(named, "_asked", "left")
     base_map = F.create_map(*[F.lit(v) for kv in base.items() for v in kv]) if base else F.create_map().cast("map<string,string>")
     custom = F.col("_asked") == "custom"
     return (joined.withColumn("preset_name", F.when(custom, "custom").when(

@@ -13,16 +13,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only for a local session without one."""
+    """spark.checkpoint.dir of the session. A session of one process (local[n]) that names none gets a temporary
+    folder, one for each application; any other must name a folder that all executors reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-shotlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise RuntimeError("start the session with spark.checkpoint.dir set to a folder every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-shotlake-")
+    return _OWN[app]
 
 
 def settle(df: DataFrame) -> DataFrame:

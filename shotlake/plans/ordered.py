@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NO_ORDER = -(1 << 63)
 _REDUCE = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 # two partial counts combine by adding them
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}
@@ -63,8 +64,10 @@ def ordered_scan(
     keys, order = list(keys), list(order)
     sort = [F.col(c) for c in order]
     chunked = width is not None
-    data = df.withColumn("_chunk", chunk_of(df, order[0], width)) if chunked else df
-    part = keys + (["_chunk"] if chunked else [])
+    # a struct keeps rows whose key is NULL in the join below; rows without an order value come first, as in a window
+    data = df.withColumn("_chunk", F.coalesce(chunk_of(df, order[0], width), F.lit(NO_ORDER))) if chunked else df
+    data = data.withColumn("_k", F.struct(*keys, "_chunk")) if chunked else data
+    part = ["_k"] if chunked else keys
 
     local = Window.partitionBy(*part).orderBy(*sort)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -90,7 +93,7 @@ def ordered_scan(
     for name, (how, col) in totals.items():
         out[name] = F.col("_carry.tot_" + name) if chunked else _REDUCE[how](col).over(whole)
     result = data.withColumns(out)
-    return result.drop("_chunk", "_carry") if chunked else result
+    return result.drop("_chunk", "_k", "_carry") if chunked else result
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None,
@@ -128,16 +131,16 @@ def _with_carry(data, keys, order, lag, lead, running, before, following, totals
     at = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     aggs: list[Column] = []
     for name, col in lag.items():
-        aggs.append(F.max_by(col, at).alias("lag_" + name))
+        aggs.append(F.when(F.max(at).isNull(), F.first(col)).otherwise(F.max_by(col, at)).alias("lag_" + name))
     for name, col in lead.items():
-        aggs.append(F.min_by(col, at).alias("lead_" + name))
+        aggs.append(F.when(F.min(at).isNull(), F.first(col)).otherwise(F.min_by(col, at)).alias("lead_" + name))
     for prefix, specs in (("run_", running), ("bef_", before), ("fol_", following), ("tot_", totals)):
         for name, (how, col) in specs.items():
             value = F.col(col)
             if how == "last":
-                agg = F.max_by(value, F.when(value.isNotNull(), at))
+                agg = F.coalesce(F.max_by(value, F.when(value.isNotNull(), at)), F.last(value, ignorenulls=True))
             elif how == "first":
-                agg = F.min_by(value, F.when(value.isNotNull(), at))
+                agg = F.coalesce(F.min_by(value, F.when(value.isNotNull(), at)), F.first(value, ignorenulls=True))
             else:
                 agg = _REDUCE[how](value)
             aggs.append(agg.alias(prefix + name))
@@ -164,5 +167,5 @@ def _with_carry(data, keys, order, lag, lead, running, before, following, totals
     # one window pass first, then pack: a struct of window expressions is not foldable into one exchange
     flat = chunks.select(*keys, "_chunk", *fields)
     names = [c for c in flat.columns if c not in keys and c != "_chunk"]
-    carry = flat.select(*keys, "_chunk", F.struct(*names).alias("_carry"))
-    return data.join(carry, [*keys, "_chunk"])
+    carry = flat.select(F.struct(*keys, "_chunk").alias("_k"), F.struct(*names).alias("_carry"))
+    return data.join(carry, "_k")

@@ -23,10 +23,9 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, wanted: Mappi
     kind "linear" interpolates between the two neighbouring ranks (the usual
     median averages them); "upper" takes the value at index floor(n * p).
     """
-    keys = list(keys)
-    one = not keys
-    if one:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    names = list(keys)
+    # as a struct, keys that are NULL keep their rows in the joins below
+    df, keys = df.withColumn("_k", F.struct(*names) if names else F.lit(0)), ["_k"]
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
@@ -57,7 +56,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, wanted: Mappi
         share = F.max(_rank(p, F.col("_n"), kind) - low)
         out.append((at_low + (at_high - at_low) * share).alias(name))
     result = placed.groupBy(*keys).agg(*out)
-    return result.drop("_all") if one else result
+    return result.select(*[F.col("_k")[k].alias(k) for k in names], *wanted)
 
 
 def _rank(p: float, n: Column, kind: str) -> Column:

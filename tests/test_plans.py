@@ -20,6 +20,16 @@ def test_ordered_scan_is_the_plain_window(spark):
     pd.testing.assert_frame_equal(a, b[a.columns])
 
 
+def test_null_keys_and_order_values_stay(spark):
+    rows = [(None, None, 5), (None, 7, 1), (None, 25, 2), (1, None, 3), (1, 3, 4), (1, 31, None), (2, 8, 6)]
+    df = spark.createDataFrame(rows, "k int, o int, v int")
+    spec = dict(lag={"l": "v"}, lead={"e": "v"}, running={"s": ("sum", "v"), "t": ("last", "v")}, following={"f": ("first", "v")}, totals={"n": ("count", "v")})
+    a, b = (sorted(map(str, ordered_scan(df, ["k"], ["o"], width=w, **spec).select("k", "o", "v", "l", "e", "s", "t", "f", "n").collect())) for w in (10, None))
+    assert a == b and len(a) == len(rows)
+    got = {r.k: r.m for r in exact_quantile(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 2.0, 1: 3.5, 2: 6.0}
+
+
 def test_exact_quantile(spark):
     rng = random.Random(2)
     d = pd.DataFrame({"k": [rng.randrange(4) for _ in range(400)], "v": [round(rng.gauss(0, 5), 1) for _ in range(400)]})
