@@ -2,8 +2,8 @@
 
 A text is the set of its five-word shingles; a signature holds 64 minimum hashes of it, each a token that two sets share with
 the probability of their similarity. A run sends every set from the root to buckets of one or two sampled tokens (1 / threshold on
-average) and splits a bucket again by tokens sampled for it until it is small, or until splitting no longer shrinks it, as
-among near copies. The sets of a bucket are compared with each other, by signature first and then exactly. Runs repeat until a pair at
+average) and splits a bucket again by tokens sampled for it until it is small, or until its sets are alike on average, as
+near copies are. The sets of a bucket are compared with each other, by signature first and then exactly. Runs repeat until a pair at
 the threshold is missed in all of them with a probability below 1 - recall.
 
 A pair that meets in several buckets is counted in the lowest of them alone. A large bucket is cut into blocks that are compared
@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotlake.llm.common import (NO_ID, Run, components, drop, every_salt, grouped, link_rows, real_key, row_key, with_salt, worker_cache,
                                  written)
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
-TOKENS, DEPTH, SMALL, BLOCK = 64, 8, 64, 256
+TOKENS, DEPTH, SMALL, BLOCK, BITS, ALIKE = 64, 8, 64, 256, 32, 0.5
 # a signature agrees within 5 deviations of the similarity
 SLACK = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -116,6 +116,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", row_key(F.col("doc_id"), text)).withColumn("text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS tokens, as an integer."""
+    return ((sig[:, :BITS] & np.uint32(1)).astype(np.int64) << np.arange(BITS)).sum(axis=1)
+
+
+def average_similarity() -> Column:
+    """Of the sets of a bucket, from the share of ones in each bit of their sketches: two sets agree in a bit with
+    the probability (1 + similarity) / 2."""
+    each = [F.avg(F.shiftright("bits", t).bitwiseAND(1)) for t in range(BITS)]
+    return sum(((2 * m - 1) * (2 * m - 1) for m in each), F.lit(0.0)) / BITS
+
+
 def matrix(signatures: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), TOKENS)
 
@@ -123,7 +135,7 @@ def matrix(signatures: np.ndarray) -> np.ndarray:
 # buckets ------------------------------------------------------------------------------------------------------
 
 def first_buckets(nodes: DataFrame, runs: int) -> DataFrame:
-    """(path, node) of the first split of every run; the runs' tokens differ."""
+    """(path, node, bits) of the first split of every run; the runs' tokens differ."""
     extra = max(1, round(1 / (1 / THRESHOLD - 1)))  # every so many runs take a second token
     chosen = [(r, t % TOKENS) for r in range(runs) for t in ((2 * r, 2 * r + 1) if r % extra == 0 else (2 * r,))]
 
@@ -132,13 +144,13 @@ def first_buckets(nodes: DataFrame, runs: int) -> DataFrame:
             sig = matrix(df["signature"])
             for r, t in chosen:
                 path = token_path(np.full(len(df), r, np.uint64), np.full(len(df), t), sig[:, t])
-                yield pd.DataFrame({"path": as_signed(path), "node": df["node"]})
+                yield pd.DataFrame({"path": as_signed(path), "node": df["node"], "bits": sketch(sig)})
 
-    return nodes.select("node", "signature").mapInPandas(work, "path long, node long")
+    return nodes.select("node", "signature").mapInPandas(work, "path long, node long, bits long")
 
 
 def split_buckets(rows: DataFrame) -> DataFrame:
-    """(path, node, parent) of the next split of `rows` (path, node, n, signature)."""
+    """(path, node, bits) of the next split of `rows` (path, node, signature)."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             sig, path = matrix(df["signature"]), df["path"].to_numpy().view(np.uint64)
@@ -151,26 +163,26 @@ def split_buckets(rows: DataFrame) -> DataFrame:
                     token = np.where(token == (draw % np.uint64(TOKENS)).astype(int), (token + 1) % TOKENS, token)
                 at = np.flatnonzero(use)
                 new = token_path(path[at], token[at], sig[at, token[at]])
-                yield pd.DataFrame({"path": as_signed(new), "node": df["node"].to_numpy()[at], "parent": df["n"].to_numpy()[at]})
+                yield pd.DataFrame({"path": as_signed(new), "node": df["node"].to_numpy()[at], "bits": sketch(sig[at])})
 
-    return rows.mapInPandas(work, "path long, node long, parent long")
+    return rows.mapInPandas(work, "path long, node long, bits long")
 
 
 def final_buckets(nodes: DataFrame, runs: int) -> DataFrame:
     """(path, node) of the buckets to compare, of at least two sets each."""
-    rows = written(first_buckets(nodes, runs).withColumn("parent", F.lit(1 << 62)), "paths")
+    rows = written(first_buckets(nodes, runs), "paths")
     ends = []
     for level in range(1, DEPTH + 1):
-        counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        counts = rows.groupBy("path").agg(F.count("*").alias("n"), average_similarity().alias("alike")).where("n > 1")
         met = with_salt(rows, "node").join(every_salt(counts), ["path", "_salt"]).drop("_salt")
-        met = met.withColumn("ends", (F.col("n") <= SMALL) | (F.col("n") > 0.9 * F.col("parent")) | F.lit(level == DEPTH))
+        met = met.withColumn("ends", (F.col("n") <= SMALL) | (F.col("alike") >= ALIKE) | F.lit(level == DEPTH))
         met = written(met, "buckets")
         drop(rows)
         ends.append(met.where("ends").select("path", "node"))
         large = met.where("NOT ends")
         if level == DEPTH or large.isEmpty():
             break
-        rows = written(split_buckets(large.join(nodes.select("node", "signature"), "node")), "paths")
+        rows = written(split_buckets(large.select("path", "node").join(nodes.select("node", "signature"), "node")), "paths")
     out = ends[0]
     for e in ends[1:]:
         out = out.union(e)
