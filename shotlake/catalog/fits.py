@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shotlake.catalog import query, r6
 from shotlake.catalog import views as v
 from shotlake.operators import fits as op
+from shotlake.operators.curves import seeds_of
 from shotlake.operators.timeline import spread_sample
 
 KEY = ["job_id"]
@@ -88,6 +89,18 @@ def predict_setting(spark, sf):
     return op.predict_setting(pairs, op.ols_trimmed(pairs), 18, 50).select("job_id", "seq", F.round("seed", 5).alias("seed"))
 
 
+SEED_GRID = range(0, 121)
+
+
+@query("seed_steps", f"""WITH {OLS}
+SELECT job_id, seq, round(greatest(18.0, least(50.0, b0 + bq * q + bl * log_bpf)), 5) AS seed,
+       CAST(least(8, greatest(2, round_even(1.5 * sd, 0))) AS INTEGER) AS step FROM pairs JOIN fit USING (job_id) WHERE sd <= 20""")
+def seed_steps(spark, sf):
+    pairs = v.pairs(spark, sf)
+    fits = op.ols_trimmed(pairs)
+    return seeds_of(op.predict_setting(pairs, fits, 18, 50), fits, SEED_GRID).select("job_id", "seq", F.round("seed", 5).alias("seed"), "step")
+
+
 @query("apply_or_abstain", f"""WITH {ANCHORS},
 slopes AS MATERIALIZED (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
 loo_a AS MATERIALIZED (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
