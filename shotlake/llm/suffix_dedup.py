@@ -318,14 +318,18 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int) -> DataFr
     parts = F.ceil(F.col("kinds") / hot)
     single = single.select(*stretch, "at.*", (F.col("n") > 1).alias("known"), (F.col("kinds") > hot).alias("hot"), F.pmod("c2", parts).alias("chunk"))
 
+    wanted = single.groupBy("key", "text_hash").agg(F.collect_list(F.struct(*stretch, "start", "size", "known", "hot", "chunk")).alias("cuts"))
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            raw = [t.encode() for t in df["text"]]
-            spans = [x[a:a + n + window - 1] for x, a, n in zip(raw, df["start"], df["size"])]
-            yield df[[*stretch, "known", "hot", "chunk"]].assign(bytes=spans)
+            for text, cuts in zip(df["text"], df["cuts"]):  # a text at a time: its stretches overlap
+                raw = text.encode()
+                out = pd.DataFrame.from_records([c.asDict() if hasattr(c, "asDict") else c for c in cuts])
+                out["bytes"] = [raw[a:a + n + window - 1] for a, n in zip(out["start"], out["size"])]
+                yield out[[*stretch, "known", "hot", "chunk", "bytes"]]
 
     # one of equal rows gives its bytes
-    texts = docs.join(single, ["key", "text_hash"]).select(*stretch, "start", "size", "known", "hot", "chunk", F.col("text").cast("string").alias("text"))
+    texts = docs.join(wanted, ["key", "text_hash"]).select("cuts", F.col("text").cast("string").alias("text"))
     spans = written(texts.mapInPandas(cut, "anchor long, c1 long, c2 long, known boolean, hot boolean, chunk long, bytes binary").dropDuplicates(stretch), "spans")
     total = spans.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES + 1)
