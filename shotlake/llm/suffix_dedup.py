@@ -320,13 +320,19 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int) -> DataFr
 
     wanted = single.groupBy("key", "text_hash").agg(F.collect_list(F.struct(*stretch, "start", "size", "known", "hot", "chunk")).alias("cuts"))
 
+    names = [*stretch, "known", "hot", "chunk"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for text, cuts in zip(df["text"], df["cuts"]):  # a text at a time: its stretches overlap
+            out = []
+            for text, cuts in zip(df["text"], df["cuts"]):
                 raw = text.encode()
-                out = pd.DataFrame.from_records([c.asDict() if hasattr(c, "asDict") else c for c in cuts])
-                out["bytes"] = [raw[a:a + n + window - 1] for a, n in zip(out["start"], out["size"])]
-                yield out[[*stretch, "known", "hot", "chunk", "bytes"]]
+                out += [(*(c[k] for k in names), raw[c["start"]:c["start"] + c["size"] + window - 1]) for c in cuts]
+                if len(out) > 5_000:
+                    yield pd.DataFrame(out, columns=[*names, "bytes"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=[*names, "bytes"])
 
     # one of equal rows gives its bytes
     texts = docs.join(wanted, ["key", "text_hash"]).select("cuts", F.col("text").cast("string").alias("text"))
