@@ -19,7 +19,6 @@ import gc
 import math
 import re
 import zlib
-from functools import cached_property
 from operator import itemgetter
 from random import Random
 
@@ -32,18 +31,28 @@ from shotlake.llm.common import row_key, worker_cache
 from shotlake.llm.tokens import tokenizer_file
 
 UNIT = re.compile(r" +[^ ]*")
-SHORT, LONG, MOST_ATOMS, SEEN, PLAIN = 4, 512, 700_000, 6, 60
+SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 400_000, 60, 200
 FIRST = itemgetter(0)
 POWER, OFFSET, SAMPLES = 1.5, 10.0, 2
 SCALE = 5.0
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def spelled_hash(codes: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(codes), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(codes.shape[1]):
+            h = (h + codes[:, k] + np.uint64(1)) * STEP
+    return h
+
+
 class Pieces:
     """The pieces of a SentencePiece model with log-weights -POWER * log(rank + OFFSET); pieces without a rank, and
     bytes, count as the rarest."""
 
     def __init__(self, file: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(file))
@@ -65,10 +74,14 @@ class Pieces:
         # every beginning of a piece; with the ids and the weight, scaled by its length, where it is one
         self.table: dict[str, tuple | None] = {p[:i]: None for p in self.ids for i in range(1, len(p))}
         self.table |= {p: ((i,), math.exp(self.weight[i] + SCALE * len(p))) for p, i in self.ids.items()}
-        self.finder, self.single = ahocorasick.Automaton(), {p for p in self.ids if len(p) == 1}
-        for p in self.ids:
-            self.finder.add_word(p, (len(p) - 1, *self.table[p]))
-        self.finder.make_automaton()
+        self.single = {p for p in self.ids if len(p) == 1}
+        # for each length the hashes of beginnings, in order, and the piece that each is, -1 if none
+        self.by_length = []
+        for k in range(1, max(map(len, self.ids)) + 1):
+            begins = [p for p in self.table if len(p) == k]
+            h = spelled_hash(np.array([[ord(c) for c in p] for p in begins], np.uint64).reshape(len(begins), k))
+            order = np.argsort(h)
+            self.by_length.append((h[order], np.array([self.ids.get(p, -1) for p in begins])[order]))
 
     def in_bytes(self, char: str) -> tuple[tuple[int, ...], float]:
         spelled = tuple(self.bytes[x] for x in char.encode())
@@ -88,15 +101,8 @@ class Atom:
     def __init__(self, pieces: Pieces, text: str):
         n, table = len(text), pieces.table
         edges: list[list] = [[] for _ in range(n + 1)]
-        ways, shift, left = [1.0] + [0.0] * n, 0.0, range(n)
-        if n <= PLAIN and pieces.single.issuperset(text):  # all pieces come in the order of their ends
-            left = ()
-            for last, (back, ids, w) in pieces.finder.iter(text):
-                a = last - back
-                w *= ways[a]
-                ways[last + 1] += w
-                edges[last + 1].append((a, ids, w))
-        for a in left:
+        ways, shift = [1.0] + [0.0] * n, 0.0
+        for a in range(n):
             way = ways[a]
             if not 1e-200 < way < 1e200:  # long stretches only
                 shift += math.log(way)
@@ -119,7 +125,7 @@ class Atom:
                 ids, w = pieces.in_bytes(text[a])
                 ways[a + 1] += way * w
                 edges[a + 1].append((a, ids, way * w))
-        self.edges, self.ways, self.weight = edges, ways, pieces.weights
+        self.edges, self.ways, self.weight, self.lists = edges, ways, pieces.weights, {}
         self.log_total = math.log(ways[n]) + shift - SCALE * n
 
     def log_p(self, path: tuple[int, ...]) -> float:
@@ -166,30 +172,28 @@ class Atom:
         path = tuple([i for ids in reversed(out) for i in ids])
         return self.log_p(path), path
 
-    @cached_property
-    def long(self) -> tuple[list, bool, set]:
-        """The longer list, whether it is all, and its paths."""
-        paths, whole = self.best(LONG)
-        return paths, whole, {p for _, p in paths}
+    def likeliest(self, k: int) -> tuple[list[tuple[float, tuple[int, ...]]], bool]:
+        if k not in self.lists:
+            self.lists[k] = self.best(k)
+        return self.lists[k]
 
     def draw_other(self, random, without: set[tuple[int, ...]], mass: float) -> tuple[float, tuple[int, ...]]:
-        """One segmentation that is not in `without`; all others have about `mass`. Draws are repeated while that is
-        likely to end soon; else it is chosen from the longer list and, beyond that, drawn."""
-        if mass > 0.05:
-            while True:
-                got = self.draw(random)
-                if got[1] not in without:
-                    return got
-        paths, whole, listed = self.long
-        left = [p for p in paths if p[1] not in without]
-        sums = np.cumsum([math.exp(x) for x, _ in left] or [0.0])
-        beyond = 0.0 if whole else max(0.0, mass - float(sums[-1]))
-        u = random() * (float(sums[-1]) + beyond)
-        if left and u < sums[-1] or beyond < 1e-9:
-            return left[min(int(np.searchsorted(sums, u, "right")), len(left) - 1)]
+        """One segmentation that is not in `without`; all others have `mass`. Draws are repeated while that is likely to
+        end soon; else it is looked up among the likeliest, of which more are listed until it is there."""
+        k, u = LONG, random() * mass
+        while mass <= 0.05 and k <= MOST_LISTED:
+            paths, whole = self.likeliest(k)
+            left = [p for p in paths if p[1] not in without]
+            for x, path in left:
+                u -= math.exp(x)
+                if u <= 0:
+                    return x, path
+            if whole:
+                return left[-1]
+            k, u = 8 * k, u + sum(math.exp(x) for x, _ in left)
         while True:
             got = self.draw(random)
-            if got[1] not in listed and got[1] not in without:
+            if got[1] not in without:
                 return got
 
     def left(self, without: set[tuple[int, ...]]) -> float:
@@ -197,8 +201,84 @@ class Atom:
         mass = 1 - sum(math.exp(self.log_p(p)) for p in without)
         if mass > 1e-4:
             return mass
-        paths, whole, _ = self.long
-        return sum(math.exp(x) for x, p in paths if p not in without) if whole else max(mass, 0.0)
+        paths, whole = self.likeliest(LONG)
+        listed = sum(math.exp(x) for x, p in paths if p not in without)
+        return listed if whole else max(mass, listed)
+
+
+def bulk_best(pieces: Pieces, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The `k` likeliest segmentations of many short texts at once, as of Atom.best; each character is a piece.
+
+    (text, log-probability, ids of all in a row, how many ids each has, whether a text has no more), likeliest first.
+    """
+    sizes = np.array(list(map(len, texts)))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    text_of, first = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+    ends = (first + sizes)[text_of]
+    # edges: pieces by start and end; node i + text is the place before character i, the one after a text comes last
+    live, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+    for size, (known, ids) in enumerate(pieces.by_length, 1):
+        live_ok = live + size <= ends[live]
+        live, h = live[live_ok], h[live_ok]
+        if not len(live):
+            break
+        with np.errstate(over="ignore"):
+            h = (h + codes[live + size - 1] + np.uint64(1)) * STEP
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        live, h, at = live[hit], h[hit], ids[at[hit]]
+        piece = at >= 0
+        found.append((live[piece], np.full(int(piece.sum()), size), at[piece]))
+    begin, size, piece = map(np.concatenate, zip(*found))
+    node = begin + text_of[begin]
+    to, depth = node + size, begin - first[text_of[begin]] + size
+    order = np.lexsort((to, depth))
+    node, to, piece, depth = node[order], to[order], piece[order], depth[order]
+    log_w = pieces.weight[piece]
+    n_nodes = len(codes) + len(texts)
+    start_node = first + np.arange(len(texts))
+    end_node = start_node + sizes
+    total, count = np.full(n_nodes, -np.inf), np.zeros(n_nodes)
+    score = np.full((n_nodes, k), -np.inf)
+    from_edge, from_rank = np.zeros((n_nodes, k), np.int32), np.zeros((n_nodes, k), np.int8)
+    total[start_node], count[start_node], score[start_node, 0] = 0.0, 1.0, 0.0
+    edge_of_depth = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
+    for a, b in zip(edge_of_depth, edge_of_depth[1:]):
+        if a == b:
+            continue
+        source, target = node[a:b], to[a:b]
+        group = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1])
+        out = total[source] + log_w[a:b]
+        top = np.maximum.reduceat(out, group)
+        share = np.exp(out - np.repeat(top, np.diff(np.concatenate([group, [b - a]]))))
+        total[target[group]] = top + np.log(np.add.reduceat(share, group))
+        count[target[group]] = np.add.reduceat(count[source], group)
+        ways = (score[source] + log_w[a:b, None]).ravel()
+        use = np.flatnonzero(np.isfinite(ways))
+        which = np.repeat(target, k)[use]
+        order = use[np.lexsort((-ways[use], which))]
+        which = np.repeat(target, k)[order]
+        opens = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])
+        rank = np.arange(len(which)) - np.repeat(opens, np.diff(np.concatenate([opens, [len(which)]])))
+        keep = rank < k
+        order, which, rank = order[keep], which[keep], rank[keep]
+        score[which, rank] = ways[order]
+        from_edge[which, rank], from_rank[which, rank] = a + order // k, order % k
+    text, rank = np.nonzero(np.isfinite(score[end_node]))
+    log_p = np.minimum(score[end_node[text], rank] - total[end_node[text]], 0.0)
+    # back from the ends, all paths together
+    now, r, steps = end_node[text].copy(), rank.copy(), []
+    while True:
+        moving = now != start_node[text]
+        if not moving.any():
+            break
+        e = from_edge[now, r]
+        steps.append(np.where(moving, piece[e], -1))
+        r = np.where(moving, from_rank[now, r], r)
+        now = np.where(moving, node[e], now)
+    paths = np.array(steps).reshape(len(steps), len(text)).T[:, ::-1]
+    real = paths >= 0
+    return text, log_p, paths[real], real.sum(axis=1), count[end_node] <= k
 
 
 class Sampler:
@@ -217,70 +297,78 @@ class Sampler:
         self.up_to, self.log_p, self.log_rest = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16)
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.int32)
-        self.now, self.drawn, self.listed = np.zeros(1 << 16, np.int32), [], []
-
-    def _atom(self, text: str) -> int:
-        at = self.known.get(text)
-        if at is None:  # most atoms are met once: no tables yet, all their segmentations are drawn
-            at = self.known[text] = self._new(text)
-            self._choice(at + 1, 0.0, 0.0, ())
-            self.length[self.n - 1] = -1
-        return at
-
-    def _new(self, text: str) -> int:
-        at = len(self.texts)
-        self.texts.append(text)
-        self.drawn.append(0)
-        self.listed.append(())
-        if at == len(self.now):
-            self.now = np.concatenate([self.now, np.zeros_like(self.now)])
-        self.now[at] = at
-        return at
-
-    def _tables(self, old: int) -> None:
-        """Tables for an atom met often; it goes on under a new number, to which `now` leads."""
-        text = self.texts[old]
-        best, whole = self.atom(old).best(SHORT)
-        at = self.known[text] = self._new(text)
-        self.now[old] = at
-        total = 0.0
-        for x, path in best:
-            p = math.exp(x)
-            total += p
-            self._choice(at + min(total, 1.0), x, math.log1p(-p) if p < 1 and len(best) + (not whole) > 1 else -math.inf, path)
-        self.listed[at] = ({p for _, p in best}, 1 - total)
-        if whole:
-            self.up_to[self.n - 1] = at + 1
-        else:
-            self._choice(at + 1, 0.0, 0.0, ())
-            self.length[self.n - 1] = -1
-
-    def _choice(self, up_to: float, log_p: float, log_rest: float, path: tuple[int, ...]) -> None:
-        i, j = self.n, self.n_ids
-        if i == len(self.up_to):
+        self.first: list[int] = []
+
+    def _room(self, choices: int, ids: int) -> None:
+        while self.n + choices > len(self.up_to):
             for name in ("up_to", "log_p", "log_rest", "start", "length"):
                 setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-        while j + len(path) > len(self.ids):
+        while self.n_ids + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.up_to[i], self.log_p[i], self.log_rest[i], self.start[i], self.length[i] = up_to, log_p, log_rest, j, len(path)
-        self.ids[j:j + len(path)] = path
-        self.n, self.n_ids = i + 1, j + len(path)
-
-    def _unit(self, unit: str) -> bytes:
-        pairs, cut = self.pieces.pairs, [0]
-        cut += [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in pairs] + [len(unit)]
-        out = self.units[unit] = np.array([self._atom(unit[a:b]) for a, b in zip(cut, cut[1:])], np.int32).tobytes()
-        return out
 
-    def atoms_of(self, text: str) -> np.ndarray:
+    def _add(self, texts: list[str], text: np.ndarray, log_p: np.ndarray, ids: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> None:
+        """Tables for new atoms: their listed segmentations, and a last choice for the rest where there is one."""
+        base, m = len(self.texts), len(texts)
+        listed = np.bincount(text, minlength=m)
+        width = listed + ~whole
+        self._room(int(width.sum()), len(ids))
+        begin = self.n + np.cumsum(width) - width
+        at = np.arange(len(text)) - np.repeat(np.cumsum(listed) - listed, listed) + begin[text]
+        p = np.exp(log_p)
+        sums = np.cumsum(p)
+        up_to = sums - np.repeat((sums - p)[np.cumsum(listed) - listed], listed)
+        self.up_to[at] = base + text + np.minimum(up_to, 1.0)
+        self.log_p[at] = log_p
+        only = whole[text] & (listed[text] == 1)
+        with np.errstate(divide="ignore"):
+            self.log_rest[at] = np.where(only, -np.inf, np.log1p(-np.minimum(p, 1 - 1e-16)))
+        self.start[at] = self.n_ids + np.cumsum(sizes) - sizes
+        self.length[at] = sizes
+        last = begin + width - 1
+        self.up_to[last] = base + np.arange(m) + 1
+        rest = last[~whole]
+        self.log_p[rest], self.log_rest[rest], self.start[rest], self.length[rest] = 0.0, 0.0, 0, -1
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.n, self.n_ids = self.n + int(width.sum()), self.n_ids + len(ids)
+        self.first += begin.tolist()
+        self.known.update(zip(texts, range(base, base + m)))
+        self.texts += texts
+
+    def learn(self, texts: list[str]) -> None:
+        """Make tables for all atoms of `texts` that have none; when there are too many, start anew."""
         if len(self.texts) > MOST_ATOMS or len(self.units) > MOST_ATOMS:
             self.clear()
+        pairs, known, cuts, new = self.pieces.pairs, self.known, {}, {}
+        for t in texts:
+            for u in UNIT.findall(" " + t):
+                if u not in self.units and u not in cuts:
+                    cut = [0, *(i for i in range(1, len(u)) if u[i - 1:i + 1] not in pairs), len(u)]
+                    parts = cuts[u] = [u[a:b] for a, b in zip(cut, cut[1:])]
+                    new.update((x, None) for x in parts if x not in known)
+        plain = [x for x in new if len(x) <= PLAIN and self.pieces.single.issuperset(x)]
+        for lo in range(0, len(plain), 20_000):
+            self._add(plain[lo:lo + 20_000], *bulk_best(self.pieces, plain[lo:lo + 20_000], SHORT))
+        for x in new:
+            if x not in known:  # long ones, and characters that are spelled in bytes
+                best, whole = Atom(self.pieces, x).best(SHORT)
+                self._add([x], np.zeros(len(best), np.int64), np.array([q for q, _ in best]), np.array([i for _, path in best for i in path]),
+                          np.array([len(path) for _, path in best]), np.array([whole]))
+        for u, parts in cuts.items():
+            self.units[u] = np.array([known[x] for x in parts], np.int32).tobytes()
+
+    def atoms_of(self, text: str) -> np.ndarray:
         units = UNIT.findall(" " + text)
         try:
             row = b"".join(map(self.units.__getitem__, units))
         except KeyError:
-            row = b"".join([self.units.get(u) or self._unit(u) for u in units])
-        return self.now[np.frombuffer(row, np.int32)]
+            self.learn([text])
+            row = b"".join(map(self.units.__getitem__, units))
+        return np.frombuffer(row, np.int32)
+
+    def listed(self, at: int) -> set[tuple[int, ...]]:
+        """The segmentations of an atom that are in the tables."""
+        end = self.first[at + 1] if at + 1 < len(self.first) else self.n
+        return {self._path(c) for c in range(self.first[at], end) if self.length[c] >= 0}
 
     def atom(self, at: int) -> Atom:
         """The lattice of an atom whose rest is asked for; kept while there are not too many."""
@@ -299,14 +387,8 @@ class Sampler:
         log_p, log_rest, odd = self.log_p[at], self.log_rest[at], {}
         for i in np.flatnonzero(self.length[at] < 0).tolist():
             a = int(atoms[i])
-            atom = self.atom(a)
-            if self.listed[a]:
-                log_p[i], odd[i] = atom.draw_other(random, *self.listed[a])
-            else:
-                log_p[i], odd[i] = atom.draw(random)
-                self.drawn[a] += 1
-                if self.drawn[a] == SEEN:
-                    self._tables(a)
+            atom, listed = self.atom(a), self.listed(a)
+            log_p[i], odd[i] = atom.draw_other(random, listed, atom.left(listed))
             log_rest[i] = math.log1p(-math.exp(log_p[i])) if log_p[i] < -1e-12 else -math.inf
         return at, log_p, log_rest, odd
 
@@ -402,8 +484,11 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k
     def encode(texts: pd.Series, seeds: pd.Series) -> pd.Series:
         tool, out = sampler(file), []
         gc.disable()  # tables of tuples only, no cycles; looking for some among them would take a third of the time
-        for text, seed in zip(texts, seeds):
-            text, rows = text or "", []
+        texts = [t or "" for t in texts]
+        for j, (text, seed) in enumerate(zip(texts, seeds)):
+            if j % AT_ONCE == 0:
+                tool.learn(texts[j:j + AT_ONCE])
+            rows = []
             for i, (got, x, g, q) in enumerate(tool.sample(text, seed & ((1 << 63) - 1), k)):
                 row = {"sample": i + 1, "n": len(got)} | ({"ids": got} if ids else {})
                 rows.append(row | {"ids_crc32": zlib.crc32(got.astype("<u4").tobytes()), "log_prob": x, "gumbel": g, "log_inclusion": q,

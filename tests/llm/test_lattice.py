@@ -1,6 +1,5 @@
 """Sampled segmentations against the exact law of small lattices, and round trips."""
 
-import itertools
 import math
 import random
 from collections import Counter
@@ -85,13 +84,22 @@ def test_round_trip(tool):
 
 
 def test_same_without_tables(tool):
-    """Log-probabilities do not depend on whether an atom has tables yet."""
+    """Log-probabilities are those of the plain lattice, and tables made in bulk those of one atom at a time."""
     fresh = L.Sampler("piece_bpe_32k.model")
     for seed in range(8):
         for ids, x, *_ in fresh.sample("interesting things", seed, 2):
             want = sum(tool.pieces.weight[i] for i in ids) - sum(L.Atom(tool.pieces, t).log_total for t in (" interesting", " things"))
             assert x == pytest.approx(want, abs=1e-6)
-    assert list(itertools.chain(fresh.drawn))
+    random.seed(12)
+    texts = list({" " * random.randint(0, 1) + "".join(random.choice("thinger") for _ in range(random.randint(1, 14))) for _ in range(300)})
+    text, log_p, ids, sizes, whole = L.bulk_best(tool.pieces, texts, 4)
+    ends = np.cumsum(sizes)
+    for i, x in enumerate(texts):
+        best, all_of_it = L.Atom(tool.pieces, x).best(4)
+        mine = np.flatnonzero(text == i)
+        assert all_of_it == whole[i] and log_p[mine] == pytest.approx([q for q, _ in best], abs=1e-9)
+        spelled = [b"".join(tool.pieces.spelled[j] for j in ids[ends[m] - sizes[m]:ends[m]]).decode() for m in mine]
+        assert spelled == [x] * len(best)
 
 
 def test_frame(spark):
