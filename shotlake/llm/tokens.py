@@ -18,7 +18,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 STRETCH = re.compile(rf" ?[{LETTER}]+(?=[{SPACE}.,;:!?\"'()|]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PLAIN = re.compile(rf" ?[{LETTER}]+")
-MOST_CACHED = 500_000
+MOST_CACHED = 300_000
 
 
 def byte_letters() -> list[str]:
