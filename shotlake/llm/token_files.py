@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shotlake.llm.common import drop, folder, written
 from shotlake.llm.tokens import byte_level
 
-LIMIT, STEP, BLOCK_TOKENS, END = 16, 256, 1 << 16, 0
+LIMIT, STEP, BLOCK_TOKENS, BLOCKS_AT_ONCE, END = 16, 256, 1 << 16, 16, 0
 PART_TOKENS = 1 << 25
 
 
@@ -124,28 +124,34 @@ def unpack(payload: np.ndarray, begins: np.ndarray, counts: np.ndarray, table: t
 # writing ------------------------------------------------------------------------------------------------------
 
 def token_ids(docs: DataFrame, file: str) -> DataFrame:
-    """(doc_id, ids) with the end id; ids as little-endian bytes."""
+    """(doc_id, ids, counts): the ids of each document with the end id, as little-endian bytes, and a last row for each
+    task with how often it met each id."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = byte_level(file)
         end = np.array([END], tokenizer.dtype).tobytes()
+        total = np.zeros(tokenizer.size + 1, np.int64)
         for df in batches:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "ids": [x + end for x in tokenizer.encode(df["text"])]})
+            ids = [x + end for x in tokenizer.encode(df["text"])]
+            for lo in range(0, len(ids), 200):
+                total += np.bincount(np.frombuffer(b"".join(ids[lo:lo + 200]), tokenizer.dtype), minlength=len(total))
+            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "ids": ids, "counts": None})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(encode, "doc_id long, ids binary, counts binary")
 
 
-def count_ids(ids: DataFrame, dtype: str) -> np.ndarray:
+def count_ids(ids: DataFrame) -> np.ndarray:
     """How often each id occurs; the driver sees one row for each id of the vocabulary at most."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            n = np.bincount(np.frombuffer(b"".join(df["ids"]), dtype))
-            total = np.pad(total, (0, max(0, len(n) - len(total))))
-            total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+            for part in df["counts"]:
+                n = np.frombuffer(part, "<i8")
+                used = np.flatnonzero(n)
+                yield pd.DataFrame({"id": used, "n": n[used]})
 
-    rows = ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = (ids.where("counts IS NOT NULL").select("counts").mapInPandas(spread, "id long, n long")
+            .groupBy("id").agg(F.sum("n").alias("n")).toPandas())
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["id"]] = rows["n"]
     return out
@@ -205,8 +211,9 @@ def write_tokens(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json") ->
     an empty table gives files without blocks. Nothing but the counts of ids passes the driver.
     """
     dtype = byte_level(file).dtype.str
-    ids = written(token_ids(docs, file).withColumn("row", F.monotonically_increasing_id()), "ids")
-    counts = count_ids(ids, dtype)
+    table = ids = written(token_ids(docs, file).withColumn("row", F.monotonically_increasing_id()), "ids")
+    counts = count_ids(ids)
+    ids = ids.where("ids IS NOT NULL").select("doc_id", "row", "ids")
     lengths = code_lengths(counts)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_TOKENS)
@@ -214,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json") ->
     # ranges come from the written ids, not from another round of encoding; rows of one id can part by their row
     ranged = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "row")
     ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").mapInPandas(to_blocks, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    drop(ids)
+    drop(table)
     used = np.flatnonzero(lengths)
     book = pd.DataFrame({"id": used, "length": lengths[used].astype(int)})
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -233,15 +240,24 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = decoding_table(lengths, codes)
         for df in batches:
-            for part, start, names, tokens, payload, points in zip(df["part"], df["start"], df["doc_ids"], df["doc_tokens"], df["payload"], df["checkpoints"]):
-                tokens = np.asarray(tokens, np.int64)
+            for lo in range(0, len(df), BLOCKS_AT_ONCE):
+                some = df.iloc[lo:lo + BLOCKS_AT_ONCE]
+                each_block = [np.asarray(t, np.int64) for t in some["doc_tokens"]]
+                tokens = np.concatenate(each_block)
+                docs = np.array(list(map(len, each_block)))
+                # the streams of all these blocks, in one row of bytes
+                bytes_before = np.cumsum([0, *map(len, some["payload"])])[:-1]
+                begins = np.concatenate([np.frombuffer(p, "<u8").astype(np.int64) + 8 * b for p, b in zip(some["checkpoints"], bytes_before)])
                 streams = (tokens + STEP - 1) // STEP
                 counts = np.full(int(streams.sum()), STEP, np.int64)
                 counts[np.cumsum(streams) - 1] = tokens - (streams - 1) * STEP
-                got = unpack(np.frombuffer(payload, np.uint8), np.frombuffer(points, "<u8").astype(np.int64), counts, table).astype("<u4")
+                got = unpack(np.frombuffer(b"".join(some["payload"]), np.uint8), begins, counts, table).astype("<u4")
                 edge = np.concatenate([[0], np.cumsum(tokens)])
                 each = [got[a:b] for a, b in zip(edge, edge[1:])]
-                out = {"part": part, "doc_id": pd.array(names, "Int64"), "start": start + edge[:-1], "n_tokens": tokens, "ids_crc32": [zlib.crc32(x.tobytes()) for x in each]}
+                first = np.cumsum(docs) - docs  # of a block, among these documents
+                start = edge[:-1] - np.repeat(edge[first], docs) + np.repeat(some["start"].to_numpy(), docs)
+                out = {"part": np.repeat(some["part"].to_numpy(), docs), "doc_id": pd.array([x for names in some["doc_ids"] for x in names], "Int64"),
+                       "start": start, "n_tokens": tokens, "ids_crc32": [zlib.crc32(x.tobytes()) for x in each]}
                 yield pd.DataFrame(out | ({"ids": [x.astype(np.int64) for x in each]} if ids else {}))
 
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
