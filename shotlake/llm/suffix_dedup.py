@@ -114,28 +114,36 @@ class Inducer:
     """One scan: records come in order, each with its common prefix with the one before, and send the suffix one position
     before them to the queue. `low` is the least common prefix since a bucket last got a record."""
 
-    def __init__(self, text: np.ndarray, buckets: int, in_memory: int):
+    def __init__(self, text: np.ndarray, buckets: int, in_memory: int, track: bool):
+        self.track = track  # whether common prefixes are wanted
         self.text, self.queue = text, BucketQueue(buckets, in_memory)
         self.low = np.zeros(buckets, np.int64)
 
     def feed(self, at: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
         """Feed records in order; those `wanted` send on what precedes them."""
-        since = np.minimum(self.low, common.min())
         sources, to = np.flatnonzero(wanted), self.text[at[wanted] - 1]
-        for c in np.unique(to).tolist():
-            k = sources[to == c]
-            # the least common prefix over the records after the last source and up to this one
-            low = np.minimum.reduceat(common[: k[-1] + 1], np.concatenate([[0], k[:-1] + 1]))
-            low[0] = min(low[0], self.low[c])
-            self.queue.push(c, at[k] - 1, low + 1)
-            since[c] = common[k[-1] + 1:].min() if k[-1] + 1 < len(common) else np.iinfo(np.int64).max
+        order = np.argsort(to.astype(np.uint8), kind="stable")  # all values are under 256
+        sources, to = sources[order], to[order]
+        edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
+        since = np.minimum(self.low, common.min()) if self.track else self.low
+        for i, j in zip(edges, edges[1:]):
+            c, k = int(to[i]), sources[i:j]
+            if self.track:
+                # the least common prefix over the records after the last source and up to this one
+                low = np.minimum.reduceat(common[: k[-1] + 1], np.concatenate([[0], k[:-1] + 1]))
+                low[0] = min(low[0], self.low[c])
+                since[c] = common[k[-1] + 1:].min() if k[-1] + 1 < len(common) else np.iinfo(np.int64).max
+                low += 1
+            else:
+                low = np.zeros(len(k), np.int64)
+            self.queue.push(c, at[k] - 1, low)
         self.low = since
 
 
-def scan_up(text: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_common: np.ndarray, buckets: int, in_memory: int) -> list:
+def scan_up(text: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_common: np.ndarray, buckets: int, in_memory: int, track: bool = True) -> list:
     """The L-type suffixes of each bucket in order, (positions, common prefixes with the one before in the bucket), induced
     from the local minima `lms` in order."""
-    scan = Inducer(text, buckets, in_memory)
+    scan = Inducer(text, buckets, in_memory, track)
     edges = np.searchsorted(text[lms], np.arange(buckets + 1))
     scan.queue.push(int(text[-1]), np.array([len(text) - 1]), np.array([0]))
     out = []
@@ -158,9 +166,9 @@ def scan_up(text: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_common: np.n
     return out
 
 
-def scan_down(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, large: list, buckets: int, in_memory: int) -> list:
+def scan_down(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, large: list, buckets: int, in_memory: int, track: bool = True) -> list:
     """The S-type suffixes of each bucket from the last to the first, with the common prefix with the one after."""
-    scan = Inducer(text, buckets, in_memory)
+    scan = Inducer(text, buckets, in_memory, track)
     out: list = [None] * buckets
     for c in range(buckets - 1, -1, -1):
         parts = []
@@ -183,36 +191,33 @@ def scan_down(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, large: list,
     return out
 
 
-def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as one big-endian number."""
-    out = np.zeros(len(at), np.uint64)
+def words_of(text: np.ndarray, most: int) -> np.ndarray:
+    """The eight values from each position on, all under 256, as one big-endian number; zeros follow the text."""
+    out = np.zeros(len(text) + most + 16, np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k].astype(np.uint64)
+        out[: max(len(text) - k, 0)] |= text[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """The common prefix of each suffix in `order` with the one before, up to about `most`."""
-    padded = np.concatenate([text, np.zeros(most + 16, text.dtype)])
+def common_prefixes(words: np.ndarray, n: int, order: np.ndarray, most: int) -> np.ndarray:
+    """The common prefix of each suffix in `order` with the one before, up to about `most`; `n` values are text."""
     out = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    shift = 0
+    live, shift = np.arange(1, len(order)), 0
+    a, b = order[1:], order[:-1]
     while len(live) and shift < most:
-        a, b = words_at(padded, order[live] + shift), words_at(padded, order[live - 1] + shift)
-        same = a == b
-        odd = live[~same]
-        for k in range(8):
-            out[odd] += (out[odd] == shift + k) & (padded[order[odd] + shift + k] == padded[order[odd - 1] + shift + k])
-        live = live[same]
-        shift += 8
-        out[live] = shift
-    return np.minimum(out, (len(text) - np.maximum(order, np.roll(order, 1))))
+        other = words[a + shift] ^ words[b + shift]
+        same = other == 0
+        odd = other[~same]
+        out[live[~same]] = shift + sum((odd >> np.uint64(56 - 8 * k) == 0).astype(np.int64) for k in range(7))
+        live, a, b, shift = live[same], a[same], b[same], shift + 8
+    out[live] = shift
+    return np.minimum(out, n - np.maximum(order, np.roll(order, 1)))
 
 
 def suffix_array(text: np.ndarray, most: int, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, common prefix with the one before) of the suffixes of `text`, ordered by their first `most` values at
+    """(positions, common prefix with the one before) of the suffixes of `text` (values under 256), ordered by their first `most` values at
     least; common prefixes are exact up to there."""
-    n, buckets = len(text), int(text.max()) + 1
+    n, buckets, words = len(text), int(text.max()) + 1, words_of(text, most)
     # the next position of another value decides the type; the last run, before the end of the text, is L
     change = np.flatnonzero(np.diff(text)) + 1
     ends = np.concatenate([change, [n]])
@@ -225,8 +230,8 @@ def suffix_array(text: np.ndarray, most: int, in_memory: int = IN_MEMORY) -> tup
         # order of the pieces between local minima: induce once from the minima by first value alone
         first = lms[np.argsort(text[lms], kind="stable")]
         none = np.zeros(len(first), np.int64)
-        large = scan_up(text, run, first, none, buckets, in_memory)
-        small = scan_down(text, is_s, run, large, buckets, in_memory)
+        large = scan_up(text, run, first, none, buckets, in_memory, False)
+        small = scan_down(text, is_s, run, large, buckets, in_memory, False)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         rank_of = np.concatenate([s[0][::-1] for s in small])
@@ -235,7 +240,8 @@ def suffix_array(text: np.ndarray, most: int, in_memory: int = IN_MEMORY) -> tup
         ends = np.concatenate([lms[1:], [n - 1]]) + 1
         size = ends[where] - pieces
         same = np.concatenate([[False], (size[1:] == size[:-1])])
-        reach = common_prefixes(text, pieces, int(size.max()) + 8)
+        longest = int(size.max()) + 8
+        reach = common_prefixes(words if longest <= most else words_of(text, longest), n, pieces, longest)
         names = np.zeros(len(lms), np.int64)
         names[where] = np.cumsum(~(same & (reach >= size)))
         # names of runs of 1, 2, 4, ... pieces; a piece has two values at least
@@ -245,7 +251,7 @@ def suffix_array(text: np.ndarray, most: int, in_memory: int = IN_MEMORY) -> tup
             names = np.unique(names * (int(names.max()) + 1) + after, return_inverse=True)[1] + 1
             span *= 2
         lms = lms[np.argsort(names, kind="stable")]
-    common = common_prefixes(text, lms, most)
+    common = common_prefixes(words, n, lms, most)
     large = scan_up(text, run, lms, common, buckets, in_memory)
     small = scan_down(text, is_s, run, large, buckets, in_memory)
     at, out = [], []
