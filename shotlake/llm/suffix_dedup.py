@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm.common import drop, every_salt, row_key, with_salt, written
+from shotlake.llm.common import Run, drop, every_salt, grouped, row_key, with_salt, written
 
 WINDOW, GRAM = 200, 32
 SHARD_BYTES, HOT, IN_MEMORY = 4 << 20, 256, 4 << 20
@@ -292,8 +292,14 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.column_stack([edge[::2], edge[1::2] - edge[::2]]).ravel()
 
 
+def _split(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of a sorted `key`, and the rows of each."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    return key[np.concatenate([[0], edge])] if len(key) else key, np.split(rows, edge) if len(key) else []
+
+
 def anchors_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, c1, c2, key, text_hash, start, size) of the stretches of each text; (c1, c2) name the stretch's bytes."""
+    """(anchor, c, key, text_hash, start, size) of the stretches of each text; with the anchor, c names the stretch's bytes."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for lo in range(0, len(df), 200):
@@ -302,31 +308,31 @@ def anchors_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     raw = (text or "").encode()
                     g, first, n = stretches(np.frombuffer(raw, np.uint8), window, gram)
                     if len(g):
-                        names = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + n + window - 1).tolist())])
-                        c = np.frombuffer(names, np.int64).reshape(-1, 2)
-                        out.append((g.view(np.int64), c[:, 0], c[:, 1], np.full(len(g), key), np.full(len(g), th), first, n))
+                        names = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (first + n + window - 1).tolist())])
+                        c = np.frombuffer(names, np.int64)
+                        out.append((g.view(np.int64), c, np.full(len(g), key), np.full(len(g), th), first, n))
                 if out:
-                    yield pd.DataFrame(dict(zip(("anchor", "c1", "c2", "key", "text_hash", "start", "size"), map(np.concatenate, zip(*out)))))
+                    yield pd.DataFrame(dict(zip(("anchor", "c", "key", "text_hash", "start", "size"), map(np.concatenate, zip(*out)))))
 
-    return docs.mapInPandas(work, "anchor long, c1 long, c2 long, key long, text_hash long, start long, size long")
+    return docs.mapInPandas(work, "anchor long, c long, key long, text_hash long, start long, size long")
 
 
 def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """(key, text_hash, ranges) of the texts of `docs` (key, text_hash, text) with repeated strings: (start, strings) in pairs."""
-    stretch = ["anchor", "c1", "c2"]
+    stretch = ["anchor", "c"]
     anchors = written(anchors_of(docs, window, gram), "anchors")
     place = F.struct("key", "text_hash", "start", "size")
     found = written(anchors.groupBy(*stretch).agg(F.count("*").alias("n"), F.min(place).alias("at")), "stretches")
     others = found.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = found.where("n > 1").select(*stretch, F.array(F.lit(0).cast("long"), F.col("at.size")).alias("runs"))
     # stretches with one anchor: a shard for the anchor, several for one with many
-    single = with_salt(found, "c1").join(every_salt(others), ["anchor", "_salt"]).drop("_salt")
+    single = with_salt(found, "c").join(every_salt(others), ["anchor", "_salt"]).drop("_salt")
     parts = F.ceil(F.col("kinds") / hot)
-    single = single.select(*stretch, "at.*", (F.col("n") > 1).alias("known"), (F.col("kinds") > hot).alias("hot"), F.pmod("c2", parts).alias("chunk"))
+    single = single.select(*stretch, "at.*", (F.col("n") > 1).alias("known"), F.when(F.col("kinds") > hot, parts).otherwise(0).alias("parts"), F.pmod("c", parts).alias("chunk"))
 
-    wanted = single.groupBy("key", "text_hash").agg(F.collect_list(F.struct(*stretch, "start", "size", "known", "hot", "chunk")).alias("cuts"))
+    wanted = single.groupBy("key", "text_hash").agg(F.collect_list(F.struct(*stretch, "start", "size", "known", "parts", "chunk")).alias("cuts"))
 
-    names = [*stretch, "known", "hot", "chunk"]
+    names = [*stretch, "known", "parts", "chunk"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -342,7 +348,7 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int) -> DataFr
 
     # one of equal rows gives its bytes
     texts = docs.join(wanted, ["key", "text_hash"]).select("cuts", F.col("text").cast("string").alias("text"))
-    spans = written(texts.mapInPandas(cut, "anchor long, c1 long, c2 long, known boolean, hot boolean, chunk long, bytes binary").dropDuplicates(stretch), "spans")
+    spans = written(texts.mapInPandas(cut, "anchor long, c long, known boolean, parts long, chunk long, bytes binary").dropDuplicates(stretch), "spans")
     total = spans.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES + 1)
 
@@ -352,26 +358,45 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int) -> DataFr
         if not len(df):
             return
         inside, again, first = shared_strings(df["bytes"].tolist(), window)
-        begin, out = 0, []
+        begin, out, strings = 0, [], {}
         text = b"\0".join(df["bytes"]) + b"\0"
-        for anchor, c1, c2, known, hot_one, span in zip(df["anchor"], df["c1"], df["c2"], df["known"], df["hot"], df["bytes"]):
+        for row, (anchor, c, known, parts, span) in enumerate(zip(df["anchor"], df["c"], df["known"], df["parts"], df["bytes"])):
             n = len(span) - window + 1
             runs = _runs(again[begin:begin + n])
             if len(runs) and not known:
-                out.append((anchor, c1, c2, runs, None, None, None))
-            if hot_one:
-                # strings of this stretch that no shard has twice so far, and one of each that it has
-                for i in range(n):
-                    if first[begin + i] == begin + i:
-                        w = np.frombuffer(hashlib.blake2b(text[begin + i:begin + i + window], digest_size=16).digest(), np.int64)
-                        out.append((anchor, c1, c2, None, int(w[0]), int(w[1]), -1 if again[begin + i] or known else i))
+                out.append((anchor, c, runs, None, None))
+            if parts:
+                # one of each string that this shard has, to be compared with those of the anchor's other shards
+                own = np.flatnonzero(first[begin:begin + n] == np.arange(begin, begin + n))
+                h = np.frombuffer(b"".join([hashlib.blake2b(text[i:i + window], digest_size=16).digest() for i in (begin + own).tolist()]), np.int64).reshape(-1, 2)
+                twice = again[begin + own] | known
+                strings.setdefault((anchor, parts), []).append(np.column_stack([h, np.full(len(own), c), np.where(twice, -1, own)]))
             begin += len(span) + 1
-        yield pd.DataFrame(out, columns=[*stretch, "runs", "w1", "w2", "i"]).astype({"w1": "Int64", "w2": "Int64", "i": "Int64"})
-
-    got = written(spans.repartition(shards, "anchor", "chunk").mapInPandas(search, "anchor long, c1 long, c2 long, runs array<long>, w1 long, w2 long, i long"), "shared")
-    strings = got.where("w1 IS NOT NULL")
-    across = strings.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.collect_list(F.when(F.col("i") >= 0, F.struct(*stretch, "i"))).alias("own")).where("m > 1")
-    across = across.select(F.explode("own").alias("o")).select("o.*").groupBy(*stretch).agg(F.flatten(F.collect_list(F.array("i", F.lit(1).cast("long")))).alias("runs"))
+        for (anchor, parts), rows in strings.items():
+            rows = np.concatenate(rows)
+            at = rows[:, 0] % parts
+            rows = rows[np.argsort(at, kind="stable")]
+            for j, some in zip(*_split(np.sort(at), rows)):
+                out.append((anchor, int(j), None, some.astype("<i8").tobytes(), int(len(some))))
+        yield pd.DataFrame(out, columns=["anchor", "c", "runs", "strings", "m"]).astype({"m": "Int64"})
+
+    got = written(spans.repartition(shards, "anchor", "chunk").mapInPandas(search, "anchor long, c long, runs array<long>, strings binary, m long"), "shared")
+
+    def meet(run: Run) -> dict | None:
+        """Strings of an anchor that several shards sent: the starts of those that their own shard has once."""
+        rows = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in run["strings"]])
+        _, group, n = np.unique(rows[:, :2], axis=0, return_inverse=True, return_counts=True)
+        hit = rows[(n[group.ravel()] > 1) & (rows[:, 3] >= 0)]
+        if not len(hit):
+            return None
+        hit = hit[np.lexsort((hit[:, 3], hit[:, 2]))]
+        names, starts = _split(hit[:, 2], hit[:, 3])
+        runs = np.empty(len(names), object)
+        runs[:] = [np.column_stack([x, np.ones(len(x), np.int64)]).ravel() for x in starts]
+        return {"anchor": np.full(len(names), run["anchor"][0]), "c": names, "runs": runs}
+
+    strings = got.where("strings IS NOT NULL").select("anchor", F.col("c").alias("part"), "strings")
+    across = grouped(strings, ["anchor", "part"], meet, "anchor long, c long, runs array<long>")
     runs = whole.union(got.where("runs IS NOT NULL").select(*stretch, "runs")).union(across)
     runs = runs.groupBy(*stretch).agg(F.flatten(F.collect_list("runs")).alias("runs"))
     hits = with_salt(anchors, "key", "text_hash").join(every_salt(runs), [*stretch, "_salt"])
