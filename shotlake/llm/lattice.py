@@ -31,7 +31,7 @@ from shotlake.llm.common import row_key, worker_cache
 from shotlake.llm.tokens import tokenizer_file
 
 UNIT = re.compile(r" +[^ ]*")
-SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 400_000, 60, 200
+SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 800_000, 60, 200
 FIRST = itemgetter(0)
 POWER, OFFSET, SAMPLES = 1.5, 10.0, 2
 SCALE = 5.0
