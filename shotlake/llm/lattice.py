@@ -31,7 +31,7 @@ from shotlake.llm.common import row_key, worker_cache
 from shotlake.llm.tokens import tokenizer_file
 
 UNIT = re.compile(r" +[^ ]*")
-SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 800_000, 60, 200
+SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 400_000, 60, 200
 FIRST = itemgetter(0)
 POWER, OFFSET, SAMPLES = 1.5, 10.0, 2
 SCALE = 5.0
@@ -497,6 +497,8 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k
         gc.enable()
         return pd.Series(out)
 
+    # segmentations take several times the room of their texts, so a worker gets few texts at a time
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     text = F.col("text").cast("string")
     others = [F.col(c) for c in docs.columns if c != "pieces"]
     return docs.select(*others, F.explode(F.pandas_udf(encode, kind)(text, F.xxhash64(row_key(F.col("doc_id"), text)))).alias("pieces"))
