@@ -321,9 +321,10 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     nodes = written(sets.where("size > 0").groupBy(*name).agg(
         F.min(F.struct("key", "text_hash")).alias("least"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
         .select(*name, F.col("least.key").alias("node"), F.col("least.text_hash").alias("text_hash"), "copies", "signature"), "nodes")
-    # two sets of one doc_id can't share a name: the second takes its own
+    # two sets of one doc_id can't share a name: the second takes its own, and `id` stays the least doc_id of both
     twin = nodes.groupBy("node").agg(F.count("*").alias("m"), F.min("h1").alias("h")).where("m > 1").select("node", "h")
-    if not twin.isEmpty():
+    twins = not twin.isEmpty()
+    if twins:
         own = F.when(F.col("h").isNotNull() & (F.col("h1") != F.col("h")), F.lit(NO_ID) + F.pmod(F.xxhash64(*name), F.lit(1 << 61))).otherwise(F.col("node"))
         nodes = written(nodes.join(twin, "node", "left").withColumn("own", own).withColumn("id", F.col("node")).drop("node", "h").withColumnRenamed("own", "node"), "nodes")
     else:
@@ -344,26 +345,32 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     links = written(grouped(close.join(payload, "node"), ["path", "a", "b"], exact, "node long, n long, root long"), "links")
     found = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     table = (nodes.join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(found, "node", "left")
-             .select(*name, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+             .select(*name, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"),
+                     "node", "id", F.col("text_hash").alias("least_hash")))
+    if twins:
+        # a made node is no doc_id and sorts after all of them: a component is led by its least (id, text_hash)
+        table = written(table, "named")
+        leads = table.groupBy("component").agg(F.min(F.struct("id", "least_hash")).alias("lead"))
+        table = with_salt(table, "node").join(every_salt(leads), ["component", "_salt"]).drop("_salt")
+        table = table.withColumn("class", F.col("lead.id")).withColumn("leads", F.struct("id", "least_hash") == F.col("lead")).drop("lead")
+    else:
+        table = table.withColumn("class", F.col("component")).withColumn("leads", F.col("node") == F.col("component"))
     rows = with_salt(sets.drop("signature"), "key", "text_hash").join(every_salt(table), [*name, "_salt"], "left")
-    component = F.coalesce("component", "key")
-    return rows.select(real_key(F.col("key")).alias("doc_id"), "key", "text_hash", real_key(component).alias("class_id"), component.alias("component"),
-                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    keeps = (F.col("size") == 0) | (F.col("leads") & (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("least_hash")))
+    return rows.select(real_key(F.col("key")).alias("doc_id"), "key", "text_hash", real_key(F.coalesce("class", "key")).alias("class_id"),
+                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), keeps.alias("keeps"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with one document of each class: that of the smallest doc_id. Texts without words all stay."""
+    """`docs` with one document of each class: that of the smallest doc_id, and of several of it that of the smallest hash.
+    Texts without words all stay, and so does each text of a repeated doc_id that links with nothing."""
     rows = written(near_classes(docs, **how), "classes")
-    mine = rows.where("key = component")
-    # rows that repeat an id within a class: one of them, that of the smallest hash
-    twice = mine.groupBy("key").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1")
-    out = rows.where("key <> component").select("key", "text_hash").union(
-        mine.join(twice, "key").where("text_hash <> least").select("key", "text_hash")).distinct()
+    out = rows.where("NOT keeps").select("key", "text_hash").distinct()
     taken = ["_llm_key", "_llm_hash"]
     text = F.col("text").cast("string")
     named = docs.withColumn(taken[0], row_key(F.col("doc_id"), text)).withColumn(taken[1], F.xxhash64(F.coalesce(text, F.lit(""))))
     named = named.join(out.toDF(*taken), taken, "left_anti")
-    again = mine.join(twice, "key").where("text_hash = least AND n_links > 0").groupBy("key", "text_hash").count().where("count > 1").select("key", "text_hash")
+    again = rows.where("keeps AND n_links > 0").groupBy("key", "text_hash").count().where("count > 1").select("key", "text_hash")
     if again.isEmpty():
         return named.select(*docs.columns)
     again = written(again.toDF(*taken), "again")

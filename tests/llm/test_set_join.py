@@ -80,6 +80,20 @@ def test_keep_one(spark):
     assert got[504] == 1 and got[501] == got[502] == got[503] == 1
 
 
+@pytest.mark.parametrize("linked", [0, 1])
+def test_texts_of_one_id(spark, linked):
+    """Either text of id 1 links with id 2, so both orders of their hashes come up; only the near copy goes."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, texts[0], 0, "k"), (1, texts[1], 0, "k"), (2, texts[linked] + " tail", 0, "k"),
+            (3, " ", 0, "k"), (3, "a text with words that links with none", 0, "k"), (3, None, 0, "k"), (4, "no twin of any other text at all", 0, "k"),
+            (None, texts[1 - linked] + " end", 0, "k")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = S.near_classes(docs).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == brute(rows)
+    kept = Counter((r.doc_id, r.text) for r in S.keep_one(docs).collect())
+    assert kept == Counter(r[:2] for r in rows[:2] + rows[3:7])
+
+
 def test_empty(spark):
     assert S.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
     assert S.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
