@@ -4,7 +4,7 @@ A text is the set of its five-word shingles; a signature holds 64 minimum hashes
 the probability of their similarity. A run sends every set from the root to buckets of one or two sampled tokens (1 / threshold on
 average) and splits a bucket again by tokens sampled for it until it is small, or until its sets are alike on average, as
 near copies are. The sets of a bucket are compared with each other, by signature first and then exactly. Runs repeat until a pair at
-the threshold is missed in all of them with a probability below 1 - recall.
+the threshold is missed in all of them with a probability below 1 - recall, averaged over how many of its 64 minima agree.
 
 A pair that meets in several buckets is counted in the lowest of them alone. A large bucket is cut into blocks that are compared
 in pairs; sets that share a lower bucket need no comparison, so blocks hold sets of one lowest bucket where these are many. Equal sets
@@ -32,17 +32,34 @@ SLACK = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def missed(threshold: float, depth: int) -> float:
-    """The chance that a pair at the threshold shares no bucket after `depth` levels of one run."""
-    more, q = 1 / threshold - 1, 0.0
+def missed(agree: float, depth: int, more: float | None = None) -> float:
+    """The chance that a pair shares no bucket after `depth` levels of one run, if its tokens agree with the probability `agree` and a
+    second token is taken with the probability `more` (by default as for a threshold of `agree`)."""
+    more, q = 1 / agree - 1 if more is None else more, 0.0
     for _ in range(depth):
-        one = 1 - threshold + threshold * q
+        one = 1 - agree + agree * q
         q = (1 - more) * one + more * one * one
     return q
 
 
-def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(missed(threshold, depth)))
+def missed_by_all(runs: int, threshold: float, depth: int, tokens: int) -> float:
+    """The chance that a pair at the threshold shares no bucket in any run, where all runs sample the same `tokens` minima: as many
+    of these agree as a binomial law gives, and the runs are independent only for a given number of them."""
+    return sum(math.comb(tokens, k) * threshold ** k * (1 - threshold) ** (tokens - k) * missed(k / tokens, depth, 1 / threshold - 1) ** runs
+               for k in range(tokens + 1))
+
+
+def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, tokens: int | None = None) -> int:
+    """Runs after which a pair at the threshold is missed with a probability of 1 - recall at most; `tokens`: the minima of a
+    signature that all runs share, None if each run has fresh ones."""
+    if tokens is None:
+        return math.ceil(math.log(1 - recall) / math.log(missed(threshold, depth)))
+    if missed_by_all(1 << 20, threshold, depth, tokens) > 1 - recall:
+        raise ValueError(f"{tokens} minima can't give a recall of {recall}")
+    runs = 1
+    while missed_by_all(runs, threshold, depth, tokens) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -329,7 +346,7 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         nodes = written(nodes.join(twin, "node", "left").withColumn("own", own).withColumn("id", F.col("node")).drop("node", "h").withColumnRenamed("own", "node"), "nodes")
     else:
         nodes = nodes.withColumn("id", F.col("node"))
-    buckets = final_buckets(nodes, runs_needed(recall=recall))
+    buckets = final_buckets(nodes, runs_needed(recall=recall, tokens=TOKENS))
     pairs = block_pairs(buckets)
     close = grouped(pairs.join(nodes.select("node", "size", "signature"), "node"), ["path", "a", "b"], plausible,
                     "path long, a long, b long, node long, own long, paths array<long>")
