@@ -1,8 +1,8 @@
 """Secret scans: a recursive decoding worklist over whole texts.
 
 A text is scanned, then every encoded stretch in it is unwrapped (percent
-escapes, Unicode and HTML escapes, base64, and gzip or zlib data inside base64)
-and each new layer is scanned and unwrapped in turn. A layer that was seen
+escapes, Unicode and HTML escapes, base64 in one line or wrapped over several, and
+gzip or zlib data inside base64) and each new layer is scanned and unwrapped in turn. A layer that was seen
 before in the same text ends its branch, so cycles end. What is found in a layer is
 mapped back through the layers to code points of the text.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -31,7 +32,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# lines that may belong to one wrapped stretch: a search for them, and the end of a line with the start of the next
+LONG_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+\r?\n|\n[ \t]*+[A-Za-z0-9+/_-]{16}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 PIECE = 1 << 20
+# a secret that lies over a cut of a large layer is sought in so many characters on both sides
+SEAM = 4096
 
 Span = tuple[str, int, int]
 
@@ -106,11 +113,15 @@ def replaced(text: str, found: Iterator[tuple[int, int, str, list[int] | None]])
 def from_percent(text: str) -> Layer | None:
     def found():
         for m in PERCENT.finditer(text):
-            try:
-                new = bytes.fromhex(m[0].replace("%", "")).decode()
-            except UnicodeDecodeError:
-                continue
-            yield m.start(), m.end(), new, [3 * len(ch.encode()) for ch in new]
+            # bytes that are no UTF-8 become lone surrogates, which end a part
+            at, whole = m.start(), bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape")
+            for new in re.split("([\udc80-\udcff]+)", whole):
+                if new and "\udc80" <= new[0] <= "\udcff":
+                    at += 3 * len(new)
+                elif new:
+                    lengths = [3 * len(ch.encode()) for ch in new]
+                    yield at, at + sum(lengths), new, lengths
+                    at += sum(lengths)
 
     return replaced(text, found()) if "%" in text else None
 
@@ -125,72 +136,184 @@ def from_escapes(text: str) -> Layer | None:
     return replaced(text, found()) if "\\" in text or "&#" in text else None
 
 
-def inflated(data: bytes, most: int) -> bytes | None:
-    """gzip or zlib data unpacked in pieces; ValueError beyond `most` bytes."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    unpack, out, n = zlib.decompressobj(47), [], 0
-    try:
-        while data and not unpack.eof:
-            out.append(unpack.decompress(data, PIECE))
-            n += len(out[-1])
-            if n > most:
-                raise ValueError
-            data = unpack.unconsumed_tail
-    except zlib.error:
-        return None
-    return b"".join(out) if unpack.eof else None
-
-
-TOO_LARGE = Layer("", [])
+def packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0)
 
 
-def from_base64(text: str, most: int) -> Iterator[Layer]:
-    """A layer for each stretch that decodes to text, or to packed text; TOO_LARGE for one not unpacked."""
-    for m in BASE64.finditer(text):
-        run = m[0]
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1 or not any(c.isdigit() or c.isupper() for c in body):
-            continue
+def inflated(data: bytes, members: int | None = None) -> Iterator[bytes | None]:
+    """gzip or zlib data unpacked in pieces, its first `members` or all; a None after each whole member. Ends at what is no whole member."""
+    done = 0
+    while packed(data) and done != members:
+        unpack = zlib.decompressobj(47)
         try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+            while data and not unpack.eof:
+                yield unpack.decompress(data, PIECE)
+                data = unpack.unconsumed_tail
+            while not unpack.eof:  # what the object holds back
+                if not (rest := unpack.decompress(b"", PIECE)):
+                    return
+                yield rest
+        except zlib.error:
+            return
+        done += 1
+        yield None
+        data = unpack.unused_data.lstrip(b"\0")
+
+
+def pieces(data: bytes, members: int, most: int) -> Iterator[str]:
+    """The unpacked text in pieces of about `most` bytes, cut where no encoded stretch lies over the cut; before each but the first the
+    characters around the cut alone. A last item of None if a stretch was longer than a piece and had to be cut."""
+    decoder, held, size, torn, before = codecs.getincrementaldecoder("utf-8")(), [], 0, False, ""
+    for part in inflated(data, members):
+        if part is None:
             continue
-        try:
-            packed = inflated(data, most)
-        except ValueError:
-            yield TOO_LARGE
+        held.append(decoder.decode(part))
+        size += len(held[-1])
+        if size < most:
+            continue
+        text = "".join(held)
+        cut = cut_before(text)
+        if not cut:
+            torn, cut = True, len(text)
+        yield before + text[:SEAM], True
+        yield text[:cut], False
+        before = (before + text[:cut])[-SEAM:]
+        held, size = [text[cut:]], len(text) - cut
+    text = "".join(held)
+    yield before + text[:SEAM], True
+    yield text, False
+    if torn:
+        yield None, False
+
+
+def cut_before(text: str) -> int:
+    """The last place in `text` that no encoded stretch can lie over: after white space, and not within lines of base64 digits. 0 if none."""
+    end = len(text)
+    while end:
+        a = text.rfind("\n", 0, end) + 1
+        line = text[a:end].strip()
+        if a and (not line or LINE.fullmatch(line)):
+            end = a - 1
             continue
+        return max(a, *(text.rfind(c, a, end) + 1 for c in " \t\r"))
+    return 0
+
+
+def wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The lines (start, end) of each stretch of base64 digits that may be wrapped over lines: lines of one length, with or without the
+    line before them, which other text may begin, and a last one that is no longer."""
+    if not LONG_LINE.search(text):
+        return
+    for m in LINES.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        width = [b - a for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i
+            while j + 1 < len(lines) and width[j + 1] == width[i]:
+                j += 1
+            if width[i] >= 16:
+                for a in (i, i - 1) if i else (i,):
+                    for b in (j, j + 1) if j + 1 < len(lines) and width[j + 1] < width[i] else (j,):
+                        if b > a:
+                            yield lines[a:b + 1]
+            elif i and i == j and width[i - 1] < 16 and sum(width[i - 1:i + 1]) >= 16:
+                yield lines[i - 1:i + 1]
+            i = j + 1
+
+
+# instead of layers: a stretch of which a part was too long to be unwrapped
+TOO_LARGE = ()
+
+
+def unwrapped(run: str, most: int) -> Iterator[tuple[Layer, bool] | None]:
+    """What a run of base64 digits decodes to: a layer, or one for each piece and each seam (True) of a large one; None as TOO_LARGE."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1 or not any(c.isdigit() or c.isupper() for c in body):
+        return
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    whole, now, size, members = [], [], 0, 0
+    for part in inflated(data):
+        if part is None:
+            members += 1
+            whole, now = whole + now, []
+        else:
+            size += len(part)
+            now.append(part)
+            if size > most:
+                whole, now = [], []
+    if members and size > most:
         try:
-            new = (data if packed is None else packed).decode()
+            check = codecs.getincrementaldecoder("utf-8")()
+            for part in inflated(data, members):
+                check.decode(part or b"")
+            check.decode(b"", True)
         except UnicodeDecodeError:
-            continue
-        if new and all(c.isprintable() or c in "\t\r\n" for c in new):
-            yield Layer(new, [(0, m.start(), len(run), SIXES if packed is None and new.isascii() else WHOLE)])
+            return
+        for text, seam in pieces(data, members, most):
+            if text is None:
+                yield None
+            elif text:
+                yield Layer(text, [(0, 0, len(run), WHOLE)]), seam
+        return
+    try:
+        new = (b"".join(whole) if members else data).decode()
+    except UnicodeDecodeError:
+        return
+    if new:
+        yield Layer(new, [(0, 0, len(run), WHOLE if members or not new.isascii() else SIXES)]), False
+
+
+def from_base64(text: str, most: int) -> Iterator[tuple[tuple[Layer, ...], bool]]:
+    """The layers of each stretch that decodes to text, or to packed text: the stretch itself, lines joined, and what it holds."""
+    for m in BASE64.finditer(text):
+        run = Layer(m[0], [(0, m.start(), len(m[0]), SAME)])
+        for got in unwrapped(m[0], most):
+            yield ((run, got[0]), got[1]) if got else (TOO_LARGE, False)
+    for lines in wrapped(text):
+        cuts, n = [], 0
+        for a, b in lines:
+            cuts.append((n, a, b - a, SAME))
+            n += b - a
+        run = Layer("".join(text[a:b] for a, b in lines), cuts)
+        for got in unwrapped(run.text, most):
+            yield ((run, got[0]), got[1]) if got else (TOO_LARGE, False)
+
+
+def layers(text: str, most: int) -> Iterator[tuple[tuple[Layer, ...], bool]]:
+    for layer in (from_percent(text), from_escapes(text)):
+        if layer is not None:
+            yield (layer,), False
+    yield from from_base64(text, most)
 
 
 def scan(text: str, most: int = 1 << 26) -> tuple[list[Span], list[Span], int]:
-    """(base spans, all spans, stretches left packed because they exceed `most` bytes) of a text."""
+    """(base spans, all spans, stretches that unpack to more than `most` bytes and hold one that long without a place to cut) of a text."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     spans, left = set(base), 0
     seen = {_mark(text, 0, len(text))}
-    work: list[tuple[str, tuple[Layer, ...]]] = [(text, ())]
+    work: list[tuple[Iterator, tuple[Layer, ...]]] = [(layers(text, most), ())]
     while work:
-        now, way = work.pop()
-        if way:
-            spans.update((kind, *_origin(way, a, b)) for kind, a, b in base_spans(now))
-        for layer in (from_percent(now), from_escapes(now), *from_base64(now, most)):
-            if layer is None:
-                continue
-            if layer is TOO_LARGE:
-                left += 1
-                continue
-            below = (*way, layer)
-            mark = _mark(layer.text, *(_origin(below, 0, len(layer.text)) if layer.text else (0, 0)))
-            if mark not in seen:
+        rest, way = work[-1]
+        found = next(rest, None)
+        if found is None:
+            work.pop()
+            continue
+        new, seam = found
+        if new is TOO_LARGE:
+            left += 1
+            continue
+        below, now = (*way, *new), new[-1].text
+        mark = _mark(now, *(_origin(below, 0, len(now)) if now else (0, 0)))
+        if mark not in seen:
+            if not seam:
                 seen.add(mark)
-                work.append((layer.text, below))
+                work.append((layers(now, most), below))
+            spans.update((kind, *_origin(below, a, b)) for kind, a, b in base_spans(now))
     return base, sorted(spans, key=order), left
 
 
@@ -226,8 +349,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Every whole text is scanned where it is, without a shuffle. NULL and empty texts have no spans;
     repeated rows stay; an empty table gives an empty one; other columns pass through whatever
-    their names, `secrets` alone is replaced. A stretch that
-    unpacks to more than 64 MB is left packed, to bound memory, and counted in n_packed.
+    their names, `secrets` alone is replaced. A stretch that unpacks to more than 64 MB is scanned in pieces, to bound memory;
+    n_packed counts those that hold 64 MB without a place to cut, where plain secrets are found and encoded ones over a cut are not.
     """
     scanned = F.pandas_udf(scan_texts, SCHEMA)
     return docs.withColumn("secrets", scanned(F.col("text").cast("string")))
