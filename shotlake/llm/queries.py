@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import lattice, mixing, mtree, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity
+from shotlake.llm import lattice, mixing, mtree, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity, zone_maps
 from shotlake.llm.common import drop, folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,11 @@ ORACLES["op2_ngram_join"] = set_join.ORACLE
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return zone_maps.cluster_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLES["op13_centroids"] = zone_maps.ORACLE
