@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import lattice, mixing, mtree, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity, zone_maps
+from shotlake.llm import lattice, mixing, mtree, phrases, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity, zone_maps
 from shotlake.llm.common import drop, folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,11 @@ def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op13_centroids"] = zone_maps.ORACLE
+
+
+@query
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op11_phrases"] = phrases.ORACLE
