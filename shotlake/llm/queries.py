@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import lattice, mixing, mtree, phrases, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity, zone_maps
+from shotlake.llm import lattice, line_rules, mixing, mtree, phrases, range_join, rollups, secret_scan, set_join, suffix_dedup, token_files, toxicity, zone_maps
 from shotlake.llm.common import drop, folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,12 @@ def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op11_phrases"] = phrases.ORACLE
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = line_rules.judge_lines(table(spark, sf, "documents").select("doc_id", "text"), texts=False)
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")])
+
+
+ORACLES["op12_quality_rules"] = line_rules.ORACLE
