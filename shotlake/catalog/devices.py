@@ -87,7 +87,7 @@ st AS (
   SELECT DISTINCT job_id, CAST(-1 AS BIGINT) AS seq, 'none' AS s, 0 AS f, 0 AS r FROM ev
   UNION ALL
   SELECT t.job_id, t.seq + 1,
-    CASE WHEN e = 'create' AND s = 'none' THEN 'pending' WHEN e = 'analyze' AND s = 'pending' THEN 'analyzing' WHEN e = 'run' AND s = 'analyzing' THEN 'running' WHEN e = 'done' AND s = 'running' THEN 'done'
+    CASE WHEN e = 'create' AND s = 'none' THEN 'pending' WHEN e = 'analyze' AND s = 'pending' THEN 'analyzing' WHEN e = 'run' AND s = 'analyzing' THEN 'running' WHEN e = 'done' AND s = 'running' THEN CASE WHEN f = 1 THEN 'cancelled' ELSE 'done' END
       WHEN e = 'fail' AND s = 'running' AND f = 1 THEN 'cancelled' WHEN e = 'fail' AND s IN ('analyzing', 'running') THEN CASE WHEN r < 2 THEN 'pending' ELSE 'failed' END
       WHEN e = 'cancel' AND s IN ('pending', 'analyzing') THEN 'cancelled' WHEN e = 'restart' AND s IN ('analyzing', 'running') THEN 'pending' ELSE s END,
     CASE WHEN e = 'fail' AND s IN ('analyzing', 'running') AND NOT (s = 'running' AND f = 1) AND r < 2 THEN 1 WHEN e = 'cancel' AND s = 'running' THEN 1

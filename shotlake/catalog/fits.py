@@ -8,18 +8,16 @@ from shotlake.catalog import query, r6
 from shotlake.catalog import views as v
 from shotlake.operators import fits as op
 from shotlake.operators.curves import seeds_of
-from shotlake.operators.timeline import spread_sample
 
 KEY = ["job_id"]
-# sixteen anchors per key, spread over its pairs
-ANCHORS = v.PAIRS + """,
-anchors AS MATERIALIZED (
-  SELECT job_id, seq, q, x_star FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM pairs)
-  WHERE list_contains(list_transform(range(0, 16), lambda j: CAST(round_even(j * (n - 1) / 15.0, 0) AS BIGINT)), seq))"""
+RUN = ["job_id", "run"]
+# calibration runs: every pair, 32 to a run
+RUNS = v.PAIRS + """,
+runs AS MATERIALIZED (SELECT job_id, seq // 32 AS run, seq, q, x_star FROM pairs)"""
 
 
-def _anchors(spark, sf):
-    return spread_sample(v.pairs(spark, sf), 16, ["seq"], KEY)
+def _runs(spark, sf):
+    return v.pairs(spark, sf).withColumn("run", F.floor(F.col("seq") / 32))
 
 
 @query("recent_rows", f"""WITH {v.PAIRS}
@@ -28,31 +26,35 @@ def recent_rows(spark, sf):
     return op.recent_rows(v.pairs(spark, sf)).select("job_id", "seq", "q", "x_star")
 
 
-@query("theil_sen", f"""WITH {ANCHORS},
-slopes AS MATERIALIZED (SELECT a.job_id, median((b.x_star - a.x_star) / (b.q - a.q)) AS a FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q GROUP BY a.job_id)
+@query("theil_sen", f"""WITH {v.PAIRS},
+slopes AS MATERIALIZED (SELECT a.job_id, median((b.x_star - a.x_star) / (b.q - a.q)) AS a FROM pairs a JOIN pairs b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q GROUP BY a.job_id)
 SELECT job_id, count(*) AS n, round(any_value(coalesce(a, 0)), 6) AS a,
        round(CASE WHEN any_value(a) IS NULL THEN arg_min(x_star, seq) ELSE median(x_star - a * q) END, 6) AS b
-FROM anchors LEFT JOIN slopes USING (job_id) GROUP BY job_id""")
+FROM pairs LEFT JOIN slopes USING (job_id) GROUP BY job_id""")
 def theil_sen(spark, sf):
-    return op.theil_sen(_anchors(spark, sf)).select("job_id", "n", r6("a").alias("a"), r6("b").alias("b"))
+    return op.theil_sen(v.pairs(spark, sf)).select("job_id", "n", r6("a").alias("a"), r6("b").alias("b"))
 
 
 LIMIT = 25.0
-
-
-@query("gated_map_fit", f"""WITH {ANCHORS},
-slopes AS MATERIALIZED (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
-loo_a AS MATERIALIZED (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
-loo_b AS MATERIALIZED (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
-sd AS MATERIALIZED (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
-line AS MATERIALIZED (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
-told AS (SELECT job_id, count(*) AS n, min(q) - 1 AS q_lo, max(q) + 1 AS q_hi, any_value(a) AS a, median(x_star - a * q) AS b FROM anchors JOIN line USING (job_id) GROUP BY job_id)
-SELECT job_id, n, round(sd, 6) AS sd, CASE WHEN sd > {LIMIT} THEN 'residual over the limit' END AS refused,
-       round(CASE WHEN sd <= {LIMIT} THEN a END, 6) AS a, round(CASE WHEN sd <= {LIMIT} THEN b END, 6) AS b,
-       CASE WHEN sd <= {LIMIT} THEN q_lo END AS q_lo, CASE WHEN sd <= {LIMIT} THEN q_hi END AS q_hi FROM told JOIN sd USING (job_id)""")
+# every pair left out of its run in turn
+LEFT_OUT = RUNS + """,
+slopes AS MATERIALIZED (SELECT a.job_id, a.run, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM runs a JOIN runs b ON a.job_id = b.job_id AND a.run = b.run AND a.seq < b.seq AND a.q <> b.q),
+loo_a AS MATERIALIZED (SELECT k.job_id, k.run, k.seq, coalesce(median(s), 0) AS a, count(s) AS m FROM runs k LEFT JOIN slopes p ON p.job_id = k.job_id AND p.run = k.run AND p.i <> k.seq AND p.j <> k.seq GROUP BY ALL),
+loo_b AS MATERIALIZED (SELECT k.job_id, k.run, k.seq, any_value(k.a) AS a, CASE WHEN any_value(k.m) = 0 THEN arg_min(r.x_star, r.seq) ELSE median(r.x_star - k.a * r.q) END AS b
+  FROM loo_a k JOIN runs r ON r.job_id = k.job_id AND r.run = k.run AND r.seq <> k.seq GROUP BY k.job_id, k.run, k.seq),
+sd AS MATERIALIZED (SELECT job_id, run, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN runs USING (job_id, run, seq) GROUP BY job_id, run),
+line AS MATERIALIZED (SELECT job_id, run, median(s) AS a FROM slopes GROUP BY job_id, run),
+told AS MATERIALIZED (SELECT job_id, run, count(*) AS n, min(q) AS q_lo, max(q) AS q_hi, coalesce(any_value(a), 0) AS a,
+  CASE WHEN any_value(a) IS NULL THEN arg_min(x_star, seq) ELSE median(x_star - a * q) END AS b FROM runs LEFT JOIN line USING (job_id, run) GROUP BY job_id, run)"""
+
+
+@query("gated_map_fit", f"""WITH {LEFT_OUT}
+SELECT job_id, run, n, CASE WHEN n >= 4 THEN round(sd, 6) END AS sd, CASE WHEN n < 4 THEN 'too few pairs' WHEN sd > {LIMIT} THEN 'residual over the limit' END AS refused,
+       round(CASE WHEN n >= 4 AND sd <= {LIMIT} THEN a END, 6) AS a, round(CASE WHEN n >= 4 AND sd <= {LIMIT} THEN b END, 6) AS b,
+       CASE WHEN n >= 4 AND sd <= {LIMIT} THEN q_lo - 1 END AS q_lo, CASE WHEN n >= 4 AND sd <= {LIMIT} THEN q_hi + 1 END AS q_hi FROM told LEFT JOIN sd USING (job_id, run)""")
 def gated_map_fit(spark, sf):
-    fit = op.gated_map_fit(_anchors(spark, sf), LIMIT, 1.0)
-    return fit.select("job_id", "n", r6("sd").alias("sd"), "refused", r6("a").alias("a"), r6("b").alias("b"), "q_lo", "q_hi")
+    fit = op.gated_map_fit(_runs(spark, sf), LIMIT, 1.0, key=RUN)
+    return fit.select(*RUN, "n", r6("sd").alias("sd"), "refused", r6("a").alias("a"), r6("b").alias("b"), "q_lo", "q_hi")
 
 
 # two-feature least squares on the latest 200 pairs, refitted without outliers
@@ -101,18 +103,13 @@ def seed_steps(spark, sf):
     return seeds_of(op.predict_setting(pairs, fits, 18, 50), fits, SEED_GRID).select("job_id", "seq", F.round("seed", 5).alias("seed"), "step")
 
 
-@query("apply_or_abstain", f"""WITH {ANCHORS},
-slopes AS MATERIALIZED (SELECT a.job_id, a.seq AS i, b.seq AS j, (b.x_star - a.x_star) / (b.q - a.q) AS s FROM anchors a JOIN anchors b ON a.job_id = b.job_id AND a.seq < b.seq AND a.q <> b.q),
-loo_a AS MATERIALIZED (SELECT k.job_id, k.seq, median(s) AS a FROM anchors k JOIN slopes p ON p.job_id = k.job_id AND p.i <> k.seq AND p.j <> k.seq GROUP BY k.job_id, k.seq),
-loo_b AS MATERIALIZED (SELECT k.job_id, k.seq, any_value(k.a) AS a, median(r.x_star - k.a * r.q) AS b FROM loo_a k JOIN anchors r ON r.job_id = k.job_id AND r.seq <> k.seq GROUP BY k.job_id, k.seq),
-sd AS MATERIALIZED (SELECT job_id, stddev_samp(x_star - (a * q + b)) AS sd FROM loo_b JOIN anchors USING (job_id, seq) GROUP BY job_id),
-line AS MATERIALIZED (SELECT job_id, median(s) AS a FROM slopes GROUP BY job_id),
-fit AS MATERIALIZED (SELECT job_id, min(q) AS q_lo, max(q) AS q_hi, any_value(a) AS a, median(x_star - a * q) AS b FROM anchors JOIN line USING (job_id) JOIN sd USING (job_id) WHERE sd <= {LIMIT} GROUP BY job_id),
-routed AS (SELECT p.job_id, p.seq, p.q >= q_lo AND p.q <= q_hi AS inside, a, b, p.q FROM pairs p LEFT JOIN fit USING (job_id))
+@query("apply_or_abstain", f"""WITH {LEFT_OUT},
+routed AS (SELECT job_id, run, seq, q, coalesce(n >= 4 AND sd <= {LIMIT} AND q >= q_lo AND q <= q_hi, false) AS inside, a, b FROM runs JOIN told USING (job_id, run) LEFT JOIN sd USING (job_id, run))
 SELECT job_id, seq, round(CASE WHEN inside THEN greatest(0.0, least(63.0, a * q + b)) END, 6) AS x, CASE WHEN inside THEN 'mapped' ELSE 'probe' END AS route FROM routed""")
 def apply_or_abstain(spark, sf):
-    fit = op.gated_map_fit(_anchors(spark, sf), LIMIT).filter("refused IS NULL")
-    return op.apply_or_abstain(v.pairs(spark, sf), fit, 0, 63).select("job_id", "seq", r6("x").alias("x"), "route")
+    runs = _runs(spark, sf)
+    fit = op.gated_map_fit(runs, LIMIT, key=RUN).filter("refused IS NULL")
+    return op.apply_or_abstain(runs, fit, 0, 63, job=RUN).select("job_id", "seq", r6("x").alias("x"), "route")
 
 
 @query("correction_factor", f"""WITH RECURSIVE {v.OBS},

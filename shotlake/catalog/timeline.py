@@ -118,12 +118,31 @@ def validate_intervals(spark, sf):
     return op.validate_intervals(shots, titles)
 
 
-@query("merge_short")
+# one merge a step and title: a title is the list of its shots' ends
+def _merged(step: str, done: str) -> str:
+    return f"""WITH RECURSIVE {v.SHOTS},
+fold AS (
+  SELECT source_id, list(s1 ORDER BY s0) AS e FROM shots GROUP BY source_id
+  UNION ALL
+  SELECT source_id, e[:d - 1] || e[d + 1:] AS e FROM (SELECT source_id, e, {step} AS d FROM (
+    SELECT source_id, e, list_transform(range(1, len(e) + 1), lambda i: e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END) AS z FROM fold) WHERE NOT ({done}))),
+last AS (SELECT source_id, e FROM (SELECT source_id, e, list_transform(range(1, len(e) + 1), lambda i: e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END) AS z FROM fold) WHERE {done})
+SELECT source_id, i - 1 AS shot_idx, CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END AS s0, e[i] AS s1 FROM (SELECT source_id, e, unnest(range(1, len(e) + 1)) AS i FROM last)"""
+
+
+SHORTEST = "list_position(z, list_min(z))"
+
+
+@query("merge_short", _merged(f"CASE WHEN {SHORTEST} = 1 OR ({SHORTEST} < len(z) AND z[{SHORTEST} - 1] > z[{SHORTEST} + 1]) THEN {SHORTEST} ELSE {SHORTEST} - 1 END",
+                              "len(z) = 1 OR list_min(z) >= 24"))
 def merge_short(spark, sf):
     return op.merge_short(v.shots(spark, sf), 24)
 
 
-@query("merge_to_max")
+PAIR_SIZES = "list_transform(range(1, len(z)), lambda i: z[i] + z[i + 1])"
+
+
+@query("merge_to_max", _merged(f"list_position({PAIR_SIZES}, list_min({PAIR_SIZES}))", "len(z) <= 8"))
 def merge_to_max(spark, sf):
     return op.merge_to_max(v.shots(spark, sf), 8)
 

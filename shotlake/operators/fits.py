@@ -1,18 +1,20 @@
 """Cross-encoder mappings and calibration trackers.
 
 pairs   key..., seq, q, log_bpf, x_star
-A fit looks at the latest `limit` pairs of its key (200), the window the
-refits are defined on, so per-key arrays stay small whatever a key holds.
+The refit of two features looks at the latest `limit` pairs of its key (200), the
+window it is defined on; the median-of-slopes lines look at all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlake.operators import slopes
 from shotlake.operators.curves import CURVE, union_with_precedence
 from shotlake.plans import position, settle
 
@@ -27,68 +29,43 @@ def recent_rows(pairs: DataFrame, n: int = FIT_WINDOW, order: str = "seq", key:
     return pairs.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def _middle(v: Column) -> Column:
-    """Median of a sorted array, the mean of the middle two when even."""
-    n = F.size(v)
-    return (F.try_element_at(v, F.floor((n + 1) / 2).cast("int"))
-            + F.try_element_at(v, F.floor(n / 2).cast("int") + 1)) / 2
+def _points(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    whole = pairs.filter("q IS NOT NULL AND x_star IS NOT NULL")
+    return whole.select(*key, "seq", F.col("q").cast("double").alias("q"), F.col("x_star").cast("double").alias("y"))
 
 
-def _slopes(pts: Column) -> Column:
-    n = F.size(pts)
-    return F.flatten(F.transform(pts, lambda p, i: F.transform(
-        F.filter(F.slice(pts, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda r: r["q"] != p["q"]),
-        lambda r: (r["y"] - p["y"]) / (r["q"] - p["q"]))))
-
-
-def _with_line(rows: DataFrame) -> DataFrame:
-    """Add the median-of-slopes line (a, b) through the array `pts` of (q, y)."""
-    rows = rows.withColumn("_slopes", F.sort_array(_slopes(F.col("pts"))))
-    rows = rows.withColumn("a", F.when(F.size("_slopes") > 0, _middle(F.col("_slopes"))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("_rest", F.sort_array(F.transform("pts", lambda p: p["y"] - F.col("a") * p["q"])))
-    return rows.withColumn("b", F.when(F.size("_slopes") > 0, _middle(F.col("_rest"))).otherwise(
-        F.try_element_at("pts", F.lit(1))["y"])).drop("_slopes", "_rest")
-
-
-def _points(pairs: DataFrame, limit: int, key: Sequence[str]) -> DataFrame:
-    rows = recent_rows(pairs.filter("q IS NOT NULL AND x_star IS NOT NULL"), limit, key=key)
-    packed = F.sort_array(F.collect_list(F.struct("seq", F.col("q").cast("double").alias("q"),
-                                                  F.col("x_star").cast("double").alias("y"))))
-    return rows.groupBy(*key).agg(packed.alias("pts"))
-
-
-def theil_sen(pairs: DataFrame, limit: int = FIT_WINDOW, key: Sequence[str] = JOB) -> DataFrame:
-    """Median-of-slopes fit x_star = a*q + b per key; a flat line when all q are equal."""
-    return _with_line(_points(pairs, limit, key)).select(*key, F.size("pts").cast("long").alias("n"), "a", "b")
+def theil_sen(pairs: DataFrame, key: Sequence[str] = JOB, chunk: int = slopes.LOCAL) -> DataFrame:
+    """Median-of-slopes fit x_star = a*q + b through all pairs of each key; a flat line through the first one (by seq)
+    when all q are equal. Pairs without q or x_star take no part; a NULL key is a key. Slopes are counted, never made,
+    and a key of over `chunk` pairs is spread over tasks."""
+    return slopes.median_lines(_points(pairs, key), key, chunk)
 
 
 def gated_map_fit(pairs: DataFrame, max_residual: float = 2.0, margin: float = 0.0, need: int = 4,
-                  limit: int = FIT_WINDOW, key: Sequence[str] = JOB) -> DataFrame:
+                  key: Sequence[str] = JOB) -> DataFrame:
     """A mapping line per key, or NULL with a reason when it cannot be trusted.
 
-    The test is the deviation of leave-one-out residuals, not the fit's own.
-    Pairs are a job's calibration anchors: a handful, spread by anchor_sample. A
-    key with more than `limit` of them is refused (and so probed in full), never
-    fitted on a part.
+    The test is the deviation of leave-one-out residuals, not the fit's own. Pairs are a job's calibration anchors, so a
+    key is one row here (16 bytes for each); all of them are fitted and left out in turn, in about n log n steps.
     """
-    pts = F.col("pts")
-    points = settle(_points(pairs, limit, key))
-    # one row per pair left out: as many as a job has anchors
-    each = points.select(*key, F.posexplode("pts").alias("_k", "_p"), "pts").withColumn(
-        "pts", F.filter("pts", lambda _, i: i != F.col("_k")))
-    loo = _with_line(each).groupBy(*key).agg(
-        F.stddev_samp(F.col("_p.y") - (F.col("a") * F.col("_p.q") + F.col("b"))).alias("sd"))
-    told = _with_line(points).join(loo, [*key], "left").withColumn("sd", F.coalesce("sd", F.lit(0.0)))
-    total = pairs.filter("q IS NOT NULL AND x_star IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))
-    told = told.join(total, [*key])
-    n = F.size(pts)
-    refused = F.when(n < need, "too few pairs").when(F.col("_total") > limit, "too many pairs").when(F.col("sd") > max_residual, "residual over the limit")
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "q", "y")))
+    packed = _points(pairs, key).groupBy(*key).agg(ordered.alias("pts"))
+    columns = {"sd": "double", "a": "double", "b": "double"}
+
+    @F.pandas_udf(", ".join(f"{c} {t}" for c, t in columns.items()))
+    def fitted(q: pd.Series, y: pd.Series) -> pd.DataFrame:
+        told = [(np.std(slopes.left_out_residuals(u, v), ddof=1), *slopes.line(u, v)) if len(u) >= max(2, need) else (None,) * 3 for u, v in zip(q, y)]
+        return pd.DataFrame(told, columns=list(columns), dtype=float)
+
+    qs = F.transform("pts", lambda p: p["q"])
+    n = F.size("pts")
+    told = packed.select(*key, n.cast("long").alias("n"), qs.alias("_qs"), fitted(qs, F.transform("pts", lambda p: p["y"])).alias("f"))
+    refused = F.when(F.col("n") < need, "too few pairs").when(F.col("f.sd") > max_residual, "residual over the limit")
     trusted = refused.isNull()
-    qs = F.transform(pts, lambda p: p["q"])
     return told.select(
-        *key, n.cast("long").alias("n"), F.when(n >= need, F.col("sd")).alias("sd"), refused.alias("refused"),
-        F.when(trusted, F.col("a")).alias("a"), F.when(trusted, F.col("b")).alias("b"),
-        F.when(trusted, F.array_min(qs) - margin).alias("q_lo"), F.when(trusted, F.array_max(qs) + margin).alias("q_hi"))
+        *key, "n", F.when(F.col("n") >= need, F.col("f.sd")).alias("sd"), refused.alias("refused"),
+        F.when(trusted, F.col("f.a")).alias("a"), F.when(trusted, F.col("f.b")).alias("b"),
+        F.when(trusted, F.array_min("_qs") - margin).alias("q_lo"), F.when(trusted, F.array_max("_qs") + margin).alias("q_hi"))
 
 
 def ols_trimmed(pairs: DataFrame, limit: int = FIT_WINDOW, min_pairs: int = MIN_PAIRS,

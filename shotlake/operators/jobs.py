@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, ordered_scan, position, settle
+from shotlake.plans import finite_fold, finite_scan, ranked, ordered_scan, position, settle
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -346,7 +346,7 @@ def _next_state(state: tuple[str, int, int], event: str, max_retries: int) -> tu
     if event == "run" and status == "analyzing":
         return "running", 0, retries
     if event == "done" and status == "running":
-        return "done", 0, retries
+        return ("cancelled" if flag else "done"), 0, retries
     if event == "fail" and status in ("analyzing", "running"):
         if status == "running" and flag:
             return "cancelled", 0, retries
@@ -395,6 +395,59 @@ def job_state(events: DataFrame, max_retries: int = 2, order: Sequence[str] = ("
                          at["retries"].cast("long").alias("retries"))
 
 
+# stages that a change of status writes; the engine's own reports come between
+STAGE_OF = {"analyzing": "analyzing", "running": "encoding", "skipped": "skipped", "done": "done", "failed": "failed", "cancelled": "cancelled"}
+REPORTS = ("stage", "progress")
+
+
+def stage_written(before: tuple[str, int, int], after: tuple[str, int, int], event: str) -> str | None:
+    """The stage that an event writes by changing the state; None if it writes none."""
+    if before == after:
+        return None
+    status, flag, _ = after
+    if status == "pending":
+        return "retry" if flag else ""
+    return "cancelling" if status == "running" and flag else STAGE_OF[status]
+
+
+def job_record(events: DataFrame, max_retries: int = 2, order: Sequence[str] = ("ts",), key: Sequence[str] = ("job_id",),
+               chunk: int = 2048) -> DataFrame:
+    """The row of each job as its events leave it: status, stage, retries, started_at, finished_at and the last progress.
+
+    events  key..., ts (seconds), event, and for reports: stage (text), pct, done, total, fps
+
+    A report of a stage is taken in any state but `cancelling`; progress in any. A retry and a restart clear started_at.
+    Events that do not apply are ignored; ties in `order` fall in an order of their own.
+    """
+    states, table = job_automaton(max_retries)
+    names = F.array(*[F.lit(e) for e in EVENTS])
+    # reports leave the automaton where it is
+    idle = [[*row, i] for i, row in enumerate(table)]
+    symbol = F.when(F.col("event").isin(*REPORTS), F.lit(len(EVENTS))).otherwise(F.array_position(names, F.col("event")) - 1)
+    steps = ranked(finite_scan(events.filter(F.col("event").isin(*EVENTS, *REPORTS)), key, order, symbol, idle, chunk=chunk), key, order, "_at")
+    writes = F.array(*[F.array(*[F.lit(stage_written(states[b], states[table[b][e]], EVENTS[e])) for e in range(len(EVENTS))]) for b in range(len(states))])
+    held = F.array(*[F.lit(s == "running" and f == 1) for s, f, _ in states])
+    is_event = ~F.col("event").isin(*REPORTS)
+    moved = is_event & (F.col("state_before") != F.col("state_after"))
+    stage = F.when(is_event, F.get(F.get(writes, F.col("state_before")), (F.array_position(names, F.col("event")) - 1).cast("int"))).when(
+        (F.col("event") == "stage") & ~F.get(held, F.col("state_before")), F.col("stage"))
+    status = F.array(*[F.lit(s) for s, _, _ in states])
+    was, now = F.get(status, F.col("state_before")), F.get(status, F.col("state_after"))
+    starts = F.when(moved & (now == "running") & (was != "running"), F.struct(F.col("ts"))).when(moved & (now == "pending"), F.struct(F.lit(None).cast(events.schema["ts"].dataType).alias("ts")))
+    ends = moved & now.isin("skipped", "done", "failed", "cancelled")
+    rows = steps.withColumns({"_stage": stage, "_start": starts, "_end": F.when(ends, F.col("ts")),
+                              "_bar": F.when(F.col("event") == "progress", F.struct("pct", "done", "total", "fps"))})
+    # the last value that was written, by place: partial aggregates, one row a job
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in ("_stage", "_start", "_end", "_bar")}
+    told = rows.groupBy(*key).agg(F.count_if(is_event).alias("n_events"), F.max_by("state_after", "_at").alias("_state"), *last.values())
+    parts = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(r).cast("long").alias("retries")) for s, _, r in states])
+    at = F.get(parts, F.col("_state"))
+    done = F.when(at["status"] == "done", F.lit(100.0))
+    return told.select(*key, "n_events", at["status"].alias("status"), F.coalesce("_stage", F.lit("")).alias("stage"), at["retries"].alias("retries"),
+                       F.col("_start.ts").alias("started_at"), F.col("_end").alias("finished_at"), F.coalesce(done, F.bround("_bar.pct", 1)).alias("progress"),
+                       F.col("_bar.done").alias("progress_done"), F.col("_bar.total").alias("progress_total"), F.col("_bar.fps").alias("progress_fps"))
+
+
 # --- progress ------------------------------------------------------------------
 
 SILENCE_S = 90.0

@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlake.operators import merging
 from shotlake.plans import greedy_spacing, ordered_scan, position, settle
+from shotlake.plans.rank import ranked
 
 KEY = ("source_id",)
 FRAMES = 1 << 16          # frames of one title per chunk
@@ -174,12 +176,13 @@ def validate_intervals(shots: DataFrame, titles: DataFrame, key: Sequence[str] =
         (error.isNull() & (F.col("covered") != F.col("n_frames"))).alias("estimate_off"))
 
 
-def merge_short(shots: DataFrame, min_frames: int, key: Sequence[str] = KEY) -> DataFrame:
+def merge_short(shots: DataFrame, min_frames: int, key: Sequence[str] = KEY, chunk: int = FRAMES) -> DataFrame:
     """Fold shots under `min_frames` into their shorter neighbour, shortest first.
 
     Two neighbouring shots that are both long enough never influence each
     other's surroundings, so a title falls apart there into independent
-    groups; only groups holding a short shot are folded.
+    groups; only groups holding a short shot are folded. A group of over
+    merging.GROUP shots is merged length by length first, `chunk` frames to a task.
     """
     key = list(key)
     if min_frames <= 0:
@@ -193,16 +196,21 @@ def merge_short(shots: DataFrame, min_frames: int, key: Sequence[str] = KEY) ->
     opens = F.when(~F.coalesce("_before", F.lit(False)) & (~F.col("_short") | F.col("_before").isNull()), F.col("s0"))
     busy = ordered_scan(near.filter("_busy").withColumn("_opens", opens), key, ["s0"], width=FRAMES,
                         running={"_group": ("last", "_opens")})
-    # the shots of one group: a run of short ones and the long ones beside it
-    packed = busy.groupBy(*key, "_group").agg(F.sort_array(F.collect_list(F.struct("s0", "s1"))).alias("_run"))
+    runs = settle(busy.select(F.struct(F.struct(*key).alias("_t"), F.col("_group").alias("_g")).alias("_id"), "s0", "s1"))
+    runs = merging.merge_levels(runs, min_frames, chunk)
+    # up to GROUP shots, or none of them short
+    packed = runs.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("s0", "s1"))).alias("_run"))
+    packed = packed.join(merging.large_runs(runs), "_id", "left_anti")
     starts, ends = F.transform("_run", lambda r: r["s0"]), F.transform("_run", lambda r: r["s1"])
 
     @F.pandas_udf("array<struct<s0:long,s1:long>>")
     def fold(s0: pd.Series, s1: pd.Series) -> pd.Series:
         return pd.Series([_merge_shortest(a.tolist(), b.tolist(), min_frames) for a, b in zip(s0, s1)])
 
-    folded = packed.select(*key, F.inline(fold(starts, ends)))
-    return position(settle(calm.unionByName(folded)), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
+    folded = packed.select("_id._t.*", F.inline(fold(starts, ends)))
+    long = runs.join(merging.large_runs(runs), "_id", "left_semi").select("_id._t.*", "s0", "s1")
+    every = calm.unionByName(folded).unionByName(long)
+    return position(settle(every), key, ["s0"], FRAMES, "shot_idx").select(*key, "shot_idx", "s0", "s1")
 
 
 def _merge_shortest(s0: list[int], s1: list[int], bound: int) -> list[dict[str, int]]:
@@ -232,13 +240,14 @@ def _merge_shortest(s0: list[int], s1: list[int], bound: int) -> list[dict[str,
     return [{"s0": s0[i], "s1": end[i]} for i in range(n) if alive[i]]
 
 
-def merge_to_max(shots: DataFrame, max_shots: int, key: Sequence[str] = KEY) -> DataFrame:
+def merge_to_max(shots: DataFrame, max_shots: int, key: Sequence[str] = KEY, chunk: int = FRAMES) -> DataFrame:
     """Merge the adjacent pair with the smallest total until a title has at most `max_shots`.
 
     Merged totals only grow, so every merge needed has a total of at most
     2 * length / (max_shots - 1): while more shots than allowed are left, some
     pair is that small. A pair larger than this at the start is never merged,
-    so titles fall apart there. Each group lists its merges, and a title takes
+    so titles fall apart there. Each group lists its merges (one of over
+    merging.GROUP shots in rounds, `chunk` frames to a task), and a title takes
     the smallest ones (leftmost on a tie) that it needs.
     """
     key = list(key)
@@ -252,17 +261,19 @@ def merge_to_max(shots: DataFrame, max_shots: int, key: Sequence[str] = KEY) ->
     apart = F.col("_prev").isNull() | (F.col("_prev") + F.col("_size") > F.col("_limit"))
     near = ordered_scan(settle(near.withColumn("_opens", F.when(apart, F.col("s0")))), key, ["s0"], width=FRAMES,
                         running={"_group": ("last", "_opens")})
-    packed = near.groupBy(*key, "_group").agg(F.sort_array(F.collect_list(F.struct("s0", "_size"))).alias("_run"),
-                                              F.first("_limit").alias("_limit"))
+    runs = settle(near.select(F.struct(F.struct(*key).alias("_t"), F.col("_group").alias("_g")).alias("_id"), "_limit", "s0", "_size"))
+    runs, early = merging.pair_rounds(runs, chunk)
+    packed = runs.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("s0", "_size"))).alias("_run"), F.first("_limit").alias("_limit"))
     starts, sizes = F.transform("_run", lambda r: r["s0"]), F.transform("_run", lambda r: r["_size"])
 
     @F.pandas_udf("array<struct<total:long,at:long,gone:long>>")
     def merges(s0: pd.Series, size: pd.Series, bound: pd.Series) -> pd.Series:
         return pd.Series([_merge_pairs(a.tolist(), b.tolist(), c) for a, b, c in zip(s0, size, bound)])
 
-    steps = packed.select(*key, F.inline(merges(starts, sizes, F.col("_limit"))))
-    ranked = position(settle(steps), key, ["total", "at"], 1024, "_rank").join(over, key)
-    gone = ranked.filter(F.col("_rank") < F.col("_n") - max_shots).select(*key, F.col("gone").alias("s0"))
+    steps = packed.select("_id", F.inline(merges(starts, sizes, F.col("_limit"))))
+    steps = (steps if early is None else steps.unionByName(early)).select("_id._t.*", "total", "at", "gone")
+    placed = ranked(steps, key, ["total", "at"], "_rank").join(over, key)
+    gone = placed.filter(F.col("_rank") < F.col("_n") - max_shots).select(*key, F.col("gone").alias("s0"))
     left = ordered_scan(settle(busy.select(*key, "s0", "s1").join(gone, [*key, "s0"], "left_anti")), key, ["s0"],
                         width=FRAMES, lead={"_next": "s0"})
     last = busy.groupBy(*key).agg(F.max("s1").alias("_last"))

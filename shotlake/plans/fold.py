@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlake.plans.lineage import settle
 from shotlake.plans.ordered import position
+from shotlake.plans.rank import ranked
 
 
 def greedy_spacing(df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk: int = 1 << 14) -> DataFrame:
@@ -97,3 +99,47 @@ def finite_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol
     return moved.groupBy(*keys).agg(chain.alias("_chain"), F.sum("_n").alias("n_events")).select(
         *keys, "n_events",
         F.aggregate("_chain", F.lit(start), lambda s, c: F.element_at(c["_to"], s + 1)).alias("state"))
+
+
+def finite_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: Column, table: Sequence[Sequence[int]],
+                start: int = 0, chunk: int = 2048, before: str = "state_before", after: str = "state_after") -> DataFrame:
+    """The automaton of `finite_fold` at every row: the state before it and after it. Chunks are cut by rows, so a key may
+    hold any share of them and any number at one value of `order`."""
+    keys, flat = list(keys), [list(map(int, r)) for r in table]
+    rows = ranked(df.withColumn("_sym", symbol.cast("int")), keys, order, "_pos")
+    rows = rows.withColumn("_part", F.floor(F.col("_pos") / F.lit(chunk)).cast("long"))
+    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "_sym", "_pos", "_part")])
+    # at most `chunk` rows
+    packed = settle(rows.groupBy(F.struct(*keys).alias("_k"), "_part").agg(F.sort_array(F.collect_list(F.struct("_pos", "_sym", rest.alias("row")))).alias("_run")).select(
+        "_k", "_part", F.transform("_run", lambda r: r["_sym"]).alias("_syms"), F.transform("_run", lambda r: r["row"]).alias("_rows")))
+
+    @F.pandas_udf("array<int>")
+    def leaves(syms: pd.Series) -> pd.Series:
+        out = []
+        for run in syms:
+            states = list(range(len(flat)))
+            for s in run.tolist():
+                states = [flat[x][s] for x in states]
+            out.append(states)
+        return pd.Series(out)
+
+    # one entry for each chunk of the key
+    chain = packed.select("_k", "_part", leaves("_syms").alias("_to")).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_part", "_to"))).alias("_chain"))
+    begin = F.struct(F.lit(start).alias("state"), F.array().cast("array<int>").alias("seen"))
+    seen = F.aggregate("_chain", begin, lambda acc, c: F.struct(
+        F.element_at(c["_to"], acc["state"] + 1).alias("state"), F.array_append(acc["seen"], acc["state"]).alias("seen")))["seen"]
+    entries = chain.select("_k", F.inline(F.zip_with("_chain", seen, lambda c, s: F.struct(c["_part"].alias("_part"), s.alias("_enter")))))
+
+    @F.pandas_udf("array<int>")
+    def replay(syms: pd.Series, enter: pd.Series) -> pd.Series:
+        out = []
+        for run, state in zip(syms, enter.tolist()):
+            states = [state]
+            for s in run.tolist():
+                states.append(flat[states[-1]][s])
+            out.append(states)
+        return pd.Series(out)
+
+    told = packed.join(entries, ["_k", "_part"]).withColumn("_states", replay("_syms", "_enter"))
+    steps = F.transform("_rows", lambda r, i: F.struct(r.alias("row"), F.get("_states", i).alias("b"), F.get("_states", i + 1).alias("a")))
+    return told.select("_k", F.inline(steps)).select("_k.*", "row.*", F.col("b").alias(before), F.col("a").alias(after))
