@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, finite_scan, ranked, ordered_scan, position, settle
+from shotlake.plans import finite_fold, finite_scan, ordered_scan, position, settle
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -424,7 +424,7 @@ def job_record(events: DataFrame, max_retries: int = 2, order: Sequence[str] = (
     # reports leave the automaton where it is
     idle = [[*row, i] for i, row in enumerate(table)]
     symbol = F.when(F.col("event").isin(*REPORTS), F.lit(len(EVENTS))).otherwise(F.array_position(names, F.col("event")) - 1)
-    steps = ranked(finite_scan(events.filter(F.col("event").isin(*EVENTS, *REPORTS)), key, order, symbol, idle, chunk=chunk), key, order, "_at")
+    steps = finite_scan(events.filter(F.col("event").isin(*EVENTS, *REPORTS)), key, order, symbol, idle, chunk=chunk)
     writes = F.array(*[F.array(*[F.lit(stage_written(states[b], states[table[b][e]], EVENTS[e])) for e in range(len(EVENTS))]) for b in range(len(states))])
     held = F.array(*[F.lit(s == "running" and f == 1) for s, f, _ in states])
     is_event = ~F.col("event").isin(*REPORTS)
@@ -438,8 +438,8 @@ def job_record(events: DataFrame, max_retries: int = 2, order: Sequence[str] = (
     rows = steps.withColumns({"_stage": stage, "_start": starts, "_end": F.when(ends, F.col("ts")),
                               "_bar": F.when(F.col("event") == "progress", F.struct("pct", "done", "total", "fps"))})
     # the last value that was written, by place: partial aggregates, one row a job
-    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in ("_stage", "_start", "_end", "_bar")}
-    told = rows.groupBy(*key).agg(F.count_if(is_event).alias("n_events"), F.max_by("state_after", "_at").alias("_state"), *last.values())
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c) for c in ("_stage", "_start", "_end", "_bar")}
+    told = rows.groupBy(*key).agg(F.count_if(is_event).alias("n_events"), F.max_by("state_after", "place").alias("_state"), *last.values())
     parts = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(r).cast("long").alias("retries")) for s, _, r in states])
     at = F.get(parts, F.col("_state"))
     done = F.when(at["status"] == "done", F.lit(100.0))

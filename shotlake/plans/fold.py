@@ -102,8 +102,8 @@ def finite_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol
 
 
 def finite_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: Column, table: Sequence[Sequence[int]],
-                start: int = 0, chunk: int = 2048, before: str = "state_before", after: str = "state_after") -> DataFrame:
-    """The automaton of `finite_fold` at every row: the state before it and after it. Chunks are cut by rows, so a key may
+                start: int = 0, chunk: int = 2048, before: str = "state_before", after: str = "state_after", place: str = "place") -> DataFrame:
+    """The automaton of `finite_fold` at every row: its place in the key, the state before it and after it. Chunks are cut by rows, so a key may
     hold any share of them and any number at one value of `order`."""
     keys, flat = list(keys), [list(map(int, r)) for r in table]
     rows = ranked(df.withColumn("_sym", symbol.cast("int")), keys, order, "_pos")
@@ -111,7 +111,7 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol
     rest = F.struct(*[c for c in rows.columns if c not in (*keys, "_sym", "_pos", "_part")])
     # at most `chunk` rows
     packed = settle(rows.groupBy(F.struct(*keys).alias("_k"), "_part").agg(F.sort_array(F.collect_list(F.struct("_pos", "_sym", rest.alias("row")))).alias("_run")).select(
-        "_k", "_part", F.transform("_run", lambda r: r["_sym"]).alias("_syms"), F.transform("_run", lambda r: r["row"]).alias("_rows")))
+        "_k", "_part", F.transform("_run", lambda r: r["_sym"]).alias("_syms"), F.transform("_run", lambda r: F.struct(r["row"].alias("row"), r["_pos"].alias("p"))).alias("_rows")))
 
     @F.pandas_udf("array<int>")
     def leaves(syms: pd.Series) -> pd.Series:
@@ -141,5 +141,5 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol
         return pd.Series(out)
 
     told = packed.join(entries, ["_k", "_part"]).withColumn("_states", replay("_syms", "_enter"))
-    steps = F.transform("_rows", lambda r, i: F.struct(r.alias("row"), F.get("_states", i).alias("b"), F.get("_states", i + 1).alias("a")))
-    return told.select("_k", F.inline(steps)).select("_k.*", "row.*", F.col("b").alias(before), F.col("a").alias(after))
+    steps = F.transform("_rows", lambda r, i: F.struct(r.alias("r"), F.get("_states", i).alias("b"), F.get("_states", i + 1).alias("a")))
+    return told.select("_k", F.inline(steps)).select("_k.*", "r.row.*", F.col("r.p").alias(place), F.col("b").alias(before), F.col("a").alias(after))

@@ -3,6 +3,7 @@ micro-batches; within a batch they are taken in event order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shotlake.operators.fits import APPROACH, CAP, CLEARANCE, DECAY, EASE, FLOOR, RATIO_CAP, RATIO_FLOOR, SAMPLE_CAP
-from shotlake.operators.jobs import COOLOFF_S, EVENTS, STALE_S, TEST_HUNG_S, job_automaton, stage_of
+from shotlake.operators.fits import APPROACH, DECAY, RATIO_CAP, RATIO_FLOOR, SAMPLE_CAP, correction_pieces
+from shotlake.operators.jobs import COOLOFF_S, EVENTS, STALE_S, TEST_HUNG_S, job_automaton, stage_of, stage_written
 
 
 def _clock(live: bool) -> str:
@@ -38,6 +39,71 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+# --- event order over batches ------------------------------------------------------
+
+class InOrder(StatefulProcessor):
+    """Hands rows to another processor in event order, however batches shuffled them.
+
+    Rows wait in a list until the watermark has passed them, when no earlier row can come; an event-time timer on the
+    earliest of them wakes the key. What is still waiting when a stream ends stays in the state. `order` names the event
+    time in seconds and, for ties, further columns.
+    """
+
+    def __init__(self, inner: StatefulProcessor, schema: str, order: tuple[str, ...]):
+        self.inner, self.schema, self.order = inner, schema, list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.inner.init(handle)
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.names = [c.split()[0] for c in self.schema.split(", ")]
+        # batches bring whole numbers beside missing ones as floats
+        self.kinds = [{"long": int, "int": int, "double": float}.get(c.split()[1], str) for c in self.schema.split(", ")]
+
+    def close(self) -> None:
+        self.inner.close()
+
+    def _stored(self, rows: pd.DataFrame) -> list[tuple]:
+        return [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(self.kinds, r)) for r in rows.itertuples(index=False)]
+
+    def _held(self) -> pd.DataFrame:
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        return pd.DataFrame(rows, columns=self.names)
+
+    def _wake(self, rows: pd.DataFrame) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if len(rows):
+            self.handle.registerTimer(int(rows[self.order[0]].min() * 1000) + 1)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        fresh = [b[self.names] for b in rows if len(b)]
+        if fresh:
+            new = pd.concat(fresh, ignore_index=True)
+            self.waiting.appendList(self._stored(new))
+            self._wake(self._held())
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held = self._held().sort_values(self.order, kind="stable")
+        due = held[self.order[0]] * 1000 < timerValues.getCurrentWatermarkInMs()
+        left = held[~due]
+        if len(left):
+            self.waiting.put(self._stored(left))
+        else:
+            self.waiting.clear()
+        self._wake(left)
+        if due.any():
+            yield from self.inner.handleInputRows(key, iter([held[due]]), timerValues)
+
+
+def in_order(rows: DataFrame, key: str, inner: StatefulProcessor, schema: str, out: str, lateness: str, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """`inner` over rows (key, *schema) whose event time `at` is in seconds; rows later than `lateness` are dropped."""
+    timed = rows.withColumn("event_time", F.timestamp_seconds(F.col(order[0]))).withWatermark("event_time", lateness)
+    # the watermark is on a column of the input; the output has none of its own
+    return timed.groupBy(key).transformWithStateInPandas(InOrder(inner, schema, order), out, "Update", "EventTime")
+
+
 # --- settled files ---------------------------------------------------------------
 
 class SettledFiles(_Keyed):
@@ -94,15 +160,75 @@ class JobState(_Keyed):
                                 "retries": [retries], "at": [last]})
 
 
-def stream_job_state(events: DataFrame, max_retries: int = 2) -> DataFrame:
-    """Each job's state after every batch that moved it; the newest row of a job is its state."""
+def stream_job_state(events: DataFrame, max_retries: int = 2, lateness: str | None = None) -> DataFrame:
+    """Each job's state after every batch that moved it; the newest row of a job is its state. With `lateness` events
+    may come in any order over batches, late by that much at most, and are taken in the order of their time."""
     rows = events.select("job_id", "event", F.col("ts").cast("double").alias("at"))
-    out = rows.groupBy("job_id").transformWithStateInPandas(
-        JobState(max_retries), "job_id string, n_events long, status string, flag int, retries long, at double",
-        "Update", "None")
+    told = "job_id string, n_events long, status string, flag int, retries long, at double"
+    if lateness:
+        out = in_order(rows, "job_id", JobState(max_retries), "event string, at double", told, lateness)
+    else:
+        out = rows.groupBy("job_id").transformWithStateInPandas(JobState(max_retries), told, "Update", "None")
     return out.withColumn("stage", stage_of(F.col("status"), F.col("flag"))).drop("flag")
 
 
+class JobRecord(_Keyed):
+    """The row of a job, one event at a time; the batch twin is jobs.job_record."""
+
+    schema = ("state int, events long, stage string, started double, finished double, pct double, done long, total long, fps double")
+
+    def __init__(self, max_retries: int):
+        self.states, self.table = job_automaton(max_retries)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        state, n, stage, started, finished, *bar = self.state.get() if self.state.exists() else (0, 0, "", None, None, None, None, None, None)
+        seen = False
+        for r in _rows(rows, ["at"]).itertuples(index=False):
+            if r.event == "stage":
+                status, flag, _ = self.states[state]
+                stage = stage if status == "running" and flag or r.stage is None else r.stage
+            elif r.event == "progress":
+                bar = [None if pd.isna(v) else v for v in (r.pct, r.done, r.total, r.fps)]
+            elif r.event in EVENTS:
+                n, after = n + 1, self.table[state][EVENTS.index(r.event)]
+                was, now = self.states[state], self.states[after]
+                said = stage_written(was, now, r.event)
+                stage = stage if said is None else said
+                if now[0] == "running" != was[0]:
+                    started = r.at
+                elif now[0] == "pending" and now != was:
+                    started = None
+                if now != was and now[0] in ("skipped", "done", "failed", "cancelled"):
+                    finished = r.at
+                state = after
+            else:
+                continue
+            seen = True
+        if seen:
+            pct, done, total, fps = bar
+            done, total = (None if v is None else int(v) for v in (done, total))
+            self.state.update((state, n, stage, started, finished, pct, done, total, fps))
+            status, _, retries = self.states[state]
+            # as an object frame, so that counts stay whole numbers beside missing ones
+            yield pd.DataFrame([(key[0], n, status, stage, retries, started, finished, 100.0 if status == "done" else pct, done, total, fps)],
+                               columns=RECORD_COLUMNS, dtype=object).astype({"n_events": int, "retries": int, "started_at": float, "finished_at": float, "progress": float,
+                                                                             "progress_done": "Int64", "progress_total": "Int64", "progress_fps": float})
+
+
+RECORD = ("job_id string, n_events long, status string, stage string, retries long, started_at double, finished_at double, progress double, "
+          "progress_done long, progress_total long, progress_fps double")
+RECORD_COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+
+
+def stream_job_record(events: DataFrame, max_retries: int = 2, lateness: str = "10 minutes") -> DataFrame:
+    """Each job's row after every batch that moved it (the one of the most events counts), from events (job_id, ts, event,
+    stage, pct, done, total, fps) that may be late by `lateness` and out of order."""
+    fields = "event string, at double, stage string, pct double, done long, total long, fps double"
+    rows = events.select("job_id", "event", F.col("ts").cast("double").alias("at"), "stage", F.col("pct").cast("double").alias("pct"),
+                         F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"), F.col("fps").cast("double").alias("fps"))
+    return in_order(rows, "job_id", JobRecord(max_retries), fields, RECORD, lateness)
+
+
 # --- device health ---------------------------------------------------------------
 
 class DeviceHealth(_Keyed):
@@ -113,21 +239,16 @@ class DeviceHealth(_Keyed):
 
     def verdict(self, s: tuple, now: float) -> str:
         error, wedged, passed, failed, since, beat, _ = s
-
-        def after(t: float) -> bool:
-            return passed is not None and passed > t
-
-        if beat is not None and now - beat > STALE_S:
+        # a pass counts from the start of its test
+        good_from = -math.inf if passed is None else passed
+        stale = beat is not None and now - beat > STALE_S
+        hung = since is not None and now - since > TEST_HUNG_S
+        stuck = wedged is not None and wedged >= good_from
+        if stale or hung or stuck or failed:
             return "down"
-        if since is not None and now - since > TEST_HUNG_S:
-            return "down"
-        if wedged is not None and not after(wedged):
-            return "down"
-        if failed:
-            return "down"
-        if error is not None and (now - error < COOLOFF_S or not after(error)):
+        if error is not None and error >= min(good_from, math.nextafter(now - COOLOFF_S, math.inf)):
             return "degraded"
-        return "ok" if passed is not None else "starting"
+        return "starting" if passed is None else "ok"
 
     def emit(self, key: Any, s: tuple, now: float) -> Iterator[pd.DataFrame]:
         state = self.verdict(s, now)
@@ -160,18 +281,21 @@ class DeviceHealth(_Keyed):
             now = max(last, timers.getCurrentProcessingTimeInMs() / 1000) if self.live else last
             yield from self.emit(key, (error, wedged, passed, failed, since, beat, told), now)
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            yield from self.emit(key, self.state.get(), expired.getExpiryTimeInMs() / 1000)
+            yield from self.emit(key, self.state.get(), expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
     def __init__(self, live: bool):
         self.live = live
 
 
-def stream_device_health(events: DataFrame, live: bool = True) -> DataFrame:
+def stream_device_health(events: DataFrame, live: bool = True, lateness: str | None = None) -> DataFrame:
     """Changes of each device's verdict. With `live` the processing clock is now;
-    otherwise (a replay) the latest event is."""
+    otherwise (a replay) the latest event is. With `lateness` a replay takes events
+    of any order over batches in the order of their time."""
     rows = events.select("device", "kind", F.col("ts").alias("at"), "started")
+    if lateness:
+        return in_order(rows, "device", DeviceHealth(False), "kind string, at double, started double", "device string, at double, state string", lateness)
     return rows.groupBy("device").transformWithStateInPandas(
         DeviceHealth(live), "device string, at double, state string", "Update", _clock(live))
 
@@ -212,14 +336,15 @@ class Progress(_Keyed):
         if out:
             yield pd.DataFrame(out, columns=["job_id", "at", "stage", "pct", "done", "total"])
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         stage, _, _, at = self.state.get()
         none = pd.array([None], dtype="Int64")
         yield pd.DataFrame({"job_id": [key[0]], "at": [at], "stage": ["silent"], "pct": [float("nan")], "done": none, "total": none})
 
 
-def stream_progress(lines: DataFrame, live: bool = True) -> DataFrame:
-    """Reported progress of each job (job_id, ts, text); a job silent for 90 s gets a row with stage "silent"."""
+def stream_progress(lines: DataFrame, live: bool = True, lateness: str | None = None) -> DataFrame:
+    """Reported progress of each job (job_id, ts, text); a job silent for 90 s gets a row with stage "silent". With
+    `lateness` (a replay) lines of any order over batches are taken in the order of their time."""
     from shotlake.functions.text import progress_stats
 
     text = F.col("text")
@@ -227,8 +352,11 @@ def stream_progress(lines: DataFrame, live: bool = True) -> DataFrame:
             .when(text.contains("Chunking") | text.contains("Queue"), "encoding"))
     rows = lines.select("job_id", F.col("ts").cast("double").alias("at"), mark.alias("mark"),
                         progress_stats(text).alias("_b")).select("job_id", "at", "mark", "_b.*")
-    return rows.filter("mark IS NOT NULL OR pct IS NOT NULL").groupBy("job_id").transformWithStateInPandas(
-        Progress(live), "job_id string, at double, stage string, pct double, done long, total long", "Update", _clock(live))
+    rows, told = rows.filter("mark IS NOT NULL OR pct IS NOT NULL"), "job_id string, at double, stage string, pct double, done long, total long"
+    if lateness:
+        fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "job_id")
+        return in_order(rows, "job_id", Progress(False), fields, told, lateness)
+    return rows.groupBy("job_id").transformWithStateInPandas(Progress(live), told, "Update", _clock(live))
 
 
 # --- trackers --------------------------------------------------------------------
@@ -240,11 +368,13 @@ class Correction(_Keyed):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
         factor, n = self.state.get() if self.state.exists() else (1.0, 0)
-        for r in _rows(rows, ["seq"]).itertuples(index=False):
-            if r.predicted > 0 and r.observed > 0:
-                ratio, n = r.observed / r.predicted, n + 1
-                factor = ratio * CLEARANCE if ratio > factor else factor + EASE * (ratio - factor)
-                factor = min(CAP, max(FLOOR, factor))
+        run = _rows(rows, ["seq"])
+        run = run[(run["predicted"] > 0) & (run["observed"] > 0)]
+        if len(run):
+            # the whole batch is one move of the factor, as in the batch twin
+            moves = correction_pieces(run["observed"] / run["predicted"])
+            _, a, b = next(m for m in reversed(moves) if m[0] <= factor or m is moves[0])
+            factor, n = a * factor + b, n + len(run)
         self.state.update((float(factor), n))
         yield pd.DataFrame({"job_id": [key[0]], "samples": [n], "factor": [float(factor)]})
 
@@ -265,7 +395,11 @@ class PeakRatio(_Keyed):
         yield pd.DataFrame({"job_id": [key[0]], "samples": [n], "worst": [float(worst)], "ratio": [float(ratio)]})
 
 
-def stream_correction(obs: DataFrame) -> DataFrame:
+def stream_correction(obs: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Each job's factor after every batch. With `lateness`, `seq` is a time in seconds and readings may come in any order."""
+    if lateness:
+        rows = obs.select("job_id", F.col("seq").cast("double").alias("seq"), F.col("predicted").cast("double").alias("predicted"), F.col("observed").cast("double").alias("observed"))
+        return in_order(rows, "job_id", Correction(), "seq double, predicted double, observed double", "job_id string, samples long, factor double", lateness, ("seq",))
     return obs.select("job_id", "seq", "predicted", "observed").groupBy("job_id").transformWithStateInPandas(
         Correction(), "job_id string, samples long, factor double", "Update", "None")
 
@@ -308,7 +442,7 @@ class Breaker(_Keyed):
         if out:
             yield pd.DataFrame(out, columns=["job_id", "device", "at", "status"])
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         status, streak, since = self.state.get()
         if status == "retired":
             self.state.update(("retry due", streak, since))
