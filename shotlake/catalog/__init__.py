@@ -31,4 +31,4 @@ def r6(c: Column | str) -> Column:
 
 
 def load() -> None:
-    from shotlake.catalog import curves, devices, fits, grain, jobs, logs, media, streams, subtitles, text, timeline  # noqa: F401
+    from shotlake.catalog import curves, devices, files, fits, grain, jobs, logs, media, streams, subtitles, text, timeline  # noqa: F401

@@ -42,6 +42,32 @@ def crossing(spark, sf):
     return op.crossing(v.probes(spark, sf), TARGET).withColumn("x_star", r6("x_star"))
 
 
+# the same probes under two metrics, one with scores turned down by a fifth
+METRICS = {"vmaf": TARGET, "xpsnr": TARGET * 0.9, "other": None}
+BY_METRIC = v.PROBES.replace("probes AS (", "raw AS (", 1) + f""",
+named AS MATERIALIZED (SELECT job_id || '|' || m AS job_id, shot_idx, x, CASE m WHEN 'vmaf' THEN score ELSE score * 0.8 + shot_idx % 7 END AS score, m
+  FROM raw, (SELECT unnest({list(METRICS)}) AS m)),
+probes AS (SELECT job_id, shot_idx, x, score - CASE m WHEN 'xpsnr' THEN {METRICS["xpsnr"] - TARGET} ELSE 0 END AS score FROM named WHERE m <> 'other')""" + ENDS.removeprefix(v.PROBES)
+
+
+def _by_metric(spark, sf):
+    low = F.col("score") * 0.8 + F.col("shot_idx") % 7
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col("score") if m == "vmaf" else low).alias("score")) for m in METRICS])
+    return v.probes(spark, sf).select("job_id", "shot_idx", "x", F.inline(rows))
+
+
+@query("invert_by_metric", f"""WITH {BY_METRIC} SELECT split_part(job_id, '|', 1) AS job_id, shot_idx, split_part(job_id, '|', 2) AS metric, round(x, 6) AS x FROM inverted
+UNION ALL SELECT DISTINCT split_part(job_id, '|', 1), shot_idx, 'other', NULL FROM named WHERE m = 'other'""")
+def invert_by_metric(spark, sf):
+    return op.invert_curve(_by_metric(spark, sf), {m: t for m, t in METRICS.items() if t is not None}).withColumn("x", r6("x"))
+
+
+@query("crossing_by_metric", f"""WITH {BY_METRIC} SELECT split_part(job_id, '|', 1) AS job_id, shot_idx, split_part(job_id, '|', 2) AS metric, round(CASE WHEN crossed THEN x END, 6) AS x_star FROM inverted
+UNION ALL SELECT DISTINCT split_part(job_id, '|', 1), shot_idx, 'other', NULL FROM named WHERE m = 'other'""")
+def crossing_by_metric(spark, sf):
+    return op.crossing(_by_metric(spark, sf), {m: t for m, t in METRICS.items() if t is not None}).withColumn("x_star", r6("x_star"))
+
+
 # a score asked for on every curve, at a setting that depends on the curve
 WANTED = ENDS + """,
 wanted AS (SELECT DISTINCT job_id, shot_idx, 2.0 + shot_idx * 1.1 AS ask FROM probes),

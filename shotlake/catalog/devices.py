@@ -102,6 +102,49 @@ def job_state(spark, sf):
     return op.job_state(v.obs(spark, sf).select("job_id", "seq", event.alias("event")), order=["seq"], width=4096)
 
 
+# the same events with a report of the stage or of progress in between
+REPORTS = ["probing", "scenedetect", "encoding"]
+RECORDS = v.OBS + f""",
+ev AS (SELECT job_id, seq, CASE WHEN seq % 6 = 4 THEN 'stage' WHEN seq % 6 = 5 THEN 'progress' WHEN value < 3 THEN 'cancel' WHEN value > 200 THEN 'restart' ELSE CASE event_type WHEN 'signup' THEN 'create'
+  WHEN 'click' THEN 'analyze' WHEN 'view' THEN 'run' WHEN 'purchase' THEN 'done' ELSE 'fail' END END AS e, {REPORTS}[1 + seq % 3] AS told, least(99, floor(value)) AS bar FROM obs),
+st AS (
+  SELECT DISTINCT job_id, CAST(-1 AS BIGINT) AS seq, 0 AS n, 'none' AS s, 0 AS f, 0 AS r, '' AS g, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z, CAST(NULL AS DOUBLE) AS p FROM ev
+  UNION ALL
+  SELECT job_id, seq_, n_, s2, f2, r2, CASE WHEN e = 'stage' THEN CASE WHEN s = 'running' AND f = 1 THEN g ELSE told END WHEN (s, f, r) = (s2, f2, r2) THEN g WHEN s2 = 'pending' THEN CASE WHEN f2 = 1 THEN 'retry' ELSE '' END
+      WHEN s2 = 'running' THEN CASE WHEN f2 = 1 THEN 'cancelling' ELSE 'encoding' END ELSE s2 END,
+    CASE WHEN s2 = 'running' AND s <> 'running' THEN seq_ WHEN s2 = 'pending' AND (s, f, r) <> (s2, f2, r2) THEN NULL ELSE a END,
+    CASE WHEN s2 <> s AND s2 IN ('done', 'failed', 'cancelled', 'skipped') THEN seq_ ELSE z END, CASE WHEN e = 'progress' THEN bar ELSE p END
+  FROM (SELECT t.*, e, told, bar, t.seq + 1 AS seq_, n + CASE WHEN e IN ('stage', 'progress') THEN 0 ELSE 1 END AS n_,
+    CASE WHEN e = 'create' AND s = 'none' THEN 'pending' WHEN e = 'analyze' AND s = 'pending' THEN 'analyzing' WHEN e = 'run' AND s = 'analyzing' THEN 'running'
+      WHEN e IN ('done', 'fail') AND s = 'running' AND f = 1 THEN 'cancelled' WHEN e = 'done' AND s = 'running' THEN 'done' WHEN e = 'fail' AND s IN ('analyzing', 'running') THEN CASE WHEN r < 2 THEN 'pending' ELSE 'failed' END
+      WHEN e = 'cancel' AND s IN ('pending', 'analyzing') THEN 'cancelled' WHEN e = 'restart' AND s IN ('analyzing', 'running') THEN 'pending' ELSE s END AS s2,
+    CASE WHEN e = 'fail' AND s IN ('analyzing', 'running') AND NOT (s = 'running' AND f = 1) AND r < 2 OR e = 'cancel' AND s = 'running' THEN 1
+      WHEN e = 'create' AND s = 'none' OR e = 'analyze' AND s = 'pending' OR e = 'run' AND s = 'analyzing' OR e = 'done' AND s = 'running' OR e IN ('fail', 'restart') AND s IN ('analyzing', 'running') OR e = 'cancel' AND s IN ('pending', 'analyzing') THEN 0 ELSE f END AS f2,
+    CASE WHEN e = 'fail' AND s IN ('analyzing', 'running') AND NOT (s = 'running' AND f = 1) AND r < 2 THEN r + 1 ELSE r END AS r2
+    FROM st t JOIN ev ON ev.job_id = t.job_id AND ev.seq = t.seq + 1))"""
+
+
+@v.written
+def _record_events(spark, sf):
+    names = F.create_map(*[F.lit(x) for kv in JOB_EVENTS.items() for x in kv])
+    report = F.when(F.col("seq") % 6 == 4, "stage").when(F.col("seq") % 6 == 5, "progress")
+    event = F.when(F.col("value") < 3, "cancel").when(F.col("value") > 200, "restart").otherwise(F.try_element_at(names, F.col("event_type")))
+    bar = report == "progress"
+    return v.obs(spark, sf).select(
+        "job_id", F.col("seq").cast("double").alias("ts"), F.coalesce(report, event).alias("event"),
+        F.when(report == "stage", F.get(F.array(*[F.lit(x) for x in REPORTS]), (F.col("seq") % 3).cast("int"))).alias("stage"),
+        F.when(bar, F.least(F.lit(99.0), F.floor("value").cast("double"))).alias("pct"), F.when(bar, F.floor("value")).alias("done"),
+        F.when(bar, F.lit(1200).cast("long")).alias("total"), F.when(bar, F.lit(12.5)).alias("fps"))
+
+
+@query("job_record", f"""WITH RECURSIVE {RECORDS}
+SELECT job_id, CAST(arg_max(n, seq) AS BIGINT) AS n_events, arg_max(s, seq) AS status, arg_max(g, seq) AS stage, CAST(arg_max(r, seq) AS BIGINT) AS retries, CAST(arg_max_null(a, seq) AS DOUBLE) AS started_at,
+  CAST(arg_max_null(z, seq) AS DOUBLE) AS finished_at, CASE WHEN arg_max(s, seq) = 'done' THEN 100.0 ELSE arg_max_null(p, seq) END AS progress FROM st GROUP BY job_id""")
+def job_record(spark, sf):
+    rows = op.job_record(_record_events(spark, sf))
+    return rows.select("job_id", "n_events", "status", "stage", "retries", "started_at", "finished_at", "progress")
+
+
 # progress lines from events: markers for sign-ups, clicks and errors, bars for the rest
 LINES = v.OBS + """,
 lines AS (SELECT job_id, seq AS pos, CASE event_type WHEN 'signup' THEN 'scenedetect' WHEN 'click' THEN 'probing' WHEN 'error' THEN 'encoding' END AS mark,

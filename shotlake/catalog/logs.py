@@ -75,6 +75,51 @@ def dataset_probes(spark, sf):
     return logs.dataset_probes(log).select("job_id", "shot_idx", "encoder", F.col("x").cast("long").alias("x"), r6("score").alias("score"))
 
 
+def _read_back(records):
+    """Records as the lines of the file they are written to, parsed."""
+    return records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("line")).select(F.from_json("line", schemas.PROBE_LOG).alias("r")).select("r.*")
+
+
+@v.written
+def _costed(spark, sf):
+    """Shot records with costs on every second setting and seeds on every third shot."""
+    probes, k = v.probes(spark, sf), F.col("shot_idx")
+    both = probes.withColumns({"encoder": F.lit("svt"), "bytes_per_frame": F.lit(None).cast("double")}).unionByName(
+        probes.filter("x >= 20").withColumns({"encoder": F.lit("qsv"), "bytes_per_frame": F.when(F.col("x") % 10 == 0, F.col("x") * 2.5 + k)}))
+    shots = probes.select("job_id", "shot_idx").distinct().withColumns(
+        {"s0": (k * 100).cast("long"), "s1": (k * 100 + 60).cast("long"), "w0": (k * 100 + 10).cast("long"), "w1": (k * 100 + 50).cast("long")})
+    seeds = shots.filter(k % 3 == 0).select("job_id", "shot_idx", (k / 2 + 20).alias("seed"))
+    return logs.shot_records(shots, both, 60.0, shots.groupBy("job_id").agg(F.max("s1").alias("n_frames")), seeds)
+
+
+@query("dataset_costs", f"""WITH {v.PROBES} SELECT job_id, shot_idx, x, round(score, 6) AS score, CAST(CASE WHEN x % 10 = 0 THEN x * 2.5 + shot_idx END AS DOUBLE) AS bytes_per_frame FROM probes WHERE x >= 20""")
+def dataset_costs(spark, sf):
+    rows = logs.dataset_probes(_read_back(_costed(spark, sf))).filter("encoder = 'qsv'")
+    return rows.select("job_id", "shot_idx", F.col("x").cast("long").alias("x"), r6("score").alias("score"), "bytes_per_frame")
+
+
+@query("dataset_seeds", f"""WITH {v.PROBES} SELECT DISTINCT job_id AS job, shot_idx AS idx, CASE WHEN shot_idx % 3 = 0 THEN shot_idx / 2 + 20 END AS seed FROM probes""")
+def dataset_seeds(spark, sf):
+    return _read_back(_costed(spark, sf)).select("job", "idx", "seed")
+
+
+@query("job_records", f"""WITH {v.PROBES}, s AS (SELECT job_id, count(DISTINCT shot_idx) AS shots FROM probes GROUP BY job_id)
+SELECT 'job' AS type, job_id AS job, job_id || '.mkv' AS source, CAST(24 + shots % 2 AS DOUBLE) AS fps, 'vmaf' AS metric, CAST(93.5 AS DOUBLE) AS target, '[20,30,40]' AS grid, shots, CAST(shots * 60 AS BIGINT) AS frames FROM s""")
+def job_records(spark, sf):
+    shots = _costed(spark, sf).select(F.col("job").alias("job_id"), "idx", "s0", "s1")
+    jobs = shots.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "job_id", F.concat("job_id", F.lit(".mkv")).alias("source"), (F.lit(24.0) + F.col("n") % 2).alias("fps"), F.lit("vmaf").alias("metric"),
+        F.lit(93.5).alias("target"), F.array(F.lit(20), F.lit(30), F.lit(40)).alias("probe_grid"))
+    log = _read_back(logs.job_records(jobs, shots))
+    return log.select("type", "job", "source", "fps", "metric", "target", F.to_json("probe_grid").alias("grid"), "shots", "frames")
+
+
+@query("dataset_settings", f"""WITH {v.CHOSEN} SELECT job_id, shot_idx, x FROM chosen""")
+def dataset_settings(spark, sf):
+    log = _read_back(logs.crfs_records(v.chosen(spark, sf)))
+    return logs.dataset_settings(log).select(F.col("job_id").cast("long").alias("job_id"), "shot_idx", "x")
+
+
 @query("parse_jobs", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS tag, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM orders""")
 def parse_jobs(spark, sf):
     k = F.col("o_orderkey")

@@ -31,7 +31,7 @@ src_bitrate long, codec string, shots long, frames long, metric string, target d
 probe_preset int, probing_rate int, probe_max_frames int, probe_grid array<int>, probe_encoder string,
 probe_scale string, pix_fmt string, idx int, s0 long, s1 long, pos double, w0 long, w1 long, window long,
 whole_shot boolean, svt map<string,double>, crf_star double, qsv map<string,double>, q_star double,
-qsv_bpf map<string,double>, seed double, crfs map<string,double>, _corrupt string
+qsv_bpf map<string,double>, seed double, crfs map<string,double>, final map<string,double>, _corrupt string
 """
 
 METRIC_JSON = "pooled_metrics map<string,struct<mean:string>>, aggregateVMAF string"

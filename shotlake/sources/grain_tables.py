@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shotlake.plans import ordered_scan
 from shotlake.sources.lines import LINE_ORDER, read_lines
+from shotlake.sources.title_files import write_titles
 
 TICKS_PER_SECOND = 1e7
 HEADER = "filmgrn1"
@@ -65,3 +66,10 @@ def write_grain_table(segments: DataFrame, path: str, title: str = "source_id")
     rows = segments.select(title, F.col("f0").cast("long").alias("f0"), "record").unionByName(head)
     (rows.repartitionByRange(title, "f0").sortWithinPartitions(title, "f0")
      .select(title, F.col("record").alias("value")).write.mode("overwrite").partitionBy(title).text(path))
+
+
+def write_grain_files(segments: DataFrame, path: str, title: str = "source_id", mode: str = "append") -> None:
+    """One grain table a title, `<path>/<title>.tbl`: the header, then the records in frame order."""
+    head = segments.select(title, F.lit(HEADER).alias("record")).distinct().withColumn("f0", F.lit(None).cast("long"))
+    rows = segments.select(title, F.col("f0").cast("long").alias("f0"), "record").unionByName(head)
+    write_titles(rows, path, F.col(title), ["f0"], F.concat("record", F.lit("\n")), ".tbl", mode)

@@ -109,10 +109,12 @@ def dataset_probes(log: DataFrame) -> DataFrame:
     return side("svt", "svt", None).unionByName(side("qsv", "qsv", "qsv_bpf"))
 
 
-def shot_records(shots: DataFrame, probes: DataFrame, target: float, total: DataFrame) -> DataFrame:
+def shot_records(shots: DataFrame, probes: DataFrame, target: float, total: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Shot records of the probe dataset: geometry, both curves and where they cross the target.
 
-    shots (job_id, shot_idx, s0, s1, w0, w1), probes (with encoder), total (job_id, n_frames).
+    shots (job_id, shot_idx, s0, s1, w0, w1), probes (with encoder), total (job_id, n_frames). Probes with
+    bytes_per_frame also give the second curve's costs (`qsv_bpf`), `seeds` (job_id, shot_idx, seed) the predicted
+    setting the probing started from; shots without either leave the field out.
     """
     from shotlake.operators.curves import crossing
 
@@ -129,11 +131,47 @@ def shot_records(shots: DataFrame, probes: DataFrame, target: float, total: Data
 
     rows = shots.join(total, "job_id").join(curve("svt", "svt", "crf_star"), key, "left").join(
         curve("qsv", "qsv", "q_star"), key, "left")
+    more = []
+    if "bytes_per_frame" in probes.columns:
+        costs = probes.filter((F.col("encoder") == "qsv") & F.col("bytes_per_frame").isNotNull()).groupBy(*key, "x").agg(F.max("bytes_per_frame").alias("c"))
+        costs = costs.groupBy(*key).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("x", "c"))), lambda p: F.struct(
+            p["x"].cast("string"), p["c"].cast("double")))).alias("qsv_bpf"))
+        rows, more = rows.join(costs, key, "left"), [*more, "qsv_bpf"]
+    if seeds is not None:
+        rows, more = rows.join(seeds.select(*key, F.col("seed").cast("double").alias("seed")), key, "left"), [*more, "seed"]
     return rows.select(
         F.lit("shot").alias("type"), F.col("job_id").alias("job"), F.col("shot_idx").alias("idx"), "s0", "s1",
         (F.col("s1") - F.col("s0")).alias("frames"), F.bround(F.col("s0") / F.greatest("n_frames", F.lit(1)), 5).alias("pos"),
         "w0", "w1", (F.col("w1") - F.col("w0")).alias("window"),
-        ((F.col("w1") - F.col("w0")) >= (F.col("s1") - F.col("s0"))).alias("whole_shot"), "svt", "crf_star", "qsv", "q_star")
+        ((F.col("w1") - F.col("w0")) >= (F.col("s1") - F.col("s0"))).alias("whole_shot"), "svt", "crf_star", "qsv", "q_star", *more)
+
+
+JOB_FIELDS = ("source string, width int, height int, fps double, duration double, src_bitrate long, codec string, metric string, target double, preset int, "
+              "probe_preset int, probing_rate int, probe_max_frames int, probe_grid array<int>, probe_encoder string, probe_scale string, pix_fmt string")
+
+
+def job_records(jobs: DataFrame, shots: DataFrame) -> DataFrame:
+    """The record that heads a title's part of the probe dataset: what was probed and how (columns of JOB_FIELDS, absent
+    ones are left out), and the number of shots and their frames."""
+    kinds = dict(f.split(" ", 1) for f in JOB_FIELDS.split(", "))
+    known = [F.col(c).cast(t).alias(c) for c, t in kinds.items() if c in jobs.columns]
+    sizes = shots.groupBy("job_id").agg(F.count(F.lit(1)).alias("shots"), F.sum(F.col("s1") - F.col("s0")).cast("long").alias("frames"))
+    rows = jobs.select("job_id", *known).join(sizes, "job_id", "left")
+    return rows.select(F.lit("job").alias("type"), F.col("job_id").alias("job"), *[F.col(c) for c in kinds if c in jobs.columns],
+                       F.coalesce("shots", F.lit(0).cast("long")).alias("shots"), F.coalesce("frames", F.lit(0).cast("long")).alias("frames"))
+
+
+def crfs_records(chosen: DataFrame) -> DataFrame:
+    """The record that closes a title: the setting each shot was encoded at. One line a title, as the format has it."""
+    settings = F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("shot_idx", F.col("x").cast("double").alias("x")))),
+                                              lambda p: F.struct(p["shot_idx"].cast("string"), p["x"])))
+    return chosen.filter("x IS NOT NULL").groupBy(F.col("job_id").alias("job")).agg(settings.alias("final")).select(F.lit("crfs").alias("type"), "job", "final")
+
+
+def dataset_settings(log: DataFrame) -> DataFrame:
+    """(job_id, shot_idx, x) of the closing records; a title written twice gives its rows twice."""
+    rows = log.filter(F.col("type") == "crfs").select(F.col("job").alias("job_id"), F.explode(F.coalesce("final", "crfs")).alias("_i", "x"))
+    return rows.select("job_id", F.col("_i").try_cast("long").alias("shot_idx"), "x")
 
 
 # --- job table -------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.operators.subtitles import srt_blocks
+from shotlake.sources.title_files import write_titles
 
 # fixed values: segment types and the header layout (magic, pts, dts, type, size)
 COMPOSITION, END = 0x16, 0x80
@@ -77,3 +78,9 @@ def write_srt(cues: DataFrame, path: str, key: Sequence[str] = ("track_id",)) ->
     blocks = srt_blocks(cues, key)
     (blocks.repartitionByRange(*key, "n").sortWithinPartitions(*key, "n")
      .select(*key, F.col("block").alias("value")).write.mode("overwrite").partitionBy(*key).text(path))
+
+
+def write_srt_files(cues: DataFrame, path: str, key: str = "track_id", mode: str = "append") -> None:
+    """One `<path>/<track>.srt` a track, whole or not at all."""
+    blocks = srt_blocks(cues, [key])
+    write_titles(blocks, path, F.col(key), ["n"], F.concat("block", F.lit("\n")), ".srt", mode)

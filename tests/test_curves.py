@@ -134,3 +134,17 @@ def test_trackers(spark):
                 ratio = min(4.0, max(0.5, ratio + (worst - ratio) / 20))
         want[k] = ratio
     assert {r.job_id: r.ratio for r in fits.decayed_peak_ratio(held, chunk=8).collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_metric_is_part_of_a_curve(spark):
+    """Probes of two metrics on one shot are two curves, each with its own target."""
+    rows = [("j", 0, x, m, s) for m, points in (("vmaf", [(20, 95.0), (30, 85.0)]), ("xpsnr", [(20, 45.0), (30, 35.0)]), (None, [(20, 9.0), (30, 1.0)])) for x, s in points]
+    probes = spark.createDataFrame(rows, "job_id string, shot_idx int, x int, metric string, score double")
+    got = {r.metric: r.x for r in op.invert_curve(probes, {"vmaf": 90.0, "xpsnr": 36.0}).collect()}
+    assert got == {"vmaf": pytest.approx(25.0), "xpsnr": pytest.approx(29.0), None: None}
+    assert {r.metric: r.x_star for r in op.crossing(probes, {"vmaf": 90.0, "xpsnr": 99.0}).collect()} == {"vmaf": pytest.approx(25.0), "xpsnr": None, None: None}
+    assert {r.metric: r.lo for r in op.bracket(probes, 40.0).collect()} == {"vmaf": None, "xpsnr": 20.0, None: None}
+    wanted = spark.createDataFrame([("j", 0, 25.0, "vmaf"), ("j", 0, 25.0, "xpsnr")], "job_id string, shot_idx int, x double, metric string")
+    assert {r.metric: r.predicted for r in op.interpolate_curve(probes, wanted).collect()} == {"vmaf": 90.0, "xpsnr": 40.0}
+    with pytest.raises(ValueError):
+        op.invert_curve(probes.drop("metric"), {"vmaf": 90.0})

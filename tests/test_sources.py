@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shotlake.operators.subtitles import cue_intervals, recognise
@@ -124,3 +125,65 @@ def test_tail(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["a", "b"]
+
+
+def test_title_files(spark, tmp_path):
+    """One whole file a title; a failing job leaves none, a second run replaces what it writes."""
+    from shotlake.sources.title_files import TitleFiles, write_titles
+
+    rows = [(f"t{i % 7}", i, f"line {i}\n") for i in range(200)] + [("a/b ü", 1, "x\n"), ("a/b ü", 0, "w\n"), (None, 0, "n\n"), ("empty", 0, None)]
+    df = spark.createDataFrame(rows, "title string, n int, text string").repartition(6)
+    out = tmp_path / "out"
+    write_titles(df, str(out), F.col("title"), ["n"], F.col("text"), ".txt")
+    assert sorted(f.name for f in out.iterdir()) == sorted([*(f"t{i}.txt" for i in range(7)), "a%2Fb %C3%BC.txt", "_null.txt", "empty.txt"])
+    for i in range(7):
+        assert (out / f"t{i}.txt").read_text() == "".join(f"line {k}\n" for k in range(i, 200, 7))
+    assert (out / "a%2Fb %C3%BC.txt").read_text() == "w\nx\n" and (out / "empty.txt").read_text() == ""
+    # a task that fails writes nothing in place
+    bad = df.withColumn("text", F.when(F.col("title") == "t3", F.raise_error(F.lit("lost"))).otherwise(F.lit("new\n")))
+    with pytest.raises(Exception, match="lost"):
+        write_titles(bad, str(out), F.col("title"), ["n"], F.col("text"), ".txt")
+    assert (out / "t1.txt").read_text().startswith("line 1\n") and not (out / "_attempts").exists()
+    # one title in two tasks is refused, and rows of a title must lie together
+    spark.dataSource.register(TitleFiles)
+    twice = spark.createDataFrame([("z", "1"), ("z", "2")], "name string, text string").repartition(2)
+    with pytest.raises(Exception, match="two tasks"):
+        twice.write.format("title_files").option("path", str(out)).mode("append").save()
+    assert not (out / "z").exists()
+    write_titles(df.filter("title = 't1'"), str(out), F.col("title"), ["n"], F.lit("o\n"), ".txt", "overwrite")
+    assert [f.name for f in out.iterdir()] == ["t1.txt"] and set((out / "t1.txt").read_text().split()) == {"o"}
+
+
+def test_srt_and_grain_files(spark, tmp_path):
+    from shotlake.sources import grain_tables
+
+    cues = spark.createDataFrame([("t", 0, 1.0, 2.0, "hi"), ("t", 1, 2.0, 3.0, ""), ("t", 2, 3.0, 4.5, "you")], "track_id string, cue_idx long, start double, end double, text string")
+    subtitles.write_srt_files(cues, str(tmp_path / "srt"))
+    assert (tmp_path / "srt" / "t.srt").read_text() == "1\n00:00:01,000 --> 00:00:02,000\nhi\n\n2\n00:00:03,000 --> 00:00:04,500\nyou\n\n"
+    segments = spark.createDataFrame([("f", 5, "E 5 9 1 1 1\n\tsY 1 0 2"), ("f", 0, "E 0 5 1 1 1\n\tsY 1 0 1")], "source_id string, f0 long, record string")
+    grain_tables.write_grain_files(segments, str(tmp_path / "g"))
+    assert (tmp_path / "g" / "f.tbl").read_text() == "filmgrn1\nE 0 5 1 1 1\n\tsY 1 0 1\nE 5 9 1 1 1\n\tsY 1 0 2\n"
+    back = grain_tables.read_grain_tables(spark, str(tmp_path / "g")).orderBy("t0").collect()
+    assert [(r.t0, r.key, r.vals) for r in back] == [(0, "sY", [1, 0, 1]), (5, "sY", [1, 0, 2])]
+
+
+def test_all_record_types(spark, tmp_path):
+    """Job, shot and closing records written as lines and read back, costs and seeds with them."""
+    shots = spark.createDataFrame([("j", 0, 0, 50, 0, 50), ("j", 1, 50, 80, 55, 75)], "job_id string, shot_idx int, s0 long, s1 long, w0 long, w1 long")
+    probes = spark.createDataFrame([("j", 0, 20, "svt", 90.0, None), ("j", 0, 20, "qsv", 88.0, 11.5), ("j", 0, 30, "qsv", 70.0, None), ("j", 1, 20, "qsv", None, 9.0)],
+                                   "job_id string, shot_idx int, x int, encoder string, score double, bytes_per_frame double")
+    seeds = spark.createDataFrame([("j", 1, 24.5)], "job_id string, shot_idx int, seed double")
+    total = spark.createDataFrame([("j", 80)], "job_id string, n_frames long")
+    jobs = spark.createDataFrame([("j", "a.mkv", 24.0, [20, 30], 7)], "job_id string, source string, fps double, probe_grid array<int>, other int")
+    path = str(tmp_path / "d")
+    logs.write_probe_dataset(logs.job_records(jobs, shots), path)
+    logs.write_probe_dataset(logs.shot_records(shots, probes, 80.0, total, seeds), path)
+    logs.write_probe_dataset(logs.crfs_records(spark.createDataFrame([("j", 0, 25), ("j", 1, None)], "job_id string, shot_idx int, x int")), path)
+    log = logs.read_probe_dataset(spark, path)
+    head = log.filter("type = 'job'").first()
+    assert (head.source, head.fps, head.probe_grid, head.shots, head.frames) == ("a.mkv", 24.0, [20, 30], 2, 80)
+    by = {r.idx: r for r in log.filter("type = 'shot'").collect()}
+    assert by[0].qsv_bpf == {"20": 11.5} and by[0].seed is None and by[1].seed == 24.5 and by[1].qsv_bpf == {"20": 9.0}
+    costs = {(r.shot_idx, r.x): r.bytes_per_frame for r in logs.dataset_probes(log).filter("encoder = 'qsv'").collect()}
+    assert costs == {(0, 20): 11.5, (0, 30): None}
+    assert [tuple(r) for r in logs.dataset_settings(log).collect()] == [("j", 0, 25.0)]
