@@ -12,7 +12,7 @@ from shotlake.catalog import views as v
 from shotlake.plans.lineage import shared_folder
 from shotlake.session import ROCKSDB
 from shotlake.streaming import processors as op
-from shotlake.streaming.refit import OnlineRefit, latest_fits
+from shotlake.streaming.refit import OnlineRefit, latest_fits, stream_refit as refits
 
 
 def _stream(table: DataFrame) -> DataFrame:
@@ -148,3 +148,10 @@ def online_refit(spark, sf):
      .foreachBatch(refit).start().awaitTermination())
     fit = latest_fits(spark, f"{folder}/fits")
     return fit.select(F.col("job_id").cast("long").alias("job_id"), "n", *[F.round(c, 5).alias(c) for c in ("b0", "bq", "bl", "sd")])
+
+
+@query("stream_refit", f"""WITH {v.PAIRS}, c AS (SELECT CAST(job_id AS VARCHAR) AS job_id, count(*) AS n FROM pairs GROUP BY job_id),
+p AS (SELECT job_id, unnest(range(12, n + 1, 10)) AS pairs FROM c) SELECT CAST(job_id AS BIGINT) AS job_id, pairs FROM p""")
+def stream_refit(spark, sf):
+    """No fit of these pairs is worth following, so a job is refitted at its twelfth pair and after every ten."""
+    return _run(refits(_stream(_pairs(spark, sf)), 0.001)).select(F.col("job_id").cast("long").alias("job_id"), "pairs")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans import finite_fold, finite_scan, ordered_scan, position, settle
+from shotlake.plans import finite_fold, finite_scan, ordered_scan, position, ranked, settle
 
 STATUSES = ["pending", "analyzing", "running", "done", "failed", "skipped", "cancelled"]
 ACTIVE = ["pending", "analyzing", "running"]
@@ -29,11 +29,12 @@ def active_jobs(listing: DataFrame, jobs: DataFrame) -> DataFrame:
     return first.join(listing.select("path").distinct(), "path", "left_semi")
 
 
-def settled_files(listing: DataFrame, stable_s: float, min_bytes: int = 0, width: float = DAY) -> DataFrame:
+def settled_files(listing: DataFrame, stable_s: float, min_bytes: int = 0, chunk: int = 1 << 16) -> DataFrame:
     """Files that are done being written: large enough, unchanged for `stable_s`
-    seconds, and seen twice in a row with the same size and time. Once per file."""
+    seconds, and seen twice in a row with the same size and time. Once per file.
+    A path listed any number of times is cut into chunks of `chunk` observations."""
     large = listing.filter(F.col("size") >= min_bytes).withColumn("_print", F.struct("size", "mtime"))
-    seen = ordered_scan(large, ["path"], ["scan_ts"], width=width, lag={"_last": "_print"})
+    seen = ordered_scan(ranked(large, ["path"], ["scan_ts"], "_place"), ["path"], ["_place"], width=chunk, lag={"_last": "_print"})
     age = F.col("scan_ts").cast("double") - F.col("mtime").cast("double")
     ok = (age >= stable_s) & F.col("_last").eqNullSafe(F.col("_print"))
     return seen.filter(ok).groupBy("path").agg(
@@ -120,10 +121,10 @@ def next_pending(jobs: DataFrame, k: int = 1) -> DataFrame:
     return jobs.filter(F.col("status") == "pending").orderBy("created_at", "id").limit(k)
 
 
-def queue_positions(jobs: DataFrame, width: float = DAY) -> DataFrame:
-    """1-based place of each pending job, oldest first."""
-    pending = jobs.filter(F.col("status") == "pending")
-    return position(pending, [], ["created_at", "id"], width, "_p").select("id", (F.col("_p") + 1).alias("position"))
+def queue_positions(jobs: DataFrame) -> DataFrame:
+    """1-based place of each pending job, oldest first; jobs of one moment are spread like any others."""
+    pending = jobs.filter(F.col("status") == "pending").select("id", "created_at")
+    return ranked(pending, [], ["created_at", "id"], "_p").select("id", (F.col("_p") + 1).alias("position"))
 
 
 def order_rank(status: Column) -> Column:

@@ -346,8 +346,11 @@ def seed_points(grid: DataFrame, k: int, x: str = "x", key: Sequence[str] = KEY)
 
 def anchor_sample(shots: DataFrame, k: int = 16, key: Sequence[str] = KEY) -> DataFrame:
     """Shots evenly spaced by length rank (at least four), so that short and long ones are both measured."""
-    sized = shots.withColumn("_size", F.col("s1") - F.col("s0"))
-    return spread_sample(sized, max(4, k), ["_size", "shot_idx"], key, width=16).drop("_size")
+    key = list(key)
+    # by rank, so a title whose shots are all of one length is spread as well
+    placed = ranked(shots.withColumn("_size", F.col("s1") - F.col("s0")), key, ["_size", "shot_idx"], "_rank").withColumn("_id", F.struct(*key))
+    sizes = placed.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(sizes, "_id").filter(_spread(F.col("_rank"), F.col("_n"), max(4, k))).drop("_id", "_size", "_rank", "_n")
 
 
 def running_bounds(lengths: DataFrame, order: str = "shot_idx", frames: str = "frames",

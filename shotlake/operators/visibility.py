@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlake.functions.display import band_freq, bin_centre, unit_log
-from shotlake.plans import exact_quantile
+from shotlake.plans import exact_quantile, settle
 
 # fixed values: (start, step, number of edges) of the noise, masker, luminance and chroma axes, in log10
 N_AXIS = (-4.0, 0.2, 23)
@@ -78,6 +78,44 @@ def lut_bilinear(lut: Lut, row: Column, column: Column) -> Column:
             + (1 - tl) * tr * corner(0, 1) + tl * tr * corner(1, 1))
 
 
+def axis_place(axis: Column, value: Column, most: int = 1 << 24) -> tuple[Column, Column]:
+    """0-based lower corner of the axis interval that holds `value`, and how far into it the value lies (0 to 1); held at
+    the ends. `axis` is a sorted array; the place is found by halving steps."""
+    n = F.size(axis)
+    held = F.when(value.isNotNull(), F.greatest(F.get(axis, F.lit(0)), F.least(F.get(axis, n - 1), value)))
+    steps = F.array(*[F.lit(1 << b) for b in range(most.bit_length() - 1, -1, -1)])
+    low = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s < n - 1) & (F.get(axis, at + s) <= held), at + s).otherwise(at))
+    a, b = F.get(axis, low), F.get(axis, low + 1)
+    return F.when(held.isNotNull(), low), F.when(b.isNull() | (a == b), F.lit(0.0)).otherwise((held - a) / (b - a))
+
+
+def lut_lookup(rows: DataFrame, table: DataFrame, row: Column, column: Column, name: str = "value",
+               axes: tuple[str, str] = ("row", "column"), cell: str = "value") -> DataFrame:
+    """Add `name`: bilinear interpolation at (row, column) of a full grid `table` (row, column, value) of any size, held
+    at its edges; NULL where a coordinate or a corner is NULL.
+
+    The two axes are arrays (as long as the table is high and wide, not its cells); cells are joined by their place, each
+    once with its four corners. Nothing is brought to the driver.
+    """
+    points = [F.col(c).cast("double") for c in axes]
+    cells = table.select(points[0].alias("_r"), points[1].alias("_c"), F.col(cell).cast("double").alias("_v"))
+    ticks = [cells.agg(F.array_sort(F.collect_set(c))).scalar() for c in ("_r", "_c")]
+    # a cell's own place: the number of its tick, as a corner of up to four intervals
+    ids = [settle(cells.select(F.col(c).alias("_t")).distinct()).select("_t", (F.array_position(t, F.col("_t")) - 1).cast("int").alias("_i")) for c, t in zip(("_r", "_c"), ticks)]
+    placed = cells.join(ids[0].withColumnsRenamed({"_t": "_r", "_i": "_pi"}), "_r").join(ids[1].withColumnsRenamed({"_t": "_c", "_i": "_pj"}), "_c")
+    corner = F.explode(F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (0, 1) for dj in (0, 1)]))
+    spread = placed.select("_pi", "_pj", "_v", corner.alias("_d")).filter("_pi >= _d.di AND _pj >= _d.dj")
+    corners = spread.groupBy((F.col("_pi") - F.col("_d.di")).alias("_i"), (F.col("_pj") - F.col("_d.dj")).alias("_j")).agg(
+        *[F.max(F.when((F.col("_d.di") == di) & (F.col("_d.dj") == dj), F.col("_v"))).alias(f"_v{di}{dj}") for di in (0, 1) for dj in (0, 1)])
+    (i, tr), (j, tc) = axis_place(F.col("_rs"), F.col("_row").cast("double")), axis_place(F.col("_cs"), F.col("_column").cast("double"))
+    at = rows.withColumns({"_row": row, "_column": column, "_rs": ticks[0], "_cs": ticks[1]}).withColumns({"_i": i, "_tr": tr, "_j": j, "_tc": tc}).drop("_row", "_column", "_rs", "_cs")
+    # a single line or column of cells has no far corner, and no weight there
+    weight = {(0, 0): (1 - F.col("_tr")) * (1 - F.col("_tc")), (1, 0): F.col("_tr") * (1 - F.col("_tc")), (0, 1): (1 - F.col("_tr")) * F.col("_tc"), (1, 1): F.col("_tr") * F.col("_tc")}
+    value = sum((F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_v{di}{dj}")) for (di, dj), w in weight.items()), F.lit(0.0))
+    told = at.join(corners, ["_i", "_j"], "left").withColumn(name, F.when(F.col("_i").isNotNull() & F.col("_j").isNotNull(), value))
+    return told.drop("_i", "_j", "_tr", "_tc", *[f"_v{di}{dj}" for di in (0, 1) for dj in (0, 1)])
+
+
 def axis_bin(value: Column, axis: tuple[float, float, int]) -> Column:
     """Bin of log10(value) (at least 1e-8): the number of edges below it, open at both ends."""
     start, step, n = axis

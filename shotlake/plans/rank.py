@@ -23,7 +23,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     ranged = tied.repartitionByRange(partitions, *spread) if partitions else tied.repartitionByRange(*spread)
     # the id counts rows within a sorted partition from its number * 2^33 on
     placed = settle(ranged.sortWithinPartitions(*spread).withColumn("_at", F.monotonically_increasing_id()).drop("_tie"))
-    placed = placed.withColumns({"_k": F.struct(*keys), "_part": F.shiftright("_at", 33)})
+    placed = placed.withColumns({"_k": F.struct(*keys) if keys else F.lit(0), "_part": F.shiftright("_at", 33)})
     parts = placed.groupBy("_k", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_k", "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))

@@ -66,3 +66,45 @@ def test_finite_fold(spark):
         state = table[state][s]
     row = finite_fold(df, ["k"], ["i"], F.col("s"), table, 0, 64.0, chunk=16).first()
     assert (row.state, row.n_events) == (state, 300)
+
+
+def test_lut_lookup(spark):
+    """A table read by joins, between, on and past its lines; one line only; missing cells."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from shotlake.operators.visibility import lut_lookup
+
+    rng = np.random.default_rng(5)
+    r, c = np.sort(rng.uniform(-3, 3, 23)), np.sort(rng.uniform(0, 9, 17))
+    v = rng.normal(size=(23, 17))
+
+    def brute(x, y):
+        x, y = min(max(x, r[0]), r[-1]), min(max(y, c[0]), c[-1])
+        i, j = min(np.searchsorted(r, x, "right") - 1, 21), min(np.searchsorted(c, y, "right") - 1, 15)
+        t, u = (x - r[i]) / (r[i + 1] - r[i]), (y - c[j]) / (c[j + 1] - c[j])
+        return (1 - t) * (1 - u) * v[i, j] + t * (1 - u) * v[i + 1, j] + (1 - t) * u * v[i, j + 1] + t * u * v[i + 1, j + 1]
+
+    cells = spark.createDataFrame([(float(a), float(b), float(v[i, j])) for i, a in enumerate(r) for j, b in enumerate(c)], "row double, column double, value double")
+    asked = [(float(rng.uniform(-5, 5)), float(rng.uniform(-2, 11))) for _ in range(200)] + [(float(r[3]), float(c[16])), (float(r[22]), float(c[0]))]
+    rows = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(asked)] + [(900, None, 1.0), (901, 1.0, None)], "k int, x double, y double")
+    got = {q.k: q.out for q in lut_lookup(rows, cells, F.col("x"), F.col("y"), "out").collect()}
+    assert len(got) == len(asked) + 2 and got[900] is None and got[901] is None
+    assert all(abs(got[k] - brute(x, y)) < 1e-9 for k, (x, y) in enumerate(asked))
+    line = cells.filter(F.col("row") == float(r[4]))
+    mid = {q.k: q.out for q in lut_lookup(rows.filter("k < 900"), line, F.col("x"), F.col("y"), "out").collect()}
+    assert all(abs(mid[k] - np.interp(y, c, v[4])) < 1e-9 for k, (_, y) in enumerate(asked))
+
+
+def test_ranked_spreads_one_value(spark):
+    """Ranks of a key whose rows all tie, of NULL keys, and of no key at all."""
+    from shotlake.plans import ranked
+
+    rows = [("hot", 5, i) for i in range(900)] + [(None, i % 3, i) for i in range(30)] + [("b", -i, i) for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, o int, i int").repartition(6)
+    got = {}
+    for r in ranked(df, ["k"], ["o"], "p", 5).collect():
+        got.setdefault(r.k, []).append((r.p, r.o))
+    assert {k: [p for p, _ in sorted(v)] for k, v in got.items()} == {k: list(range(n)) for k, n in (("hot", 900), (None, 30), ("b", 7))}
+    assert all([o for _, o in sorted(v)] == sorted(o for _, o in v) for v in got.values())
+    assert [r.p for r in sorted(ranked(df, [], ["o", "i"], "p").collect(), key=lambda r: (r.o, r.i))] == list(range(937))

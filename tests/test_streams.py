@@ -11,6 +11,7 @@ from shotlake.operators import fits, jobs
 from shotlake.session import ROCKSDB
 from shotlake.sources.tail import follow_log
 from shotlake.streaming import processors as op
+from shotlake.streaming.refit import stream_refit
 
 FAR = 10.0**7
 
@@ -26,6 +27,7 @@ def batches(rows, n, late, seed=1):
 def run_stream(spark, tmp_path, parts, schema, build):
     """Every part is a file and a batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    mode = "append" if build.__code__.co_names[:1] == ("stream_refit",) else "update"
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         for f in (tmp_path / "in").glob("part-*.parquet"):
@@ -40,7 +42,7 @@ def run_stream(spark, tmp_path, parts, schema, build):
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = build(stream)
-    (out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(keep)
+    (out.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(keep)
      .start().awaitTermination())
     assert len(counted) >= len(parts)
     return spark.read.schema(out.schema.add("batch", "long")).parquet(str(tmp_path / "out"))
@@ -202,6 +204,36 @@ def test_breaker_looks_again_by_timer(spark, tmp_path, monkeypatch):
     assert told == ["retired", "retry due", "in use"]
 
 
+def test_refit_stream(spark, tmp_path):
+    """Six batches: ten new pairs while no fit is usable, twenty-five once one is; a ring of 200; the fit of the batch twin."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(260):
+        q, l = rng.uniform(1, 50), rng.uniform(5, 9)
+        rows.append(("good", i, q, l, 2 * q - l + rng.gauss(0, 0.1) + (90 if i % 40 == 7 else 0)))
+        rows.append(("wild", i, q, l, rng.uniform(0, 100)))
+    rows += [("few", i, float(i), 1.0, 2.0) for i in range(11)] + [("flat", i, 3.0, 1.0, float(i % 2)) for i in range(30)] + [("gap", i, None, 1.0, 2.0) for i in range(40)]
+    schema = "job_id string, seq long, q double, log_bpf double, x_star double"
+    rows.sort(key=lambda r: r[1])
+    parts = [rows[i:i + 100] for i in range(0, len(rows), 100)]
+    out = run_stream(spark, tmp_path, parts, schema, lambda s: stream_refit(s, 3.0))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r.pairs):
+        got.setdefault(r.job_id, []).append(r)
+    assert set(got) == {"good", "wild", "flat"}
+    for job, fits_ in got.items():
+        at, sd = 0, None
+        for r in fits_:
+            # 12 pairs at least, then by whether the fit before could be followed
+            wait = 25 if sd is not None and sd <= 3.0 else 10
+            assert r.pairs == max(12, at + wait)
+            at, sd = r.pairs, r.sd
+        upto = spark.createDataFrame([r for r in rows if r[0] == job and r[1] < at], schema)
+        twin = fits.ols_trimmed(upto).first()
+        assert (fits_[-1].n, fits_[-1].b0, fits_[-1].bq, fits_[-1].bl, fits_[-1].sd) == pytest.approx((twin.n, twin.b0, twin.bq, twin.bl, twin.sd), rel=1e-6, abs=1e-6)
+    assert len(got["wild"]) == 25 and got["good"][-1].n < 200
+
+
 def follow(spark, tmp_path, **options):
     (follow_log(spark, str(tmp_path / "k.log"), **options).writeStream.format("parquet").option("path", str(tmp_path / "o"))
      .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination())
