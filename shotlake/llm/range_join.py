@@ -35,17 +35,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     nothing; vectors of different lengths don't either. Rows without vec_id take part and have no component_id of their own.
     Repeated rows link with each other; an empty table gives an empty one.
     """
-    def size2(v):
-        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-
-    v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    fit = F.col("label").isNotNull() & finite(F.col("embedding")) & (size2(v) > 0)
-    rows = rows.select("vec_id", "label", F.when(fit, v).alias("v"))
+    rows = rows.select("vec_id", "label", F.when(F.col("label").isNotNull() & finite(F.col("embedding")), F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    # by a power of two, which loses nothing, so that no square under- or overflows
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("most", most).withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2("most"))))
+    rows = rows.select("vec_id", "label", F.when(F.col("most") > 0, F.transform("v", lambda x: x / F.col("scale"))).alias("v"))
     made = F.lit(NO_ID) + F.pmod(F.xxhash64("label", "v"), F.lit(1 << 61))
     rows = rows.withColumn("key", F.coalesce("vec_id", made))
     able = rows.where("v IS NOT NULL")
-    nodes = written(able.groupBy("label", "v").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "vectors")
+    # a node is a vector of a label, whatever ids it goes by; `least` is the smallest of them
+    nodes = able.groupBy("label", "v").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     sizes = {r.label: r.n for r in nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
              .orderBy(F.desc("n"), "label").limit(MOST_PIVOTS).collect()}
@@ -75,7 +76,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
                 df = pd.concat(out, ignore_index=True)
                 yield df.assign(width=df["v"].map(len))
 
-    cells = nodes.mapInPandas(to_cells, "label string, v array<double>, node long, copies long, cell long, guest boolean, width int")
+    cells = nodes.select("label", "v", "node", "copies").mapInPandas(to_cells, "label string, v array<double>, node long, copies long, cell long, guest boolean, width int")
     cells = written(cells, "cells")
     key = ["label", "width", "cell"]
     counts = cells.groupBy(*key).agg(F.sum((~F.col("guest")).cast("long")).alias("homes"), F.sum(F.col("guest").cast("long")).alias("guests"))
@@ -108,8 +109,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
 
     links = written(placed.groupBy(*key, "a", "b").applyInPandas(compare, "node long, n long, root long"), "links")
     found = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    table = (nodes.join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(found, "node", "left")
-             .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    member = nodes.select("node", "least").join(found, "node")
+    smallest = member.groupBy("component").agg(F.min("least").alias("root"))
+    # a component may hold a third of the nodes
+    rooted = with_salt(member, "node").join(every_salt(smallest), ["component", "_salt"]).select("node", "root")
+    table = (nodes.join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(rooted, "node", "left")
+             .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "least").alias("component")))
     joined = with_salt(rows, "key", "vec_id").join(every_salt(table), ["label", "v", "_salt"], "left")
     component = real_key(F.coalesce("component", "key"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),

@@ -51,6 +51,21 @@ def test_range_join_odd_rows(spark):
     assert range_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    """Links belong to a row's vector, not to its id."""
+    rows = [(1, [1.0, 0.0, 0.0], 0, 0), (1, [0.0, 0.0, 1.0], 0, 0), (2, [1.0, 0.01, 0.0], 0, 0), (5, [0.0, 0.01, 1.0], 1, 0), (4, [0.0, 0.01, 1.0], 1, 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in range_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+def test_magnitudes(spark):
+    """Vectors whose squares leave the range of doubles still have a cosine; one vector twice as long is a copy."""
+    rows = [(1, [1e-170, 0.0, 0.0]), (2, [1e-170, 1e-175, 0.0]), (3, [1e200, 1e199, 0.0]), (4, [5e-324, 0.0, 0.0]), (5, [2e-170, 0.0, 0.0]), (6, [0.0, -1e308, 0.0]), (7, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA.replace("float", "double"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join.near_duplicates(frame).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6), 7: (0, 7)}
+
+
 def brute_top(rows, k):
     data = {(i, tuple(int(np.floor(64 * float(x))) for x in v)) for i, v, _, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
