@@ -39,8 +39,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = rows.select("vec_id", "label", F.when(F.col("label").isNotNull() & finite(F.col("embedding")), F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     # by a power of two, which loses nothing, so that no square under- or overflows
     most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = rows.withColumn("most", most).withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2("most"))))
-    rows = rows.select("vec_id", "label", F.when(F.col("most") > 0, F.transform("v", lambda x: x / F.col("scale"))).alias("v"))
+    # bound in a lambda, or it would be computed anew for each component
+    scaled = F.transform(F.array(F.pow(F.lit(2.0), F.floor(F.log2(most)))), lambda s: F.transform("v", lambda x: x / s))[0]
+    rows = rows.select("vec_id", "label", F.when(most > 0, scaled).alias("v"))
     made = F.lit(NO_ID) + F.pmod(F.xxhash64("label", "v"), F.lit(1 << 61))
     rows = rows.withColumn("key", F.coalesce("vec_id", made))
     able = rows.where("v IS NOT NULL")
