@@ -58,7 +58,7 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.schema)
         self.names = [c.split()[0] for c in self.schema.split(", ")]
         # batches bring whole numbers beside missing ones as floats
-        self.kinds = [{"long": int, "int": int, "double": float}.get(c.split()[1], str) for c in self.schema.split(", ")]
+        self.kinds = [{"long": int, "bigint": int, "int": int, "double": float}.get(c.split()[1], str) for c in self.schema.split(", ")]
 
     def close(self) -> None:
         self.inner.close()

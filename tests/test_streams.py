@@ -204,6 +204,21 @@ def test_breaker_looks_again_by_timer(spark, tmp_path, monkeypatch):
     assert told == ["retired", "retry due", "in use"]
 
 
+def test_progress_stream_late_rows(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["Scene detection", "scenecut: found 4 scene(s)", "Queue 5 Workers 2"]
+    rows = []
+    for i in range(1, 260):
+        n = rng.randrange(100)
+        bar = f"00:01 [1/5 Chunks] ▐ {n}% {n * 3}/300 ({rng.choice(('12.5', '0.0'))} fps, eta 5s)"
+        rows.append((float(i), f"j{rng.randrange(4)}", rng.choice(texts) if rng.random() < 0.2 else bar))
+    schema = "ts double, job_id string, text string"
+    batch = jobs.progress_track(spark.createDataFrame(rows, schema).withColumn("pos", F.col("ts").cast("long")))
+    want = sorted((r.job_id, float(r.pos), r.stage, r.pct, r.done) for r in batch.collect() if r.reported)
+    out = run_stream(spark, tmp_path, batches(rows, 5, 40) + [[(FAR, "end", "Scene detection")]], schema, lambda s: op.stream_progress(s, lateness="50 seconds"))
+    assert sorted((r.job_id, r.at, r.stage, r.pct, r.done) for r in out.collect() if r.job_id != "end") == want and len(want) > 40
+
+
 def test_refit_stream(spark, tmp_path):
     """Six batches: ten new pairs while no fit is usable, twenty-five once one is; a ring of 200; the fit of the batch twin."""
     rng = random.Random(6)
