@@ -62,7 +62,8 @@ def empty_streams(streams: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
     timed = streams.groupBy(*key).agg(F.max(F.coalesce(
         F.trim("duration_ts").rlike(r"^\d+$") & (F.trim("duration_ts").try_cast("decimal(38,0)") > 0),
         F.lit(False))).alias("_timed"))
-    subs = streams.filter(F.col("codec_type") == "subtitle").join(timed, [*key])
+    # as many files as the library has: never collected for a broadcast
+    subs = streams.filter(F.col("codec_type") == "subtitle").join(timed.hint("merge"), [*key])
     counts = F.map_values(F.map_filter("tags", lambda k, v: F.lower(k).rlike(r"^number_of_frames(-.*)?$")))
     numbers = F.transform(counts, lambda v: F.when(v.rlike(digits), F.trim(v).try_cast("long")))
     most = F.array_max(numbers)
@@ -102,22 +103,20 @@ def move_default_flag(kept: DataFrame, companions: DataFrame, key: Sequence[str]
     flags = F.split(F.coalesce("flags", F.lit("")), r"\+")
     moved = companions.select(*key, "pos", F.lit(True).alias("_moved"))
     left = F.array_join(F.array_remove(flags, "default"), "+")
-    source = kept.join(moved, [*key, "pos"], "left").select(
-        *key, "pos", F.lit("source").alias("kind"),
-        F.when(F.col("_moved") & F.col("default"), F.when(left == "", "0").otherwise(left))
-        .otherwise(F.col("flags")).alias("flags"))
+    source = F.when(F.col("_moved") & F.col("default"), F.when(left == "", "0").otherwise(left)).otherwise(F.col("flags"))
     own = F.array_compact(F.array(
         F.when(F.col("default"), "default"), F.when(F.col("forced"), "forced"),
         F.when(F.col("codec").isin(IMAGE_CODECS) & F.array_contains(flags, "hearing_impaired"), "hearing_impaired")))
     copy = F.array_join(own, "+")
-    made = companions.join(kept.select(*key, "pos", "flags", "default", "forced", "codec"), [*key, "pos"]).select(
-        *key, "pos", F.lit("companion").alias("kind"), F.when(copy == "", "0").otherwise(copy).alias("flags"))
-    return source.unionByName(made)
+    made = F.when(F.col("_moved"), F.struct(F.lit("companion").alias("kind"), F.when(copy == "", "0").otherwise(copy).alias("flags")))
+    # one join gives a track and its companion; both sides grow with the library, so neither is collected for a broadcast
+    both = kept.join(moved.hint("merge"), [*key, "pos"], "left")
+    return both.select(*key, "pos", F.inline(F.array_compact(F.array(F.struct(F.lit("source").alias("kind"), source.alias("flags")), made))))
 
 
 def lost_defaults(planned: DataFrame, companions: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
     """Default streams whose planned companion is missing: they get the flag back."""
-    return planned.filter("default").select(*key, "pos").join(companions.select(*key, "pos"), [*key, "pos"], "left_anti")
+    return planned.filter("default").select(*key, "pos").join(companions.select(*key, "pos").hint("merge"), [*key, "pos"], "left_anti")
 
 
 def zip_streams(subs: DataFrame, tracks: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
@@ -126,17 +125,17 @@ def zip_streams(subs: DataFrame, tracks: DataFrame, key: Sequence[str] = FILE) -
     All or nothing per file: a different number of tracks, a codec that cannot
     be the same one, or a tool that reports no entries leaves every stream as it was.
     """
-    a = position(subs, key, ["pos"], STREAMS, "_nth")
-    b = position(tracks, key, ["id"], STREAMS, "_nth").select(
-        *key, "_nth", F.coalesce("codec_id", F.lit("")).alias("_id"), F.col("entries").alias("_entries"), F.lit(1).alias("_there"))
-    counts = subs.groupBy(*key).agg(F.count(F.lit(1)).alias("_na")).join(
-        tracks.groupBy(*key).agg(F.count(F.lit(1)).alias("_nb"), F.count("entries").alias("_ne")), [*key], "left")
+    one = F.lit(1).cast("long")
+    a = ordered_scan(subs.withColumn("_one", one), key, ["pos"], width=STREAMS, running={"_nth": ("sum", "_one")}, totals={"_na": ("sum", "_one")}).drop("_one")
+    b = tracks.select(*key, "id", F.coalesce("codec_id", F.lit("")).alias("_id"), F.col("entries").alias("_entries"), one.alias("_there"))
+    b = ordered_scan(b, key, ["id"], width=STREAMS, running={"_nth": ("sum", "_there")}, totals={"_nb": ("sum", "_there"), "_ne": ("count", "_entries")})
     allowed = F.create_map(*[x for c, ids in CODEC_IDS.items() for x in (F.lit(c), F.array(*[F.lit(i) for i in ids]))])
     ids = F.try_element_at(allowed, F.col("codec"))
-    both = a.join(b, [*key, "_nth"], "left").withColumn(
-        "_fits", F.col("_there").isNotNull() & (ids.isNull() | F.array_contains(ids, F.upper("_id"))))
-    verdict = both.groupBy(*key).agg(F.every("_fits").alias("_all"))
-    told = both.join(counts, [*key]).join(verdict, [*key])
+    fits = F.col("_there").isNotNull() & (ids.isNull() | F.array_contains(ids, F.upper("_id")))
+    # lists and files grow with the library: none is collected for a broadcast
+    both = a.join(b.drop("id").hint("merge"), [*key, "_nth"], "left").withColumn("_fits", fits)
+    told = both.join(both.groupBy(*key).agg(F.every("_fits").alias("_all")).hint("merge"), [*key], "left")
+    # a file of as many tracks as streams has a track for each of them
     usable = F.coalesce((F.col("_na") == F.col("_nb")) & (F.col("_ne") > 0) & F.col("_all"), F.lit(False))
     fills = usable & F.col("empty").isNull() & F.col("_entries").isNotNull()
     return (told.withColumn("why", F.when(fills, F.concat(F.lit("entries="), F.col("_entries").cast("string"))).otherwise(F.col("why")))

@@ -1,9 +1,11 @@
 """Exact quantiles of keys of any size.
 
 The built-in exact percentile keeps every distinct value of a key in one
-buffer. Here equal values are counted first (a partial aggregate keyed by
-(key, value)), a histogram of at most `buckets` rows per key finds the bucket
-each wanted rank falls into, and only those buckets are ordered.
+buffer. Here the values of a key of up to `most` rows are ordered in a window,
+after one shuffle by key. In larger keys equal values are counted first (a
+partial aggregate keyed by (key, value)), a histogram of at most `buckets` rows
+per key finds the bucket each wanted rank falls into, and only those buckets
+are ordered.
 """
 
 from __future__ import annotations
@@ -13,22 +15,50 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlake.plans.ordered import WHOLE, large_keys
+
 BUCKETS = 1024
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],
-                   kind: str = "linear", buckets: int = BUCKETS) -> DataFrame:
+                   kind: str = "linear", buckets: int = BUCKETS, most: int = WHOLE) -> DataFrame:
     """One row per key with the asked quantiles; NULL values are ignored.
 
     kind "linear" interpolates between the two neighbouring ranks (the usual
     median averages them); "upper" takes the value at index floor(n * p).
     """
     names = list(keys)
-    # as a struct, keys that are NULL keep their rows in the joins below
-    df, keys = df.withColumn("_k", F.struct(*names) if names else F.lit(0)), ["_k"]
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
+    # as a struct, keys that are NULL keep their rows in the joins
+    key = F.struct(*names) if names else F.lit(0)
+    rows = df.filter(F.col(value).isNotNull()).select(*names, F.col(value).cast("double").alias("_v"))
+    large = large_keys(rows, names, most)
+    if large is None:
+        return _whole(rows, names, wanted, kind)
+    rows, large = rows.withColumn("_key", key), F.broadcast(large)
+    some = _ranged(rows.join(large, "_key", "left_semi").withColumnRenamed("_key", "_k"), names, wanted, kind, buckets)
+    return _whole(rows.join(large, "_key", "left_anti"), names, wanted, kind).unionByName(some)
+
+
+def _whole(rows: DataFrame, names: list[str], wanted: Mapping[str, float], kind: str) -> DataFrame:
+    """Quantiles of keys that one task can order."""
+    # without names all rows are one key
+    keys = names or ["_all"]
+    rows = rows.select(*names, *([] if names else [F.lit(0).alias("_all")]), "_v")
+    key = Window.partitionBy(*keys)
+    placed = rows.withColumns({"_at": F.row_number().over(key.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(key)})
+    hit, out = F.lit(False), []
+    for name, p in wanted.items():
+        low, high = _ranks(p, F.col("_n"), kind)
+        hit = hit | (F.col("_at") == low) | (F.col("_at") == high)
+        at_low, at_high = (F.max(F.when(F.col("_at") == rank, F.col("_v"))) for rank in (low, high))
+        out.append((at_low + (at_high - at_low) * F.max(_rank(p, F.col("_n"), kind) - low)).alias(name))
+    return placed.filter(hit).groupBy(*keys).agg(*out).select(*names, *wanted)
+
+
+def _ranged(df: DataFrame, names: list[str], wanted: Mapping[str, float], kind: str, buckets: int) -> DataFrame:
+    """Quantiles of the keys `_k` of any size."""
+    keys = ["_k"]
+    counts = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
     scaled = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
     binned = counts.join(span, keys).withColumn(

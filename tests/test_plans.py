@@ -108,3 +108,28 @@ def test_ranked_spreads_one_value(spark):
     assert {k: [p for p, _ in sorted(v)] for k, v in got.items()} == {k: list(range(n)) for k, n in (("hot", 900), (None, 30), ("b", 7))}
     assert all([o for _, o in sorted(v)] == sorted(o for _, o in v) for v in got.values())
     assert [r.p for r in sorted(ranked(df, [], ["o", "i"], "p").collect(), key=lambda r: (r.o, r.i))] == list(range(937))
+
+
+def test_scans_and_quantiles_of_small_and_large_keys(spark):
+    """Keys over `most` rows are cut, others stay whole; both give the plain results, NULL keys and totals too."""
+    rng = random.Random(5)
+    sizes = {None: 90, 1: 300, 2: 20, 3: 1}
+    rows = [(k, o, rng.choice([None, rng.random()])) for k, n in sizes.items() for o in rng.sample(range(9000), n)]
+    df = spark.createDataFrame(rows, "k int, o int, v double")
+    spec = dict(lag={"l": "v"}, lead={"e": "v"}, running={"rs": ("sum", "v"), "rl": ("last", "v")}, before={"bc": ("count", "v")},
+                following={"ff": ("first", "v")}, totals={"t": ("max", "v"), "c": ("count", "o")})
+    plain, cut, mixed = (ordered_scan(df, ["k"], ["o"], width=w, most=m, **spec).toPandas().sort_values(["k", "o"]).reset_index(drop=True).round(9)
+                         for w, m in ((None, 0), (500, 0), (500, 50)))
+    pd.testing.assert_frame_equal(cut[plain.columns], plain)
+    pd.testing.assert_frame_equal(mixed[plain.columns], plain)
+    for keys in (["k"], []):
+        told = [sorted(map(str, exact_quantile(df, keys, "v", {"m": 0.5, "p": 0.9}, most=m).select(
+            *keys, F.round("m", 9), F.round("p", 9)).collect())) for m in (0, 50, 10**6)]
+        assert told[0] == told[1] == told[2] and len(told[0]) == (len({k for k, _, v in rows if v is not None}) if keys else 1)
+
+
+def test_small_keys_are_shuffled_once_and_joined_with_nothing(spark):
+    rows = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("o"))
+    for told in (ordered_scan(rows, ["k"], ["o"], width=4.0, running={"s": ("sum", "o")}), exact_quantile(rows, ["k"], "o", {"m": 0.5})):
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
