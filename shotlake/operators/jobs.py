@@ -235,10 +235,11 @@ def override_diff(current: Column, base: Column) -> Column:
     return F.map_filter(current, lambda k, v: ~F.try_element_at(base, k).eqNullSafe(v))
 
 
-def heaviest_step(log: DataFrame) -> DataFrame:
-    """Peak memory of each (job, phase) and the command that held it."""
-    return log.groupBy("job_id", "phase").agg(
-        F.max("gb").alias("peak_gb"), F.max_by("command", F.struct("gb", "command")).alias("command"))
+def heaviest_step(log: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Peak memory of each (job, phase) and the command that held it, the last by name of several; `weight` names the
+    heaviest command by another measure than its memory."""
+    held = F.struct("gb", "command") if weight is None else F.struct(weight.alias("weight"), "gb", "command")
+    return log.groupBy("job_id", "phase").agg(F.max("gb").alias("peak_gb"), F.max_by("command", held).alias("command"))
 
 
 # --- devices -------------------------------------------------------------------

@@ -120,3 +120,17 @@ def test_streak_retirement(spark):
     assert [(r.seq, r.streak, r.retired) for r in s.orderBy("seq").collect()] == [(0, 1, False), (1, 2, False), (3, 3, True), (4, 0, True), (5, 1, True)]
     r = jobs.retired_devices(s, 3).first()
     assert (r.failures, r.longest, r.retired_at) == (4, 3, 3)
+
+
+def test_heaviest_step_query_is_its_sql(spark, tmp_path):
+    """Part keys so large that they outweigh a cent of price."""
+    import duckdb
+    from shotlake import catalog
+
+    catalog.load()
+    rows = [(1, 30.0, 10.02, 7), (1, 30.0, 10.01, 5000), (1, 30.0, 9.0, 9000), (1, 5.0, 3.0, 1), (2, 5.0, 4.0, 70000), (2, 5.0, 4.5, 30000)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["heaviest_step"](spark, str(tmp_path)).select("job_id", "phase", "peak_gb", "command").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(con.execute(catalog.ORACLES["heaviest_step"]).fetchall())
