@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlake.functions.display import band_freq, bin_centre, unit_log
-from shotlake.plans import exact_quantile, settle
+from shotlake.plans import exact_quantile, ordered_scan, ranked, settle
 
 # fixed values: (start, step, number of edges) of the noise, masker, luminance and chroma axes, in log10
 N_AXIS = (-4.0, 0.2, 23)
@@ -30,6 +30,8 @@ DISPLAY = {"ppd": 40.0, "Lb": 0.01, "sdr_white": 200.0, "units": "weber", "thres
            "width": 3840, "height": 2160}
 RULES = {"clean_level": 12.0, "texture_kurtosis": 3.0, "texture_frozen": 0.35}
 LUT_LIMIT = 4096
+# intervals of a block of cells each way, places of an axis that may be broadcast, rows of an axis ordered by one task
+BLOCK, AXIS, PLACES = 4, 1 << 16, 1 << 16
 
 CLIP = ("clip_id",)
 
@@ -78,15 +80,20 @@ def lut_bilinear(lut: Lut, row: Column, column: Column) -> Column:
             + (1 - tl) * tr * corner(0, 1) + tl * tr * corner(1, 1))
 
 
-def axis_place(axis: Column, value: Column, most: int = 1 << 24) -> tuple[Column, Column]:
-    """0-based lower corner of the axis interval that holds `value`, and how far into it the value lies (0 to 1); held at
-    the ends. `axis` is a sorted array; the place is found by halving steps."""
-    n = F.size(axis)
-    held = F.when(value.isNotNull(), F.greatest(F.get(axis, F.lit(0)), F.least(F.get(axis, n - 1), value)))
-    steps = F.array(*[F.lit(1 << b) for b in range(most.bit_length() - 1, -1, -1)])
-    low = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s < n - 1) & (F.get(axis, at + s) <= held), at + s).otherwise(at))
-    a, b = F.get(axis, low), F.get(axis, low + 1)
-    return F.when(held.isNotNull(), low), F.when(b.isNull() | (a == b), F.lit(0.0)).otherwise((held - a) / (b - a))
+def axis_places(ticks: DataFrame, values: DataFrame) -> DataFrame:
+    """Where `values` (at) lie on an axis of `ticks` (at), both distinct and without NULL: at, tick (whether it is one),
+    low (0-based lower corner of the interval that holds the value) and into (how far it lies in it, 0 to 1), held at the
+    ends; the rows are written. Ticks and values are sorted together, so neither is held whole anywhere."""
+    both = ticks.select("at", F.lit(0).alias("_kind")).union(values.select("at", F.lit(1)))
+    tick = F.col("_kind") == 0
+    both = ranked(both, [], ["at", "_kind"], "_pos").withColumns({"_tick": F.when(tick, F.col("at")), "_one": tick.cast("long")})
+    told = ordered_scan(both, [], ["_pos"], width=PLACES, running={"_lo": ("last", "_tick"), "_seen": ("sum", "_one")},
+                        following={"_hi": ("first", "_tick")}, totals={"_n": ("sum", "_one")})
+    below, past = F.col("_seen") == 0, F.col("_hi").isNull()
+    low = F.when(tick, F.col("_seen") - 1).when(past, F.greatest(F.col("_n") - 2, F.lit(0))).when(below, 0).otherwise(F.col("_seen") - 1)
+    inside = F.when(below, 0.0).when(past, F.when(F.col("_n") > 1, 1.0).otherwise(0.0)).otherwise(
+        F.try_divide(F.col("at") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
+    return settle(told.select("at", tick.alias("tick"), low.cast("long").alias("low"), inside.alias("into")))
 
 
 def lut_lookup(rows: DataFrame, table: DataFrame, row: Column, column: Column, name: str = "value",
@@ -94,26 +101,43 @@ def lut_lookup(rows: DataFrame, table: DataFrame, row: Column, column: Column, n
     """Add `name`: bilinear interpolation at (row, column) of a full grid `table` (row, column, value) of any size, held
     at its edges; NULL where a coordinate or a corner is NULL.
 
-    The two axes are arrays (as long as the table is high and wide, not its cells); cells are joined by their place, each
-    once with its four corners. Nothing is brought to the driver.
+    The distinct coordinates are placed on each axis by sorting them among its ticks. Cells are packed into blocks of
+    BLOCK by BLOCK intervals with the corners these need, and rows are joined with the block they lie in. Nothing is
+    brought to the driver but axes of up to AXIS places, for a broadcast.
     """
     points = [F.col(c).cast("double") for c in axes]
-    cells = table.select(points[0].alias("_r"), points[1].alias("_c"), F.col(cell).cast("double").alias("_v"))
-    ticks = [cells.agg(F.array_sort(F.collect_set(c))).scalar() for c in ("_r", "_c")]
-    # a cell's own place: the number of its tick, as a corner of up to four intervals
-    ids = [settle(cells.select(F.col(c).alias("_t")).distinct()).select("_t", (F.array_position(t, F.col("_t")) - 1).cast("int").alias("_i")) for c, t in zip(("_r", "_c"), ticks)]
-    placed = cells.join(ids[0].withColumnsRenamed({"_t": "_r", "_i": "_pi"}), "_r").join(ids[1].withColumnsRenamed({"_t": "_c", "_i": "_pj"}), "_c")
-    corner = F.explode(F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (0, 1) for dj in (0, 1)]))
-    spread = placed.select("_pi", "_pj", "_v", corner.alias("_d")).filter("_pi >= _d.di AND _pj >= _d.dj")
-    corners = spread.groupBy((F.col("_pi") - F.col("_d.di")).alias("_i"), (F.col("_pj") - F.col("_d.dj")).alias("_j")).agg(
-        *[F.max(F.when((F.col("_d.di") == di) & (F.col("_d.dj") == dj), F.col("_v"))).alias(f"_v{di}{dj}") for di in (0, 1) for dj in (0, 1)])
-    (i, tr), (j, tc) = axis_place(F.col("_rs"), F.col("_row").cast("double")), axis_place(F.col("_cs"), F.col("_column").cast("double"))
-    at = rows.withColumns({"_row": row, "_column": column, "_rs": ticks[0], "_cs": ticks[1]}).withColumns({"_i": i, "_tr": tr, "_j": j, "_tc": tc}).drop("_row", "_column", "_rs", "_cs")
+    cells = table.select(points[0].alias("_r"), points[1].alias("_c"), F.col(cell).cast("double").alias("_v")).filter("_r IS NOT NULL AND _c IS NOT NULL")
+    # as join keys: -0.0 is 0.0
+    at = rows.withColumns({"_row": row.cast("double") + 0.0, "_column": column.cast("double") + 0.0})
+
+    def joined(df: DataFrame, places: DataFrame, on: str, how: str, **names: str) -> DataFrame:
+        found = places.select(F.col("at").alias(on), *[F.col(c).alias(n) for c, n in names.items()])
+        small = found.limit(AXIS + 1).count() <= AXIS
+        return df.join(F.broadcast(found) if small else found.hint("merge"), on, how)
+
+    for tick, value, i, into in (("_r", "_row", "_i", "_tr"), ("_c", "_column", "_j", "_tc")):
+        distinct = lambda df, c: df.filter(F.col(c).isNotNull()).select(F.col(c).alias("at")).distinct()
+        places = axis_places(distinct(cells, tick), distinct(at, value))
+        cells = joined(cells, places.filter("tick"), tick, "inner", low=i)
+        at = joined(at, places.filter("NOT tick"), value, "left", low=i, into=into)
+
+    def blocks(place: str) -> Column:
+        """The block of the interval a tick begins, and the one before if it also closes that one's last interval."""
+        return F.array_distinct(F.array(F.floor(F.col(place) / BLOCK), F.floor(F.greatest(F.col(place) - 1, F.lit(0)) / BLOCK)))
+
+    spread = cells.select("_i", "_j", "_v", F.explode(blocks("_i")).alias("_bi")).select("_i", "_j", "_v", "_bi", F.explode(blocks("_j")).alias("_bj"))
+    place = (F.col("_i") - F.col("_bi") * BLOCK) * (BLOCK + 1) + F.col("_j") - F.col("_bj") * BLOCK
+    corners = spread.withColumn("_p", place).groupBy("_bi", "_bj").agg(
+        *[F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"_v{p}") for p in range((BLOCK + 1) ** 2)])
+    corners = corners.select("_bi", "_bj", F.array(*[f"_v{p}" for p in range((BLOCK + 1) ** 2)]).alias("_vs"))
+    at = at.withColumns({"_bi": F.floor(F.col("_i") / BLOCK), "_bj": F.floor(F.col("_j") / BLOCK)})
+    told = at.join(corners.hint("merge"), ["_bi", "_bj"], "left")
+    first = ((F.col("_i") - F.col("_bi") * BLOCK) * (BLOCK + 1) + F.col("_j") - F.col("_bj") * BLOCK).cast("int")
     # a single line or column of cells has no far corner, and no weight there
     weight = {(0, 0): (1 - F.col("_tr")) * (1 - F.col("_tc")), (1, 0): F.col("_tr") * (1 - F.col("_tc")), (0, 1): (1 - F.col("_tr")) * F.col("_tc"), (1, 1): F.col("_tr") * F.col("_tc")}
-    value = sum((F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_v{di}{dj}")) for (di, dj), w in weight.items()), F.lit(0.0))
-    told = at.join(corners, ["_i", "_j"], "left").withColumn(name, F.when(F.col("_i").isNotNull() & F.col("_j").isNotNull(), value))
-    return told.drop("_i", "_j", "_tr", "_tc", *[f"_v{di}{dj}" for di in (0, 1) for dj in (0, 1)])
+    value = sum((F.when(w == 0, F.lit(0.0)).otherwise(w * F.get("_vs", first + di * (BLOCK + 1) + dj)) for (di, dj), w in weight.items()), F.lit(0.0))
+    told = told.withColumn(name, F.when(F.col("_i").isNotNull() & F.col("_j").isNotNull(), value))
+    return told.select(*rows.columns, *([] if name in rows.columns else [name]))
 
 
 def axis_bin(value: Column, axis: tuple[float, float, int]) -> Column:

@@ -133,3 +133,27 @@ def test_small_keys_are_shuffled_once_and_joined_with_nothing(spark):
     for told in (ordered_scan(rows, ["k"], ["o"], width=4.0, running={"s": ("sum", "o")}), exact_quantile(rows, ["k"], "o", {"m": 0.5})):
         plan = told._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_lut_lookup_of_long_axes(spark):
+    """Both axes of thousands of lines, rows on, between and past them, more places than are broadcast; no array holds an axis."""
+    import numpy as np
+    from shotlake.operators import visibility as vis
+
+    n = 3000
+    cells = spark.range(n).selectExpr("id * 3 AS row", "explode(array(id % 7, (id + 1) % 7, (id + 2) % 7, (id + 3) % 7, (id + 4) % 7, (id + 5) % 7, (id + 6) % 7)) AS column")
+    cells = cells.selectExpr("row", "column", "row * 2 + column * 10 + row * column * 0.5 AS value")
+    rows = spark.range(900).selectExpr("id", "id * 11.3 - 50 AS x", "CASE WHEN id % 50 = 0 THEN NULL ELSE id % 13 - 2.25 END AS y")
+    old, vis.AXIS = vis.AXIS, 100
+    try:
+        told = vis.lut_lookup(rows, cells, F.col("x"), F.col("y"), "out")
+        got = {r.id: (r.x, r.y, r.out) for r in told.collect()}
+    finally:
+        vis.AXIS = old
+    assert len(got) == 900 and "collect_set" not in told._jdf.queryExecution().executedPlan().toString()
+    for x, y, out in got.values():
+        if y is None:
+            assert out is None
+            continue
+        x, y = np.clip(float(x), 0, 3 * (n - 1)), np.clip(float(y), 0, 6)
+        assert abs(out - (2 * x + 10 * y + 0.5 * x * y)) < 1e-6
