@@ -16,6 +16,8 @@ from shotlake.sources.title_files import write_titles
 COMPOSITION, END = 0x16, 0x80
 _HEADER = ">2sIIBH"
 _HEADER_SIZE = struct.calcsize(_HEADER)
+# segments and bytes after which a frame of them is handed on
+FRAME_ROWS, FRAME_BYTES = 1 << 14, 1 << 24
 
 
 def walk_segments(buf: bytes) -> tuple[list[tuple[int, int, int, bytes]], str | None]:
@@ -42,13 +44,23 @@ SEGMENTS = "path string, offset long, pts long, type int, payload binary, error
 def sup_segments(files: DataFrame) -> DataFrame:
     """Segments of binary subtitle files (path, content), files in parallel; a file
     that cannot be read gives one row with its error."""
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["path", "offset", "pts", "type", "payload", "error"])
+        return out.astype({"offset": "Int64", "pts": "Int64", "type": "Int32"})
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            # short files together, a frame for many of them
+            rows, size = [], 0
             for path, content in zip(pdf["path"], pdf["content"]):
                 segs, error = walk_segments(bytes(content))
-                rows = [(path, *s, None) for s in segs] or [(path, None, None, None, None, error or "empty file")]
-                out = pd.DataFrame(rows, columns=["path", "offset", "pts", "type", "payload", "error"])
-                yield out.astype({"offset": "Int64", "pts": "Int64", "type": "Int32"})
+                rows += [(path, *s, None) for s in segs] or [(path, None, None, None, None, error or "empty file")]
+                size += len(content)
+                if len(rows) >= FRAME_ROWS or size >= FRAME_BYTES:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
 
     return files.select("path", "content").mapInPandas(walk, SEGMENTS)
 
