@@ -19,11 +19,13 @@ import gc
 import math
 import re
 import zlib
+from itertools import chain, pairwise
 from operator import itemgetter
 from random import Random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from shotlake.llm.common import row_key, worker_cache
 from shotlake.llm.tokens import tokenizer_file
 
 UNIT = re.compile(r" +[^ ]*")
-SHORT, LONG, MOST_LISTED, MOST_ATOMS, PLAIN, AT_ONCE = 4, 64, 1 << 15, 400_000, 60, 200
+SHORT, LONG, MOST_LISTED, MOST_WORDS, MOST_LATTICES, PLAIN, AT_ONCE, BULK = 4, 64, 1 << 15, 120_000, 1_000, 60, 200, 8_000
 FIRST = itemgetter(0)
 POWER, OFFSET, SAMPLES = 1.5, 10.0, 2
 SCALE = 5.0
@@ -48,6 +50,12 @@ def spelled_hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def in_a_row(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of `sizes` from `starts` on, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Pieces:
     """The pieces of a SentencePiece model with log-weights -POWER * log(rank + OFFSET); pieces without a rank, and
     bytes, count as the rarest."""
@@ -70,7 +78,11 @@ class Pieces:
                 self.ids[text], self.spelled[i] = i, text.encode()
             self.weight[i] = -POWER * math.log(min(rank, n) + OFFSET)
         self.weights = self.weight.tolist()
-        self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        pairs = sorted({p[i:i + 2] for p in self.ids for i in range(len(p) - 1)})
+        self.pairs = np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64)
+        self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.sizes = np.array(list(map(len, self.spelled)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         # every beginning of a piece; with the ids and the weight, scaled by its length, where it is one
         self.table: dict[str, tuple | None] = {p[:i]: None for p in self.ids for i in range(1, len(p))}
         self.table |= {p: ((i,), math.exp(self.weight[i] + SCALE * len(p))) for p, i in self.ids.items()}
@@ -88,7 +100,7 @@ class Pieces:
         return spelled, math.exp(float(self.weight[list(spelled)].sum()) + SCALE)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode()[1:]
+        return self.flat[in_a_row(self.starts[ids], self.sizes[ids])].tobytes().decode()[1:]
 
 
 class Atom:
@@ -216,7 +228,9 @@ def bulk_best(pieces: Pieces, texts: list[str], k: int) -> tuple[np.ndarray, np.
     text_of, first = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
     ends = (first + sizes)[text_of]
     # edges: pieces by start and end; node i + text is the place before character i, the one after a text comes last
-    live, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+    live, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    n_nodes = len(codes) + len(texts)
+    ending = np.full((n_nodes, len(pieces.by_length) + 1), -1, np.int32)  # the piece of each size that ends at a node
     for size, (known, ids) in enumerate(pieces.by_length, 1):
         live_ok = live + size <= ends[live]
         live, h = live[live_ok], h[live_ok]
@@ -228,14 +242,14 @@ def bulk_best(pieces: Pieces, texts: list[str], k: int) -> tuple[np.ndarray, np.
         hit = known[at] == h
         live, h, at = live[hit], h[hit], ids[at[hit]]
         piece = at >= 0
-        found.append((live[piece], np.full(int(piece.sum()), size), at[piece]))
-    begin, size, piece = map(np.concatenate, zip(*found))
-    node = begin + text_of[begin]
-    to, depth = node + size, begin - first[text_of[begin]] + size
-    order = np.lexsort((to, depth))
-    node, to, piece, depth = node[order], to[order], piece[order], depth[order]
+        ending[live[piece] + text_of[live[piece]] + size, size] = at[piece]
+    to, size = np.nonzero(ending >= 0)
+    place = np.arange(n_nodes) - np.repeat(first + np.arange(len(texts)), sizes + 1)  # of a node in its text
+    depth = place[to].astype(np.uint16)
+    order = np.argsort(depth, kind="stable")
+    to, size, depth = to[order], size[order], depth[order]
+    node, piece = to - size, ending[to, size]
     log_w = pieces.weight[piece]
-    n_nodes = len(codes) + len(texts)
     start_node = first + np.arange(len(texts))
     end_node = start_node + sizes
     total, count = np.full(n_nodes, -np.inf), np.zeros(n_nodes)
@@ -253,17 +267,21 @@ def bulk_best(pieces: Pieces, texts: list[str], k: int) -> tuple[np.ndarray, np.
         share = np.exp(out - np.repeat(top, np.diff(np.concatenate([group, [b - a]]))))
         total[target[group]] = top + np.log(np.add.reduceat(share, group))
         count[target[group]] = np.add.reduceat(count[source], group)
-        ways = (score[source] + log_w[a:b, None]).ravel()
-        use = np.flatnonzero(np.isfinite(ways))
-        which = np.repeat(target, k)[use]
-        order = use[np.lexsort((-ways[use], which))]
-        which = np.repeat(target, k)[order]
-        opens = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])
-        rank = np.arange(len(which)) - np.repeat(opens, np.diff(np.concatenate([opens, [len(which)]])))
-        keep = rank < k
-        order, which, rank = order[keep], which[keep], rank[keep]
-        score[which, rank] = ways[order]
-        from_edge[which, rank], from_rank[which, rank] = a + order // k, order % k
+        # the best way left is picked k times for each target, the next best over its edge takes its place
+        w, heads, group_of = log_w[a:b], target[group], np.repeat(np.arange(len(group)), np.diff(np.append(group, b - a)))
+        now, used = score[source, 0] + w, np.zeros(b - a, np.int8)
+        for r in range(k):
+            best = np.maximum.reduceat(now, group)
+            pick = np.flatnonzero(now == np.where(best > -np.inf, best, np.nan)[group_of])
+            if not len(pick):
+                break
+            which = group_of[pick]
+            one = np.append(True, which[1:] != which[:-1])
+            pick, which = pick[one], heads[which[one]]
+            score[which, r], from_edge[which, r], from_rank[which, r] = now[pick], a + pick, used[pick]
+            used[pick] += 1
+            more = used[pick] < k
+            now[pick] = np.where(more, score[source[pick], used[pick] * more], -np.inf) + w[pick]
     text, rank = np.nonzero(np.isfinite(score[end_node]))
     log_p = np.minimum(score[end_node[text], rank] - total[end_node[text]], 0.0)
     # back from the ends, all paths together
@@ -281,8 +299,17 @@ def bulk_best(pieces: Pieces, texts: list[str], k: int) -> tuple[np.ndarray, np.
     return text, log_p, paths[real], real.sum(axis=1), count[end_node] <= k
 
 
+def split(text: str) -> list[str]:
+    """A text in words, each with the space before it."""
+    return UNIT.findall(" " + text)
+
+
+# a first choice for each atom; for each choice its probability with those before it, logs of its own and of 1 less it, and its ids
+TABLES = {"first": np.int64, "up_to": float, "log_p": float, "log_rest": float, "start": np.int32, "length": np.int32, "ids": np.int32}
+
+
 class Sampler:
-    """Tables of atoms, one after the other; choice c of atom a lies where a + (probability up to it) does."""
+    """Tables of atoms, one after the other; `up_to` is the probability of an atom's choices up to and with each."""
 
     def __init__(self, file: str):
         self.pieces = Pieces(file)
@@ -290,34 +317,59 @@ class Sampler:
 
     def clear(self) -> None:
         self.units: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
         self.atoms: dict[int, Atom] = {}
         self.n, self.n_ids = 0, 0
-        self.up_to, self.log_p, self.log_rest = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16)
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.int32)
-        self.first: list[int] = []
-
-    def _room(self, choices: int, ids: int) -> None:
-        while self.n + choices > len(self.up_to):
-            for name in ("up_to", "log_p", "log_rest", "start", "length"):
-                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-        while self.n_ids + ids > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        for name, kind in TABLES.items():
+            setattr(self, name, np.zeros(1 << 14, kind))
+
+    def forget(self) -> None:
+        """Leave only words that came again since the last time, and the tables of their atoms."""
+        kept = [(u, row) for u, row in self.units.items() if u in self.again]
+        if 2 * len(kept) > MOST_WORDS:
+            kept = []
+        row = np.frombuffer(b"".join([row for _, row in kept]), np.int32)
+        atoms, row = np.unique(row, return_inverse=True)
+        texts, held = [self.texts[i] for i in atoms.tolist()], {name: getattr(self, name) for name in TABLES}
+        ends = np.append(self.first[:len(self.texts)], self.n)
+        width = np.diff(ends)[atoms]
+        at = in_a_row(ends[atoms], width)
+        listed = np.maximum(held["length"][at], 0)
+        ids = held["ids"][in_a_row(held["start"][at], listed)]
+        self.clear()
+        self._room(len(atoms), len(at), len(ids))
+        self.texts, self.known, self.n, self.n_ids = texts, dict(zip(texts, range(len(texts)))), len(at), len(ids)
+        self.first[:len(atoms)], self.ids[:len(ids)] = np.cumsum(width) - width, ids
+        for name in ("up_to", "log_p", "log_rest", "length"):
+            getattr(self, name)[:len(at)] = held[name][at]
+        self.start[:len(at)] = np.cumsum(listed) - listed
+        row, edges = row.astype(np.int32).tobytes(), np.cumsum([0, *(len(r) for _, r in kept)]).tolist()
+        self.units = {u: row[a:b] for (u, _), (a, b) in zip(kept, pairwise(edges))}
+
+    def _room(self, atoms: int, choices: int, ids: int) -> None:
+        for most, names in ((len(self.texts) + atoms, ("first",)), (self.n_ids + ids, ("ids",)),
+                            (self.n + choices, ("up_to", "log_p", "log_rest", "start", "length"))):
+            for name in names:
+                held = getattr(self, name)
+                if most > len(held):
+                    wider = np.zeros(max(most, len(held) * 3 // 2), held.dtype)
+                    wider[:len(held)] = held
+                    setattr(self, name, wider)
 
     def _add(self, texts: list[str], text: np.ndarray, log_p: np.ndarray, ids: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> None:
         """Tables for new atoms: their listed segmentations, and a last choice for the rest where there is one."""
         base, m = len(self.texts), len(texts)
         listed = np.bincount(text, minlength=m)
         width = listed + ~whole
-        self._room(int(width.sum()), len(ids))
+        self._room(m, int(width.sum()), len(ids))
         begin = self.n + np.cumsum(width) - width
         at = np.arange(len(text)) - np.repeat(np.cumsum(listed) - listed, listed) + begin[text]
         p = np.exp(log_p)
         sums = np.cumsum(p)
         up_to = sums - np.repeat((sums - p)[np.cumsum(listed) - listed], listed)
-        self.up_to[at] = base + text + np.minimum(up_to, 1.0)
+        self.up_to[at] = np.minimum(up_to, 1.0)
         self.log_p[at] = log_p
         only = whole[text] & (listed[text] == 1)
         with np.errstate(divide="ignore"):
@@ -325,56 +377,65 @@ class Sampler:
         self.start[at] = self.n_ids + np.cumsum(sizes) - sizes
         self.length[at] = sizes
         last = begin + width - 1
-        self.up_to[last] = base + np.arange(m) + 1
+        self.up_to[last] = 1.0
         rest = last[~whole]
         self.log_p[rest], self.log_rest[rest], self.start[rest], self.length[rest] = 0.0, 0.0, 0, -1
         self.ids[self.n_ids:self.n_ids + len(ids)] = ids
         self.n, self.n_ids = self.n + int(width.sum()), self.n_ids + len(ids)
-        self.first += begin.tolist()
+        self.first[base:base + m] = begin
         self.known.update(zip(texts, range(base, base + m)))
         self.texts += texts
 
-    def learn(self, texts: list[str]) -> None:
-        """Make tables for all atoms of `texts` that have none; when there are too many, start anew."""
-        if len(self.texts) > MOST_ATOMS or len(self.units) > MOST_ATOMS:
-            self.clear()
-        pairs, known, cuts, new = self.pieces.pairs, self.known, {}, {}
-        for t in texts:
-            for u in UNIT.findall(" " + t):
-                if u not in self.units and u not in cuts:
-                    cut = [0, *(i for i in range(1, len(u)) if u[i - 1:i + 1] not in pairs), len(u)]
-                    parts = cuts[u] = [u[a:b] for a, b in zip(cut, cut[1:])]
-                    new.update((x, None) for x in parts if x not in known)
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make tables for all atoms of `texts`, split into words, that have none. When there are too many, those of words met once go."""
+        if len(self.units) > MOST_WORDS or len(self.texts) > MOST_WORDS:
+            self.forget()
+        known, units, found = self.known, self.units, dict.fromkeys(chain.from_iterable(texts))
+        words = [u for u in found if u not in units]
+        self.again.update(found.keys() - words)
+        if not words:
+            return
+        # cut words where two neighbours are neighbours in no piece
+        sizes = np.array(list(map(len, words)))
+        ends, joined = np.cumsum(sizes), "".join(words)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair, pairs = codes[:-1] << 21 | codes[1:], self.pieces.pairs
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
+        cut[ends] = True
+        cuts = np.flatnonzero(cut)
+        parts = [joined[a:b] for a, b in pairwise(cuts.tolist())]
+        new = [x for x in dict.fromkeys(parts) if x not in known]
         plain = [x for x in new if len(x) <= PLAIN and self.pieces.single.issuperset(x)]
-        for lo in range(0, len(plain), 20_000):
-            self._add(plain[lo:lo + 20_000], *bulk_best(self.pieces, plain[lo:lo + 20_000], SHORT))
+        for lo in range(0, len(plain), BULK):
+            self._add(plain[lo:lo + BULK], *bulk_best(self.pieces, plain[lo:lo + BULK], SHORT))
         for x in new:
             if x not in known:  # long ones, and characters that are spelled in bytes
                 best, whole = Atom(self.pieces, x).best(SHORT)
                 self._add([x], np.zeros(len(best), np.int64), np.array([q for q, _ in best]), np.array([i for _, path in best for i in path]),
                           np.array([len(path) for _, path in best]), np.array([whole]))
-        for u, parts in cuts.items():
-            self.units[u] = np.array([known[x] for x in parts], np.int32).tobytes()
+        row = np.array([known[x] for x in parts], np.int32).tobytes()
+        edges = [0, *(4 * np.searchsorted(cuts, ends)).tolist()]
+        units.update(zip(words, [row[a:b] for a, b in pairwise(edges)]))
 
-    def atoms_of(self, text: str) -> np.ndarray:
-        units = UNIT.findall(" " + text)
+    def atoms_of(self, words: list[str]) -> np.ndarray:
         try:
-            row = b"".join(map(self.units.__getitem__, units))
+            row = b"".join(map(self.units.__getitem__, words))
         except KeyError:
-            self.learn([text])
-            row = b"".join(map(self.units.__getitem__, units))
+            self.learn([words])
+            row = b"".join(map(self.units.__getitem__, words))
         return np.frombuffer(row, np.int32)
 
     def listed(self, at: int) -> set[tuple[int, ...]]:
         """The segmentations of an atom that are in the tables."""
-        end = self.first[at + 1] if at + 1 < len(self.first) else self.n
+        end = self.first[at + 1] if at + 1 < len(self.texts) else self.n
         return {self._path(c) for c in range(self.first[at], end) if self.length[c] >= 0}
 
     def atom(self, at: int) -> Atom:
         """The lattice of an atom whose rest is asked for; kept while there are not too many."""
         got = self.atoms.get(at)
         if got is None:
-            if len(self.atoms) > 10_000:
+            if len(self.atoms) > MOST_LATTICES:
                 self.atoms.clear()
             got = self.atoms[at] = Atom(self.pieces, self.texts[at])
         return got
@@ -383,7 +444,9 @@ class Sampler:
 
     def _draw(self, atoms: np.ndarray, rng: np.random.Generator, random) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
         """A choice for each atom: its place in the tables, log p, log (1 - p), and the paths of those not in them."""
-        at = np.searchsorted(self.up_to[: self.n], atoms + rng.random(len(atoms)), "right")
+        x, at = rng.random(len(atoms)), self.first[atoms]
+        for _ in range(SHORT):  # the last choice of an atom ends at 1, above every x
+            at += self.up_to[at] <= x
         log_p, log_rest, odd = self.log_p[at], self.log_rest[at], {}
         for i in np.flatnonzero(self.length[at] < 0).tolist():
             a = int(atoms[i])
@@ -399,43 +462,45 @@ class Sampler:
         sizes = self.length[at]
         for i, path in odd.items():
             sizes[i] = len(path)
-        ends = np.cumsum(sizes)
-        out_start = ends - sizes
-        place = np.repeat(self.start[at] - out_start, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        out = self.ids[np.minimum(place, len(self.ids) - 1)]
-        for i, path in odd.items():
-            out[out_start[i]:ends[i]] = path
+        out = self.ids[np.minimum(in_a_row(self.start[at], sizes), len(self.ids) - 1)]
+        if odd:
+            ends = np.cumsum(sizes)
+            for i, path in odd.items():
+                out[ends[i] - len(path):ends[i]] = path
         return out
 
-    def sample(self, text: str, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
+    def sample(self, text: str, seed: int, k: int, words: list[str] | None = None) -> list[tuple[np.ndarray, float, float, float]]:
         """Up to `k` distinct segmentations (ids, log-probability, perturbed value, log of the inclusion score),
-        fewer only if the text has fewer. The score is the chance of a value above the first one left out."""
+        fewer only if the text has fewer. The score is the chance of a value above the first one left out.
+        `words` is the text as `split` gives it, if that is known."""
         if not text:
             return [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
         rng, random = np.random.default_rng(seed), Random(seed).random
-        atoms = self.atoms_of(text)
+        atoms = self.atoms_of(split(text) if words is None else words)
         n, out, sets = len(atoms), [], []
 
-        def cut_off(most: float, log_mass: np.ndarray) -> np.ndarray:
-            """Largest perturbed values of sets of these masses, known to stay below `most`."""
-            noise = -np.log(-np.log(rng.uniform(1e-300, 1, len(log_mass))))
-            with np.errstate(invalid="ignore"):
-                return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-most, -(log_mass + noise)))
+        def noisy(log_mass: np.ndarray) -> np.ndarray:
+            return log_mass - np.log(-np.log(rng.uniform(1e-300, 1, len(log_mass))))
 
-        def add(begin: int, at, log_p, odd, values, without) -> None:
-            sets.append((begin, at, log_p, odd, values, without))
+        def cut_off(most: float, noisy: np.ndarray) -> float:
+            """The largest perturbed value of these sets, known to stay below `most`; it grows with the noisy mass."""
+            top = float(noisy.max())
+            return top if top == -math.inf else -float(np.logaddexp(-most, -top))
+
+        def add(begin: int, at, log_p, odd, values, without, most) -> None:
+            sets.append((begin, at, log_p, odd, values, without, most))
 
         most = float(-math.log(-math.log(rng.uniform(1e-300, 1))))
         at, log_p, log_rest, odd = self._draw(atoms, rng, random)
         before = np.cumsum(log_p) - log_p
-        add(0, at, log_p, odd, cut_off(most, before + log_rest), None)
+        add(0, at, log_p, odd, noisy(before + log_rest), None, most)
         out.append((at, odd, float(log_p.sum()), most))
         while len(out) < k:
-            tops = [float(s[4].max()) for s in sets]
+            tops = [cut_off(s[6], s[4]) for s in sets]
             s = int(np.argmax(tops))
             if tops[s] == -math.inf:
                 break
-            begin, at0, log_p0, odd0, values, without = sets[s]
+            begin, at0, log_p0, odd0, values, without, _ = sets[s]
             i, most = int(np.argmax(values)), tops[s]
             values[i] = -np.inf
             gone = set(without or ()) if i == begin and without else set()
@@ -450,10 +515,10 @@ class Sampler:
             mass = atom.left(gone)
             before = np.cumsum(log_p) - log_p
             values = np.full(n, -np.inf)
-            values[i:] = cut_off(most, np.concatenate([[before[i] + (math.log(mass) if mass > 0 else -math.inf)], before[i + 1:] + log_rest2]))
-            add(i, at, log_p, odd, values, gone)
+            values[i:] = noisy(np.concatenate([[before[i] + (math.log(mass) if mass > 0 else -math.inf)], before[i + 1:] + log_rest2]))
+            add(i, at, log_p, odd, values, gone, most)
             out.append((at, odd, float(log_p.sum()), most))
-        bar = max(float(s[4].max()) for s in sets)
+        bar = max(cut_off(s[6], s[4]) for s in sets)
         return [(self._spell(at, odd), x, g, self._included(x - bar)) for at, odd, x, g in out]
 
     @staticmethod
@@ -471,6 +536,11 @@ def sampler(file: str) -> Sampler:
     return held[file]
 
 
+def places(sizes) -> pa.Array:
+    """Where each list starts, and the end."""
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
 def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k.model", ids: bool = True) -> DataFrame:
     """`docs` (doc_id, text, any others) with a row for each of up to `k` sampled segmentations of the whole text, and the
     column `pieces` (sample from 1, n, ids if asked for, ids_crc32, log_prob, gumbel, log_inclusion, decoded: whether the ids spell the text).
@@ -481,27 +551,34 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k
     """
     kind = "array<struct<sample:int, n:int, " + "ids:array<int>, " * ids + "ids_crc32:long, log_prob:double, gumbel:double, log_inclusion:double, decoded:boolean>>"
 
-    def encode(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-        tool, out = sampler(file), []
+    def encode(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+        tool, rows, got_ids, n_rows = sampler(file), [], [], []
         gc.disable()  # tables of tuples only, no cycles; looking for some among them would take a third of the time
-        texts = [t or "" for t in texts]
-        for j, (text, seed) in enumerate(zip(texts, seeds)):
-            if j % AT_ONCE == 0:
-                tool.learn(texts[j:j + AT_ONCE])
-            rows = []
-            for i, (got, x, g, q) in enumerate(tool.sample(text, seed & ((1 << 63) - 1), k)):
-                row = {"sample": i + 1, "n": len(got)} | ({"ids": got} if ids else {})
-                rows.append(row | {"ids_crc32": zlib.crc32(got.astype("<u4").tobytes()), "log_prob": x, "gumbel": g, "log_inclusion": q,
-                                   "decoded": tool.pieces.decode(got) == text})
-            out.append(rows)
+        texts, seeds = [t or "" for t in texts.to_pylist()], seeds.to_pylist()
+        for lo in range(0, len(texts), AT_ONCE):
+            words = [split(t) for t in texts[lo:lo + AT_ONCE]]
+            tool.learn(words)
+            for text, seed, its in zip(texts[lo:lo + AT_ONCE], seeds[lo:lo + AT_ONCE], words):
+                samples = tool.sample(text, seed & ((1 << 63) - 1), k, its)
+                n_rows.append(len(samples))
+                for i, (got, x, g, q) in enumerate(samples, 1):
+                    got = got.astype("<i4", copy=False)
+                    rows.append((i, len(got), zlib.crc32(got), x, g, q, tool.pieces.decode(got) == text))
+                    got_ids.append(got if ids else None)
         gc.enable()
-        return pd.Series(out)
+        sample, n, crc, log_p, gumbel, included, decoded = zip(*rows) if rows else [()] * 7
+        columns = {"sample": pa.array(sample, pa.int32()), "n": pa.array(n, pa.int32())}
+        if ids:
+            columns["ids"] = pa.ListArray.from_arrays(places(n), pa.array(np.concatenate(got_ids) if rows else [], pa.int32()))
+        columns |= {"ids_crc32": pa.array(crc, pa.int64()), "log_prob": pa.array(log_p, pa.float64()), "gumbel": pa.array(gumbel, pa.float64()),
+                    "log_inclusion": pa.array(included, pa.float64()), "decoded": pa.array(decoded, pa.bool_())}
+        return pa.ListArray.from_arrays(places(n_rows), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
     # segmentations take several times the room of their texts, so a worker gets few texts at a time
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     text = F.col("text").cast("string")
     others = [F.col(c) for c in docs.columns if c != "pieces"]
-    return docs.select(*others, F.explode(F.pandas_udf(encode, kind)(text, F.xxhash64(row_key(F.col("doc_id"), text)))).alias("pieces"))
+    return docs.select(*others, F.explode(F.arrow_udf(encode, kind)(text, F.xxhash64(row_key(F.col("doc_id"), text)))).alias("pieces"))
 
 
 def decode_pieces(rows: DataFrame, column: str = "ids", file: str = "piece_bpe_32k.model") -> DataFrame:

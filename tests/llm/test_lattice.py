@@ -113,3 +113,20 @@ def test_frame(spark):
     back = L.decode_pieces(L.encode_samples(docs, 1).select("doc_id", "text", F.col("pieces.ids").alias("ids"))).collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert L.encode_samples(docs.limit(0), 2).count() == 0
+
+
+def test_forgets_words_met_once(monkeypatch):
+    """Full tables keep the words that came again, and samples stay those of tables that hold everything."""
+    monkeypatch.setattr(L, "MOST_WORDS", 40)
+    small, whole = L.Sampler("piece_bpe_32k.model"), L.Sampler("piece_bpe_32k.model")
+    random.seed(3)
+    texts = ["the thing " + " ".join("".join(random.choice("thingérs") for _ in range(random.randint(1, 9))) for _ in range(12)) for _ in range(60)]
+    most = 0
+    for seed, text in enumerate(texts):
+        got = small.sample(text, seed, 3)
+        most = max(most, len(small.units))
+        with monkeypatch.context() as m:
+            m.setattr(L, "MOST_WORDS", 1 << 30)
+            want = whole.sample(text, seed, 3)
+        assert [(tuple(a[0].tolist()), a[1:]) for a in got] == [(tuple(a[0].tolist()), a[1:]) for a in want]
+    assert most <= 40 + 14 and len(whole.units) > 400 and {" the", " thing"} <= small.units.keys()
