@@ -103,7 +103,7 @@ class ByteLevel:
 
 def byte_level(file: str) -> ByteLevel:
     """The tokenizer of this worker."""
-    held = worker_cache("byte_level")
+    held = worker_cache("tokenizers")
     if file not in held:
         held[file] = ByteLevel(file)
     return held[file]
@@ -133,7 +133,7 @@ class Ranked(ByteLevel):
 
 
 def ranked(file: str) -> Ranked:
-    held = worker_cache("ranked")
+    held = worker_cache("tokenizers")
     if file not in held:
         held[file] = Ranked(file)
     return held[file]

@@ -73,3 +73,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_worker_holds_one_operator_s_tables():
+    from shotlake.llm.common import worker_cache
+
+    worker_cache("words")["the"] = 1
+    worker_cache("lattice")["file"] = 2
+    assert worker_cache("lattice") == {"file": 2} and worker_cache("words") == {}
