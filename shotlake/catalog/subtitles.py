@@ -21,7 +21,6 @@ emp AS (SELECT e.*, CASE WHEN matroska THEN CASE WHEN q % 5 = 0 OR pk % 3 = 0 TH
   WHEN nb = '3' THEN false WHEN dts = 'N/A' THEN NULL WHEN dts <> '0' THEN false WHEN NOT timed THEN NULL ELSE true END AS empty FROM e JOIN timed USING (file))"""
 
 
-@v.written
 def _streams(spark, sf):
     items = table(spark, sf, "lineitem")
     rows = v._numbered(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 4096.0, "pos")
@@ -46,7 +45,7 @@ def _judged(spark, sf):
 
 @query("empty_streams", f"WITH {STREAMS} SELECT file, pos, empty FROM emp")
 def empty_streams(spark, sf):
-    return op.empty_streams(_streams(spark, sf)).select("file", "pos", "empty")
+    return _judged(spark, sf).select("file", "pos", "empty")
 
 
 @query("keep_streams", f"""WITH {STREAMS} SELECT file, pos, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS new_pos FROM emp WHERE NOT coalesce(empty, false)""")

@@ -59,11 +59,11 @@ def empty_streams(streams: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
     states a duration at all. `matroska` tells the container.
     """
     digits = r"^\s*\d+\s*$"
-    timed = streams.groupBy(*key).agg(F.max(F.coalesce(
-        F.trim("duration_ts").rlike(r"^\d+$") & (F.trim("duration_ts").try_cast("decimal(38,0)") > 0),
-        F.lit(False))).alias("_timed"))
-    # as many files as the library has: never collected for a broadcast
-    subs = streams.filter(F.col("codec_type") == "subtitle").join(timed.hint("merge"), [*key])
+    stated = F.trim("duration_ts").rlike(r"^\d+$") & (F.trim("duration_ts").try_cast("decimal(38,0)") > 0)
+    # a window over the file and no join: the streams are shuffled once, and not at all if they come by file
+    known = streams.dropna("any", None, [*key]).withColumn("_stated", F.coalesce(stated, F.lit(False)))
+    timed = ordered_scan(known, key, ["pos"], width=STREAMS, totals={"_timed": ("max", "_stated")})
+    subs = timed.filter(F.col("codec_type") == "subtitle")
     counts = F.map_values(F.map_filter("tags", lambda k, v: F.lower(k).rlike(r"^number_of_frames(-.*)?$")))
     numbers = F.transform(counts, lambda v: F.when(v.rlike(digits), F.trim(v).try_cast("long")))
     most = F.array_max(numbers)
@@ -78,7 +78,7 @@ def empty_streams(streams: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
             ts.try_cast("decimal(38,0)") > 0, "duration").when(~F.col("_timed"), "file states no duration").otherwise(
             "zero duration"))
     return subs.withColumn("empty", F.when(F.col("matroska"), tagged).otherwise(sampled)).withColumn(
-        "why", why).drop("_timed")
+        "why", why).drop("_timed", "_stated")
 
 
 def keep_streams(streams: DataFrame, drop: bool = True, key: Sequence[str] = FILE) -> DataFrame:

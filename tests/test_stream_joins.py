@@ -1,6 +1,7 @@
 """Joins of stream lists, which grow with the library, against plain results; none may go through the driver."""
 
 from shotlake.operators import subtitles as op
+from shotlake.plans import position
 
 STREAM = ("file string, pos long, codec_type string, codec string, language string, default boolean, forced boolean, flags string, "
           "matroska boolean, tags map<string,string>, nb_frames string, duration_ts string")
@@ -39,3 +40,25 @@ def test_second_tool_fills_without_a_broadcast(spark):
     rows, broadcast = collected(op.zip_streams(op.empty_streams(streams(spark)), tracks))
     assert {(r.file, r.pos): r.empty for r in rows} == {("a", 0): False, ("a", 1): True, ("a", 4): None, ("b", 0): None, ("b", 1): None, ("c", 0): False}
     assert not broadcast
+
+
+def test_streams_are_judged_by_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([(f, p, f == "b" and p == 1) for f in "abc" for p in (1, 0)], "file string, pos long, told boolean").write.parquet(str(tmp_path / "s"))
+    rows = spark.read.parquet(str(tmp_path / "s"))
+    rows = position(rows, ["file"], ["pos"], 4096, "nth").selectExpr(
+        "file", "nth AS pos", "'subtitle' AS codec_type", "false AS matroska", "CAST(map() AS MAP<STRING, STRING>) AS tags", "'1' AS nb_frames",
+        "IF(told, '7', '0') AS duration_ts")
+    judged = op.empty_streams(rows)
+    got = {(r.file, r.pos): (r.empty, r.why) for r in judged.collect()}
+    unknown = (None, "file states no duration")
+    assert got == {("a", 0): unknown, ("a", 1): unknown, ("b", 0): (True, "zero duration"), ("b", 1): (False, "duration"), ("c", 0): unknown, ("c", 1): unknown}
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    # positions and durations come from the same distribution by file
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_streams_of_large_and_unnamed_files(spark):
+    at = lambda f, n, told: [(f, p, "subtitle", "ass", "eng", False, False, "", False, {}, "1", "5" if p == told else "0") for p in range(n)]
+    rows = spark.createDataFrame(at("a", 70000, 69999) + at("b", 3, None) + at(None, 2, 0), STREAM)
+    got = op.empty_streams(rows).groupBy("file", "empty").count().collect()
+    assert {(r.file, r["empty"], r["count"]) for r in got} == {("a", True, 69999), ("a", False, 1), ("b", None, 3)}
