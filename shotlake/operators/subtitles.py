@@ -65,20 +65,22 @@ def empty_streams(streams: DataFrame, key: Sequence[str] = FILE) -> DataFrame:
     timed = ordered_scan(known, key, ["pos"], width=STREAMS, totals={"_timed": ("max", "_stated")})
     subs = timed.filter(F.col("codec_type") == "subtitle")
     counts = F.map_values(F.map_filter("tags", lambda k, v: F.lower(k).rlike(r"^number_of_frames(-.*)?$")))
-    numbers = F.transform(counts, lambda v: F.when(v.rlike(digits), F.trim(v).try_cast("long")))
-    most = F.array_max(numbers)
-    tagged = F.when(F.exists(numbers, lambda n: n.isNull()), None).when(F.size(numbers) == 0, None).otherwise(most == 0)
-    nb, ts = F.trim("nb_frames"), F.trim("duration_ts")
-    sampled = F.when(nb.rlike(r"^\d+$") & (nb.try_cast("long") > 1), False).when(~F.coalesce(ts.rlike(r"^\d+$"), F.lit(False)), None).when(
-        ts.try_cast("decimal(38,0)") > 0, False).when(~F.col("_timed"), None).otherwise(True)
-    why = F.when(F.col("matroska"), F.when(F.exists(numbers, lambda n: n.isNull()), "unparseable count").when(
+    numbers, nb = F.col("_numbers"), F.trim("nb_frames")
+    # columns, so that each pattern is tried once a row and not in every branch that asks for it
+    subs = subs.withColumns({
+        "_numbers": F.transform(counts, lambda v: F.when(v.rlike(digits), F.trim(v).try_cast("long"))),
+        "_many": F.coalesce(nb.rlike(r"^\d+$") & (nb.try_cast("long") > 1), F.lit(False)),
+        "_told": F.coalesce(F.trim("duration_ts").rlike(r"^\d+$"), F.lit(False))})
+    subs = subs.withColumns({"_broken": F.exists(numbers, lambda n: n.isNull()), "_most": F.array_max(numbers)})
+    broken, most, stated = F.col("_broken"), F.col("_most"), F.col("_stated")
+    tagged = F.when(broken, None).when(F.size(numbers) == 0, None).otherwise(most == 0)
+    sampled = F.when(F.col("_many"), False).when(~F.col("_told"), None).when(stated, False).when(~F.col("_timed"), None).otherwise(True)
+    why = F.when(F.col("matroska"), F.when(broken, "unparseable count").when(
         F.size(numbers) == 0, "no count").otherwise(F.concat(F.lit("count="), most.cast("string")))).otherwise(
-        F.when(nb.rlike(r"^\d+$") & (nb.try_cast("long") > 1), "samples").when(
-            ~F.coalesce(ts.rlike(r"^\d+$"), F.lit(False)), "no duration").when(
-            ts.try_cast("decimal(38,0)") > 0, "duration").when(~F.col("_timed"), "file states no duration").otherwise(
-            "zero duration"))
-    return subs.withColumn("empty", F.when(F.col("matroska"), tagged).otherwise(sampled)).withColumn(
-        "why", why).drop("_timed", "_stated")
+        F.when(F.col("_many"), "samples").when(~F.col("_told"), "no duration").when(stated, "duration").when(
+            ~F.col("_timed"), "file states no duration").otherwise("zero duration"))
+    return subs.withColumns({"empty": F.when(F.col("matroska"), tagged).otherwise(sampled), "why": why}).drop(
+        "_timed", "_stated", "_numbers", "_many", "_told", "_broken", "_most")
 
 
 def keep_streams(streams: DataFrame, drop: bool = True, key: Sequence[str] = FILE) -> DataFrame:

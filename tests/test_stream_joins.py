@@ -62,3 +62,19 @@ def test_streams_of_large_and_unnamed_files(spark):
     rows = spark.createDataFrame(at("a", 70000, 69999) + at("b", 3, None) + at(None, 2, 0), STREAM)
     got = op.empty_streams(rows).groupBy("file", "empty").count().collect()
     assert {(r.file, r["empty"], r["count"]) for r in got} == {("a", True, 69999), ("a", False, 1), ("b", None, 3)}
+
+
+def test_each_pattern_of_a_stream_is_tried_once(spark):
+    told = lambda tags, nb, ts, mkv: ("a", len(tags or {}), "subtitle", "ass", "eng", False, False, "", mkv, tags, nb, ts)
+    wide = "9" * 39
+    cases = [(told({"NUMBER_OF_FRAMES-eng": " 0 ", "number_of_frames": "7"}, "1", "0", True), False, "count=7"),
+             (told({"NUMBER_OF_FRAMES": "0"}, "9", "9", True), True, "count=0"), (told({"Number_Of_Frames-x": "n/a"}, "9", "9", True), None, "unparseable count"),
+             (told({"NUMBER_OF_FRAMES-eng": wide}, "1", "0", True), None, "unparseable count"), (told({"title": "0"}, "1", "0", True), None, "no count"),
+             (told(None, " 3 ", "x", False), False, "samples"), (told(None, wide, None, False), None, "no duration"),
+             (told(None, None, " 5 ", False), False, "duration"), (told(None, "1", wide, False), None, "file states no duration"),
+             (told(None, "1", "0", False), None, "file states no duration")]
+    rows = spark.createDataFrame([(f"{i}", *row[1:]) for i, (row, _, _) in enumerate(cases)], STREAM)
+    judged = op.empty_streams(rows)
+    assert {int(r.file): (r.empty, r.why) for r in judged.collect()} == {i: (e, w) for i, (_, e, w) in enumerate(cases)}
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("number_of_frames") == 1 and plan.count("RLIKE ^\\d+$") <= 4
