@@ -15,15 +15,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlake.plans.ordered import WHOLE, large_keys
+from shotlake.plans.ordered import ROWS, WHOLE, counted_keys, dealt
 
 BUCKETS = 1024
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],
-                   kind: str = "linear", buckets: int = BUCKETS, most: int = WHOLE) -> DataFrame:
+                   kind: str = "linear", buckets: int = BUCKETS, most: int = WHOLE, each: int = ROWS) -> DataFrame:
     """One row per key with the asked quantiles; NULL values are ignored.
 
+    Tasks get about `each` rows of whole keys.
     kind "linear" interpolates between the two neighbouring ranks (the usual
     median averages them); "upper" takes the value at index floor(n * p).
     """
@@ -31,12 +32,12 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, wanted: Mappi
     # as a struct, keys that are NULL keep their rows in the joins
     key = F.struct(*names) if names else F.lit(0)
     rows = df.filter(F.col(value).isNotNull()).select(*names, F.col(value).cast("double").alias("_v"))
-    large = large_keys(rows, names, most)
+    large, n = counted_keys(rows, names, most)
     if large is None:
-        return _whole(rows, names, wanted, kind)
+        return _whole(dealt(rows, names, n, each), names, wanted, kind)
     rows, large = rows.withColumn("_key", key), F.broadcast(large)
     some = _ranged(rows.join(large, "_key", "left_semi").withColumnRenamed("_key", "_k"), names, wanted, kind, buckets)
-    return _whole(rows.join(large, "_key", "left_anti"), names, wanted, kind).unionByName(some)
+    return _whole(dealt(rows.join(large, "_key", "left_anti"), names, n, each), names, wanted, kind).unionByName(some)
 
 
 def _whole(rows: DataFrame, names: list[str], wanted: Mapping[str, float], kind: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.plans import ordered_scan
+from shotlake.plans.ordered import ROWS
 from shotlake.sources.lines import LINE_ORDER, read_lines
 from shotlake.sources.title_files import write_titles
 
@@ -21,14 +22,17 @@ def parse_grain_table(lines: DataFrame, key: Sequence[str] = ("file",), order: S
     """Segments: an E line opens one, the key lines below it belong to it."""
     toks = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "")
     rows = lines.select(*key, *order, toks.alias("_t")).filter(F.size("_t") > 0)
-    rows = rows.withColumn("_e", (F.element_at("_t", 1) == "E").cast("long"))
-    rows = rows.withColumn("_times", F.when(F.col("_e") == 1, F.struct(
-        F.try_element_at("_t", F.lit(2)).try_cast("long").alias("t0"), F.try_element_at("_t", F.lit(3)).try_cast("long").alias("t1"))))
-    held = ordered_scan(rows, key, order, width=width, running={"_n": ("sum", "_e"), "_in": ("last", "_times")})
+    opens = F.element_at("_t", 1) == "E"
+    # numbers are shuffled, not texts; lines compress well, so tasks are filled by rows
+    rows = rows.select(
+        *key, *order, opens.cast("long").alias("_e"),
+        F.when(opens, F.struct(F.try_element_at("_t", F.lit(2)).try_cast("long").alias("t0"),
+                               F.try_element_at("_t", F.lit(3)).try_cast("long").alias("t1"))).alias("_times"),
+        F.when(~opens, F.element_at("_t", 1)).alias("key"),
+        F.when(~opens, F.transform(F.slice("_t", 2, F.size("_t")), lambda v: v.try_cast("int"))).alias("vals"))
+    held = ordered_scan(rows, key, order, width=width, running={"_n": ("sum", "_e"), "_in": ("last", "_times")}, each=ROWS)
     return held.filter((F.col("_n") > 0) & (F.col("_e") == 0)).select(
-        *key, (F.col("_n") - 1).alias("seg_id"), F.col("_in.t0").alias("t0"), F.col("_in.t1").alias("t1"),
-        F.element_at("_t", 1).alias("key"),
-        F.transform(F.slice("_t", 2, F.size("_t")), lambda v: v.try_cast("int")).alias("vals"))
+        *key, (F.col("_n") - 1).alias("seg_id"), F.col("_in.t0").alias("t0"), F.col("_in.t1").alias("t1"), "key", "vals")
 
 
 def read_grain_tables(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pandas as pd
 
 from shotlake.plans import exact_quantile, finite_fold, greedy_spacing, ordered_scan
+from shotlake.plans.ordered import dealt
 from pyspark.sql import functions as F
 
 
@@ -157,3 +158,19 @@ def test_lut_lookup_of_long_axes(spark):
             continue
         x, y = np.clip(float(x), 0, 3 * (n - 1)), np.clip(float(y), 0, 6)
         assert abs(out - (2 * x + 10 * y + 0.5 * x * y)) < 1e-6
+
+
+def test_rows_that_compress_well_are_dealt_by_rows(spark):
+    # few values: 64 MB of a shuffle would hold millions of them
+    df = spark.range(40000).selectExpr("id % 400 AS k", "id AS o", "id % 7 AS v")
+    plain = {r.k: r.m for r in exact_quantile(df, ["k"], "v", {"m": 0.5}).collect()}
+    by_rows = exact_quantile(df, ["k"], "v", {"m": 0.5}, each=2000)
+    assert {r.k: r.m for r in by_rows.collect()} == plain and by_rows.rdd.getNumPartitions() == 20
+    # few enough tasks for a shuffle that sorts nothing in memory, unless they would be large
+    assert [dealt(df, ["k"], n, 2000).rdd.getNumPartitions() for n in (1000000, 4000000)] == [200, 250]
+    for most in (1 << 16, 50):
+        spec = dict(width=1000.0, running={"s": ("sum", "v")}, lag={"l": "v"}, most=most)
+        scanned = ordered_scan(df, ["k"], ["o"], each=2000, **spec)
+        assert {tuple(r) for r in scanned.select("k", "o", "s", "l").collect()} == {tuple(r) for r in ordered_scan(df, ["k"], ["o"], **spec).select("k", "o", "s", "l").collect()}
+        assert scanned.rdd.getNumPartitions() == 20 and max(scanned.rdd.glom().map(len).collect()) < 6000
+    assert exact_quantile(df.filter("k < 0"), ["k"], "v", {"m": 0.5}).count() == 0
