@@ -19,7 +19,9 @@ import gc
 import math
 import re
 import zlib
-from itertools import chain, pairwise
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain, compress, islice, pairwise, repeat
 from operator import itemgetter
 from random import Random
 
@@ -137,7 +139,7 @@ class Atom:
                 ids, w = pieces.in_bytes(text[a])
                 ways[a + 1] += way * w
                 edges[a + 1].append((a, ids, way * w))
-        self.edges, self.ways, self.weight, self.lists = edges, ways, pieces.weights, {}
+        self.edges, self.ways, self.weight, self.lists, self.found = edges, ways, pieces.weights, {}, None
         self.log_total = math.log(ways[n]) + shift - SCALE * n
 
     def log_p(self, path: tuple[int, ...]) -> float:
@@ -184,15 +186,73 @@ class Atom:
         path = tuple([i for ids in reversed(out) for i in ids])
         return self.log_p(path), path
 
+    def _next(self, b: int) -> bool:
+        """List one more of the likeliest ways to `b`, if there is one; only as many ways to earlier places as that takes."""
+        held, heap, edges, weight = self.held, self.heaps[b], self.edges[b], self.weight
+        if not b:
+            return False
+        if held[b]:  # the way after the last one over the same edge
+            e, r = self.last[b]
+            a, ids, _ = edges[e]
+            if len(held[a]) > r + 1 or self._next(a):
+                w = weight[ids[0]] if len(ids) == 1 else sum([weight[i] for i in ids])
+                heappush(heap, (-(held[a][r + 1][0] + w), e, r + 1))
+        if not heap:
+            return False
+        x, e, r = heappop(heap)
+        a, ids, _ = edges[e]
+        held[b].append((-x, a, r, ids))
+        self.last[b] = e, r
+        return True
+
+    def in_order(self) -> Iterator[tuple[float, tuple[int, ...]]]:
+        """The segmentations as `best` lists them, each found when it is asked for."""
+        if self.found is None:
+            edges, weight = self.edges, self.weight
+            self.found, self.last = [], [(0, 0)] * len(edges)
+            self.held = [[(0.0, 0, 0, ())]] + [[] for _ in edges[1:]]
+            self.heaps: list[list] = [[]]
+            for b in range(1, len(edges)):
+                heap = [(-(self.held[a][0][0] + (weight[ids[0]] if len(ids) == 1 else sum([weight[i] for i in ids]))), e, 0)
+                        for e, (a, ids, _) in enumerate(edges[b])]
+                heapify(heap)
+                self.heaps.append(heap)
+                self._next(b)
+        yield from self.found
+        n, held = len(self.found), self.held
+        while n < len(held[-1]) or self._next(len(held) - 1):
+            _, b, r, ids = held[-1][n]
+            parts = [ids]
+            while b:
+                _, b, r, ids = held[b][r]
+                parts.append(ids)
+            path = tuple([i for ids in reversed(parts) for i in ids])
+            got = self.log_p(path), path
+            n += 1
+            if n > len(self.found):
+                self.found.append(got)
+            yield got
+
     def likeliest(self, k: int) -> tuple[list[tuple[float, tuple[int, ...]]], bool]:
         if k not in self.lists:
-            self.lists[k] = self.best(k)
+            if k > LONG or len(self.edges) > PLAIN:
+                self.lists[k] = self.best(k)
+            else:
+                some = list(islice(self.in_order(), k + 1))
+                self.lists[k] = some[:k], len(some) <= k
         return self.lists[k]
 
     def draw_other(self, random, without: set[tuple[int, ...]], mass: float) -> tuple[float, tuple[int, ...]]:
         """One segmentation that is not in `without`; all others have `mass`. Draws are repeated while that is likely to
         end soon; else it is looked up among the likeliest, of which more are listed until it is there."""
         k, u = LONG, random() * mass
+        if mass <= 0.05 and len(self.edges) <= PLAIN:  # mostly it is one of the first
+            rest = u
+            for x, path in islice(self.in_order(), k):
+                if path not in without:
+                    rest -= math.exp(x)
+                    if rest <= 0:
+                        return x, path
         while mass <= 0.05 and k <= MOST_LISTED:
             paths, whole = self.likeliest(k)
             left = [p for p in paths if p[1] not in without]
@@ -306,31 +366,33 @@ def split(text: str) -> list[str]:
 
 # a first choice for each atom; for each choice its probability with those before it, logs of its own and of 1 less it, and its ids
 TABLES = {"first": np.int64, "up_to": float, "log_p": float, "log_rest": float, "start": np.int32, "length": np.int32, "ids": np.int32}
+# for each word its atoms, in a row, and whether it came again
+WORDS = {"begin": np.int32, "width": np.int32, "again": bool, "row": np.int32}
 
 
 class Sampler:
     """Tables of atoms, one after the other; `up_to` is the probability of an atom's choices up to and with each."""
 
     def __init__(self, file: str):
-        self.pieces = Pieces(file)
+        self.pieces, self.most = Pieces(file), None
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.units: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
         self.atoms: dict[int, Atom] = {}
-        self.n, self.n_ids = 0, 0
-        for name, kind in TABLES.items():
+        self.n, self.n_ids, self.n_row = 0, 0, 0
+        for name, kind in (TABLES | WORDS).items():
             setattr(self, name, np.zeros(1 << 14, kind))
 
     def forget(self) -> None:
         """Leave only words that came again since the last time, and the tables of their atoms."""
-        kept = [(u, row) for u, row in self.units.items() if u in self.again]
-        if 2 * len(kept) > MOST_WORDS:
-            kept = []
-        row = np.frombuffer(b"".join([row for _, row in kept]), np.int32)
+        again = self.again[:len(self.units)]
+        if 2 * int(again.sum()) > self.limit():
+            again[:] = False
+        kept, sizes = list(compress(self.units, again.tolist())), self.width[:len(again)][again]
+        row = self.row[in_a_row(self.begin[:len(again)][again], sizes)]
         atoms, row = np.unique(row, return_inverse=True)
         texts, held = [self.texts[i] for i in atoms.tolist()], {name: getattr(self, name) for name in TABLES}
         ends = np.append(self.first[:len(self.texts)], self.n)
@@ -340,17 +402,29 @@ class Sampler:
         ids = held["ids"][in_a_row(held["start"][at], listed)]
         self.clear()
         self._room(len(atoms), len(at), len(ids))
+        self._words(kept, row.astype(np.int32), sizes)
         self.texts, self.known, self.n, self.n_ids = texts, dict(zip(texts, range(len(texts)))), len(at), len(ids)
         self.first[:len(atoms)], self.ids[:len(ids)] = np.cumsum(width) - width, ids
         for name in ("up_to", "log_p", "log_rest", "length"):
             getattr(self, name)[:len(at)] = held[name][at]
         self.start[:len(at)] = np.cumsum(listed) - listed
-        row, edges = row.astype(np.int32).tobytes(), np.cumsum([0, *(len(r) for _, r in kept)]).tolist()
-        self.units = {u: row[a:b] for (u, _), (a, b) in zip(kept, pairwise(edges))}
 
-    def _room(self, atoms: int, choices: int, ids: int) -> None:
-        for most, names in ((len(self.texts) + atoms, ("first",)), (self.n_ids + ids, ("ids",)),
-                            (self.n + choices, ("up_to", "log_p", "log_rest", "start", "length"))):
+    def limit(self) -> int:
+        return self.most or MOST_WORDS
+
+    def _words(self, words: list[str], row: np.ndarray, sizes: np.ndarray) -> None:
+        """New words, with the atoms of all in a row and how many each has."""
+        n, m = len(self.units), len(words)
+        self._room(0, 0, 0, m, len(row))
+        self.begin[n:n + m] = self.n_row + np.cumsum(sizes) - sizes
+        self.width[n:n + m], self.again[n:n + m] = sizes, False
+        self.row[self.n_row:self.n_row + len(row)] = row
+        self.n_row += len(row)
+        self.units.update(zip(words, range(n, n + m)))
+
+    def _room(self, atoms: int, choices: int, ids: int, words: int = 0, parts: int = 0) -> None:
+        for most, names in ((len(self.texts) + atoms, ("first",)), (self.n_ids + ids, ("ids",)), (self.n_row + parts, ("row",)),
+                            (len(self.units) + words, ("begin", "width", "again")), (self.n + choices, ("up_to", "log_p", "log_rest", "start", "length"))):
             for name in names:
                 held = getattr(self, name)
                 if most > len(held):
@@ -386,15 +460,25 @@ class Sampler:
         self.known.update(zip(texts, range(base, base + m)))
         self.texts += texts
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make tables for all atoms of `texts`, split into words, that have none. When there are too many, those of words met once go."""
-        if len(self.units) > MOST_WORDS or len(self.texts) > MOST_WORDS:
+    def atoms_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The atoms of each of `texts`, split into words. Atoms without tables get them; when there are too many, those of words met once go."""
+        if len(self.units) > self.limit() or len(self.texts) > self.limit():
             self.forget()
-        known, units, found = self.known, self.units, dict.fromkeys(chain.from_iterable(texts))
-        words = [u for u in found if u not in units]
-        self.again.update(found.keys() - words)
-        if not words:
-            return
+        words = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.units.get, words, repeat(-1)), np.int32, len(words))
+        new = at < 0
+        self.again[at[~new]] = True
+        if new.any():
+            found = list(compress(words, new.tolist()))
+            self._learn(list(dict.fromkeys(found)))
+            at[new] = np.fromiter(map(self.units.__getitem__, found), np.int32, len(found))
+        sizes = self.width[at]
+        row = self.row[in_a_row(self.begin[at], sizes)]
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, texts)])].tolist()
+        return [row[a:b] for a, b in pairwise(ends)]
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
         # cut words where two neighbours are neighbours in no piece
         sizes = np.array(list(map(len, words)))
         ends, joined = np.cumsum(sizes), "".join(words)
@@ -414,17 +498,8 @@ class Sampler:
                 best, whole = Atom(self.pieces, x).best(SHORT)
                 self._add([x], np.zeros(len(best), np.int64), np.array([q for q, _ in best]), np.array([i for _, path in best for i in path]),
                           np.array([len(path) for _, path in best]), np.array([whole]))
-        row = np.array([known[x] for x in parts], np.int32).tobytes()
-        edges = [0, *(4 * np.searchsorted(cuts, ends)).tolist()]
-        units.update(zip(words, [row[a:b] for a, b in pairwise(edges)]))
-
-    def atoms_of(self, words: list[str]) -> np.ndarray:
-        try:
-            row = b"".join(map(self.units.__getitem__, words))
-        except KeyError:
-            self.learn([words])
-            row = b"".join(map(self.units.__getitem__, words))
-        return np.frombuffer(row, np.int32)
+        edges = np.searchsorted(cuts, ends)
+        self._words(words, np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)), np.diff(edges, prepend=0))
 
     def listed(self, at: int) -> set[tuple[int, ...]]:
         """The segmentations of an atom that are in the tables."""
@@ -469,14 +544,14 @@ class Sampler:
                 out[ends[i] - len(path):ends[i]] = path
         return out
 
-    def sample(self, text: str, seed: int, k: int, words: list[str] | None = None) -> list[tuple[np.ndarray, float, float, float]]:
+    def sample(self, text: str, seed: int, k: int, atoms: np.ndarray | None = None) -> list[tuple[np.ndarray, float, float, float]]:
         """Up to `k` distinct segmentations (ids, log-probability, perturbed value, log of the inclusion score),
         fewer only if the text has fewer. The score is the chance of a value above the first one left out.
-        `words` is the text as `split` gives it, if that is known."""
+        `atoms` are those of the text, if they are known."""
         if not text:
             return [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
         rng, random = np.random.default_rng(seed), Random(seed).random
-        atoms = self.atoms_of(split(text) if words is None else words)
+        atoms = self.atoms_of([split(text)])[0] if atoms is None else atoms
         n, out, sets = len(atoms), [], []
 
         def noisy(log_mass: np.ndarray) -> np.ndarray:
@@ -541,24 +616,26 @@ def places(sizes) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
-def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k.model", ids: bool = True) -> DataFrame:
+def encode_samples(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k.model", ids: bool = True,
+                   held: int | None = None) -> DataFrame:
     """`docs` (doc_id, text, any others) with a row for each of up to `k` sampled segmentations of the whole text, and the
     column `pieces` (sample from 1, n, ids if asked for, ids_crc32, log_prob, gumbel, log_inclusion, decoded: whether the ids spell the text).
 
     The draw is seeded by doc_id, by the text where that is NULL, so repeated rows give equal samples, and it does not depend on the
     partitioning. NULL and empty texts have one segmentation, without pieces. An empty table gives an empty
-    one. `pieces` replaces a column of that name.
+    one. `pieces` replaces a column of that name. A worker holds tables of up to `held` words (MOST_WORDS), about 0.5 KB each;
+    the samples do not depend on it.
     """
     kind = "array<struct<sample:int, n:int, " + "ids:array<int>, " * ids + "ids_crc32:long, log_prob:double, gumbel:double, log_inclusion:double, decoded:boolean>>"
 
     def encode(texts: pa.Array, seeds: pa.Array) -> pa.Array:
         tool, rows, got_ids, n_rows = sampler(file), [], [], []
+        tool.most = held
         gc.disable()  # tables of tuples only, no cycles; looking for some among them would take a third of the time
         texts, seeds = [t or "" for t in texts.to_pylist()], seeds.to_pylist()
         for lo in range(0, len(texts), AT_ONCE):
-            words = [split(t) for t in texts[lo:lo + AT_ONCE]]
-            tool.learn(words)
-            for text, seed, its in zip(texts[lo:lo + AT_ONCE], seeds[lo:lo + AT_ONCE], words):
+            some = texts[lo:lo + AT_ONCE]
+            for text, seed, its in zip(some, seeds[lo:lo + AT_ONCE], tool.atoms_of([split(t) for t in some])):
                 samples = tool.sample(text, seed & ((1 << 63) - 1), k, its)
                 n_rows.append(len(samples))
                 for i, (got, x, g, q) in enumerate(samples, 1):

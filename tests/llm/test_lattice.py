@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -130,3 +131,22 @@ def test_forgets_words_met_once(monkeypatch):
             want = whole.sample(text, seed, 3)
         assert [(tuple(a[0].tolist()), a[1:]) for a in got] == [(tuple(a[0].tolist()), a[1:]) for a in want]
     assert most <= 40 + 14 and len(whole.units) > 400 and {" the", " thing"} <= small.units.keys()
+
+
+def test_found_in_order(tool):
+    """Segmentations that are listed when asked for come as in the list of the likeliest, again and from any place on."""
+    random.seed(4)
+    for _ in range(200):
+        text = "".join(random.choice("thingerés漢 ") for _ in range(random.randint(1, 12)))
+        atom, twin = L.Atom(tool.pieces, text), L.Atom(tool.pieces, text)
+        assert list(islice(atom.in_order(), 3)) == twin.best(3)[0]
+        assert list(islice(atom.in_order(), 64)) == twin.best(64)[0] and atom.likeliest(64) == twin.best(64)
+
+
+def test_tables_of_a_given_size(spark):
+    """Fewer words are held than are met, by tables that know a word and its atoms by numbers; samples stay the same."""
+    random.seed(6)
+    docs = spark.createDataFrame([(i, " ".join("".join(random.choice("thingérs") for _ in range(random.randint(1, 9))) for _ in range(12)))
+                                  for i in range(900)], "doc_id long, text string").coalesce(1)
+    few = L.encode_samples(docs, held=500).collect()
+    assert few == L.encode_samples(docs, held=100_000).collect() and all(r.pieces.decoded for r in few)
