@@ -21,12 +21,14 @@ MAFD_LINE = r"^lavfi\.scd\.mafd=([\d.]+)"
 def parse_frame_log(lines: DataFrame, key: Sequence[str] = ("file",), order: Sequence[str] = LINE_ORDER,
                     width: float = 1.0) -> DataFrame:
     """Frame rows from metadata lines: a header names the frame, value lines below it belong to it."""
-    number = F.regexp_extract("text", FRAME_LINE, 1).try_cast("long")
-    pts = F.regexp_extract("text", FRAME_LINE, 2).try_cast("double")
+    def part(pattern: str, group: int) -> Column:
+        # most lines have none of it, and a cast of '' fails by an exception, which takes longer than all else here
+        return F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+
+    number, pts = part(FRAME_LINE, 1).try_cast("long"), part(FRAME_LINE, 2).try_cast("double")
     read = lines.select(
         *key, *order, F.when(number.isNotNull(), F.struct(number.alias("frame_no"), pts.alias("pts"))).alias("_head"),
-        F.regexp_extract("text", SCORE_LINE, 1).try_cast("double").alias("_score"),
-        F.regexp_extract("text", MAFD_LINE, 1).try_cast("double").alias("_mafd"))
+        part(SCORE_LINE, 1).try_cast("double").alias("_score"), part(MAFD_LINE, 1).try_cast("double").alias("_mafd"))
     held = ordered_scan(read, key, order, width=width, running={"_frame": ("last", "_head")})
     return held.filter(F.col("_frame").isNotNull()).groupBy(*key, F.col("_frame.frame_no").alias("frame_no")).agg(
         F.max("_frame.pts").alias("pts"), F.max("_score").alias("scd_score"), F.max("_mafd").alias("mafd"))

@@ -20,6 +20,17 @@ def test_frame_log(spark, tmp_path):
     assert [(r.frame_no, r.pts, r.scd_score, r.mafd) for r in got[500:503]] == [(0, 0.0, 0.25, 0.5), (1, 0.04, 1.25, 1.5), (2, 0.08, 2.25, 2.5)]
 
 
+def test_frame_log_casts_no_empty_text(spark):
+    """Values that a line doesn't have are not cast (a failing cast raises and is caught, line by line); odd ones are NULL."""
+    text = ["lavfi.scd.score=9", "frame:1 pts:1 pts_time:1.2.3", "lavfi.scd.score=1.2.3", "", "lavfi.scd.mafd=.5", "frame:99999999999999999999",
+            "lavfi.scd.mafd=8.5", "frame:2", "lavfi.scd.score=.", "lavfi.scd.score=4."]
+    lines = spark.createDataFrame([("a", i, t) for i, t in enumerate([*text, None])], "file string, line long, text string")
+    told = logs.parse_frame_log(lines, order=["line"], width=4.0)
+    assert sorted(map(tuple, told.collect())) == [("a", 1, None, None, 8.5), ("a", 2, None, 4.0, None)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("null else try_cast") == plan.count("else try_cast") >= 3
+
+
 def test_blocks_keep_line_order(spark, tmp_path):
     (tmp_path / "t.log").write_text("".join(f"frame:{n}\nlavfi.scd.score={n}.0\n" for n in range(20000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
