@@ -160,6 +160,14 @@ def test_lut_lookup_of_long_axes(spark):
         assert abs(out - (2 * x + 10 * y + 0.5 * x * y)) < 1e-6
 
 
+def test_scans_are_dealt_by_rows_unasked(spark):
+    df = spark.range(9_000_000).selectExpr("id % 5000 AS k", "id AS o")
+    plan = ordered_scan(df, ["k"], ["o"], width=1e6, lag={"l": "o"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1 and "hashpartitioning(k#" in plan and ", 9), REPARTITION_BY_NUM" in plan
+    small = ordered_scan(df.limit(1000), ["k"], ["o"], width=1e6, lag={"l": "o"})._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in small
+
+
 def test_rows_that_compress_well_are_dealt_by_rows(spark):
     # few values: 64 MB of a shuffle would hold millions of them
     df = spark.range(40000).selectExpr("id % 400 AS k", "id AS o", "id % 7 AS v")
