@@ -102,6 +102,7 @@ class Pieces:
         return spelled, math.exp(float(self.weight[list(spelled)].sum()) + SCALE)
 
     def decode(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
         return self.flat[in_a_row(self.starts[ids], self.sizes[ids])].tobytes().decode()[1:]
 
 

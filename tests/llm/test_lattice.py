@@ -150,3 +150,8 @@ def test_tables_of_a_given_size(spark):
                                   for i in range(900)], "doc_id long, text string").coalesce(1)
     few = L.encode_samples(docs, held=500).collect()
     assert few == L.encode_samples(docs, held=100_000).collect() and all(r.pieces.decoded for r in few)
+
+
+def test_no_ids_spell_the_empty_text():
+    pieces = L.Sampler("piece_bpe_32k.model").pieces
+    assert pieces.decode(np.array([])) == pieces.decode(np.array([], np.int32)) == ""
